@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .minhash_dedup import op10_minhash_near_dedup
 
-_QUERIES = [op10_minhash_near_dedup]
+_QUERIES = [op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():
@@ -12,4 +13,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_exact_dedup": OP9_SQL}
