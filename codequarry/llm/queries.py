@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .minhash_dedup import op10_minhash_near_dedup
+from .quality import op8_quality_classifier
 
-_QUERIES = [op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():
