@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .minhash_dedup import op10_minhash_near_dedup
+from .packing import op7_packing
 from .quality import op8_quality_classifier
+from .secrets import op6_secret_scan
 
-_QUERIES = [op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():

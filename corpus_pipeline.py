@@ -1,11 +1,83 @@
-"""Placeholder of the document pipeline, filled in with its stages."""
+"""Document pipeline: quality filter, exact dedup, near dedup, secret redaction, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept and returns a DataFrame; all but the last
+return the columns of ``documents``. Near duplicates are taken on 5-word shingles at similarity 0.80. The secret stage
+keeps every document and replaces what it finds. SQL can express neither the trained stages nor the minimum-padding search, so
+``ORACLE_SQL`` is None and the stages are tested against brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codequarry.llm import base, exact_dedup, minhash_dedup, packing, quality, secrets
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the ids of ``dropped(doc_id)``."""
+    return docs.join(base.small_side(dropped.select("doc_id")), "doc_id", "left_anti").select(COLUMNS)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.7."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~quality.held_out())
+    model = quality.train(docs, labels, "quality")
+    return quality.score(docs.select(COLUMNS), model).where("score >= 0.7").select(COLUMNS)
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    found = base.Scratch(spark, "stage").table(exact_dedup.exact_duplicates(docs).where("not kept").select("doc_id", "keep_id"), "exact")
+    return _once(_without(docs, found.where("doc_id <> keep_id")), found.where("doc_id = keep_id or doc_id is null or keep_id is null"))
+
+
+def _once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with one row for each (doc_id, text) where whole rows repeat; unchanged if none does."""
+    if repeated.isEmpty():
+        return docs
+    ids = docs.join(base.small_side(repeated.select("doc_id").distinct()), "doc_id", "left_semi")
+    rest = docs.join(base.small_side(repeated.select("doc_id").distinct()), "doc_id", "left_anti")
+    return rest.unionByName(ids.dropDuplicates(["doc_id", "text"]))
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each group of near duplicates."""
+    found = minhash_dedup.near_duplicates(docs.select("doc_id", "text")).where("not kept")
+    return _without(docs, base.Scratch(spark, "stage").table(found.select("doc_id"), "near"))
+
+
+def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with their secrets replaced by a mark and their length counted anew."""
+    done = secrets.redact(secrets.scan(docs.select(COLUMNS), secrets.train(docs)))
+    n = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return done.select("doc_id", "text", "lang", "source", n.alias("n_chars"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of all documents with their bucket, batch and slot."""
+    return packing.pack(docs.select("doc_id", "text"), packing.word_count())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("secrets", secret_stage),
+    ("packing", packing_stage),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written and read back before the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    scratch = base.Scratch(spark, "pipeline")
+    for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = scratch.table(docs, name)
     return docs
