@@ -62,22 +62,23 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node of ``edges(u, v)``, v < u, has one edge up or is a root."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("low"), F.lit(0).alias("high")).union(edges.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("x").agg(F.sum("low").alias("low"), F.max("high").alias("high")).where("low > 1 or low > 0 and high > 0").isEmpty()
+
+
 def components(spark: SparkSession, links: DataFrame, label: str = "cc") -> DataFrame:
     """Connected components of undirected ``links(a, b)`` of longs: rows (node, root), root the smallest node.
 
-    Alternates large-star and small-star steps, each written to a scratch table. Every step is a min-aggregation
+    Alternates large-star and small-star steps until only stars are left, each written to a scratch table. Every step is a min-aggregation
     with a map-side combine and a join, so a hub with very many links never meets in one task as a list. Nodes
     without a link to another node are absent. Null ends and self links are ignored.
     """
     scratch = Scratch(spark, label)
     u, v = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     edges = scratch.table(links.where("a <> b").select(u, v).distinct(), "edges")
-    before = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == before or now[0] == 0:
-            break
-        before = now
+    while not _stars(edges):
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

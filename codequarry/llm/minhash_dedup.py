@@ -90,11 +90,10 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs(a, b)`` those with 100 * |A and B| >= percent * |A or B|, on full sets."""
-    both = (
-        pairs.join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
-        .join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a")
-        .withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
-    )
+    pairs = small_side(pairs)
+    first = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")).join(pairs, "a")
+    second = sets.select(F.col("rep").alias("b"), F.col("items").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
+    both = first.join(second, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
     union = F.size("x").cast("long") + F.size("y") - F.col("common")
     return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b")
 
@@ -144,24 +143,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
         classes.select("rep", "d1", "d2").join(made, (F.col("rep") == F.col("doc_id")) & (classes.d1 == made.d1) & (classes.d2 == made.d2)).select("rep", "items").dropDuplicates(["rep"]),
         "sets",
     )
-    links, member = None, None
-    empty = spark.createDataFrame([], "node long, root long")
-    comps = empty
-    while True:
-        # Of the open pairs across components, one per larger end at a time: most of the rest then lie inside components.
-        open_pairs = _across(pending, comps)
-        one = scratch.table(open_pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "round")
-        if one.isEmpty():
-            member = (large.select("key", "rep") if member is None else member)
-            member, pending = _pivot_round(scratch, member, comps, sized)
-            if pending is None:
-                break
-            continue
-        good = scratch.table(_confirmed(one, sets, percent), "links")
-        links = good if links is None else links.union(good)
-        pending = scratch.table(pending.join(one, ["a", "b"], "left_anti"), "pairs")
+    comps = spark.createDataFrame([], "node long, root long")
+    member = large.select("key", "rep")
+    # First one pair per larger end: most of the rest then lie inside components and need no test.
+    todo = scratch.table(pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
+    rest = scratch.table(pending.join(todo, ["a", "b"], "left_anti"), "rest")
+    while todo is not None:
+        good = scratch.table(_confirmed(todo, sets, percent), "links")
         if not good.isEmpty():
-            comps = components(spark, links, "minhash-cc")
+            comps = scratch.table(_merged(comps, components(spark, _roots(good, comps), "minhash-cc")), "comps")
+        if rest is not None:
+            todo, rest = scratch.table(_roots(rest, comps, keep=True).select("a", "b"), "second"), None
+        else:
+            member, todo = _pivot_round(scratch, member, comps, sized)
     roots = comps.withColumnRenamed("node", "rep")
     of_class = classes.select("d1", "d2", "n_shingles", "rep").join(roots, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     of_class = scratch.table(of_class, "roots")
@@ -170,13 +164,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _root(pairs: DataFrame, comps: DataFrame, end: str) -> DataFrame:
-    return pairs.join(comps.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+def _roots(pairs: DataFrame, comps: DataFrame, keep: bool = False) -> DataFrame:
+    """Pairs whose ends are in different components: as pairs of roots, or unchanged with ``keep``."""
+    for end in ("a", "b"):
+        root = comps.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        pairs = pairs.join(root, end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
+    pairs = pairs.where("ra <> rb")
+    return pairs if keep else pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
-def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    return _root(_root(pairs, comps, "a"), comps, "b").where("ra <> rb").select("a", "b")
+def _merged(comps: DataFrame, over: DataFrame) -> DataFrame:
+    """Components after those of roots, ``over(node, root)``, have been joined to them."""
+    top = over.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    old = comps.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return old.union(over.join(comps.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def _pivot_round(scratch: Scratch, member: DataFrame, comps: DataFrame, sized):
