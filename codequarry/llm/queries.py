@@ -7,9 +7,10 @@ from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op7_packing
 from .quality import op8_quality_classifier
 from .secrets import op6_secret_scan
+from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
-_QUERIES = [op2_toxicity, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op2_toxicity, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():
