@@ -3,18 +3,21 @@
 Two small collections of ``m`` band hashes each are computed per text (``r`` minimum hashes per band, so ``2*m*r``
 minima). The table keys are all ``m * m`` combinations of one band of the left and one of the right collection, as if
 ``m * m`` tables of ``2 * r`` minima had been drawn, for about the square root of the minhash work. Every candidate is
-confirmed on the full shingle sets, so the chance lies only in missing a pair: with r=3, m=12 a pair at similarity
-0.80 is missed with probability 0.0004, at 0.85 with 0.00002.
+confirmed on the full shingle sets, so the chance lies only in missing a pair: with r=4, m=13 a pair at similarity
+0.80 is missed with probability 0.002, at 0.85 with 0.0001.
 
 Texts with equal shingle sets form one class first. Groups under a table key are never expanded into all pairs:
 
-1. min, max, sum and count of the class ids under a key (map-side combined) give every pair of a group of two or three;
-   members of a larger group are paired with its smallest member.
-2. Confirmed pairs form components; pairs inside one component need no test.
-3. Larger groups whose members are still in several components name up to 16 pivots among the members outside the
-   group's largest component, compare each with all members of other components, and retire them; this repeats until
-   each group is one component or its pivots are used up. So no link between components is lost, and a group of n copies
-   of one text costs n pairs.
+1. count, min and xor of the class ids under a key (map-side combined) give the pair of a group of two; members of a larger
+   group are paired with its smallest member, its hub. Each pair's exact similarity is kept.
+2. Confirmed pairs form components; pairs inside one component need no further test.
+3. Members outside their group's largest component are tried against one member of it and one other outsider a round, while that joins
+   components. One round suffices for most of a large group of copies.
+4. What is left is exhaustive: groups that still span components name up to 16 pivots among the members outside the largest one, compare each
+   with all members of other components, and retire them, until each group is one component or its pivots are used up. Jaccard
+   distance is a metric, so members whose distances to the hub differ by more than the allowed distance need no test.
+
+So no link between components is lost among candidates, and a group of n copies of one text costs about n pairs.
 
 Defined results: null text counts as empty; a text without words has an empty set and links with nothing; rows with a
 null doc_id are returned with a null component and kept false; rows that repeat a doc_id belong to one document id.
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textcore as T
@@ -88,17 +91,16 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, d1 long, d2 long, items array<long>")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs(a, b)`` those with 100 * |A and B| >= percent * |A or B|, on full sets."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs(a, b)`` with ``common`` and ``total``, the sizes of intersection and union of the full sets."""
     pairs = small_side(pairs)
     first = sets.select(F.col("rep").alias("a"), F.col("items").alias("x")).join(pairs, "a")
     second = sets.select(F.col("rep").alias("b"), F.col("items").alias("y")).join(pairs.select("b").distinct(), "b", "left_semi")
     both = first.join(second, "b").withColumn("common", F.size(F.array_intersect("x", "y")).cast("long"))
-    union = F.size("x").cast("long") + F.size("y") - F.col("common")
-    return both.where(F.lit(100) * F.col("common") >= F.lit(percent) * union).select("a", "b")
+    return both.select("a", "b", "common", (F.size("x").cast("long") + F.size("y") - F.col("common")).alias("total"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12, r: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 13, r: int = 4) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept (see the module)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -111,21 +113,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
     keys = classes.select(
         F.col("rep"), F.explode(F.flatten(F.transform(left, lambda a: F.transform(right, lambda b: F.xxhash64(a, b))))).alias("key")
     )
-    groups = scratch.table(
-        keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.sum(F.col("rep").cast("decimal(38,0)")).alias("total")).where("n >= 2"),
-        "groups",
-    )
-    mid = (F.col("total") - F.col("lo") - F.col("hi")).cast("long")
-    few = groups.where("n <= 3").withColumn("mid", F.when(F.col("n") == 3, mid))
-    few = few.select(
-        F.explode(
-            F.filter(
-                F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (("lo", "hi"), ("lo", "mid"), ("mid", "hi"))]),
-                lambda p: p["a"].isNotNull() & p["b"].isNotNull(),
-            )
-        ).alias("p")
-    ).select("p.a", "p.b")
-    large = scratch.table(keys.join(small_side(groups.where("n > 3").select("key", "lo")), "key").select("key", "rep", "lo"), "large")
+    groups = scratch.table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.bit_xor("rep").alias("x")).where("n >= 2"), "groups")
+    two = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("x").bitwiseXOR(F.col("lo")).alias("b"))
+    large = scratch.table(keys.join(small_side(groups.where("n > 2").select("key", "lo")), "key").select("key", "rep", "lo"), "large")
     star = large.where("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b"))
     size = classes.select("rep", "n_shingles")
 
@@ -135,27 +125,39 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
         out = pairs.distinct().join(x, "a").join(y, "b")
         return out.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
 
-    pending = scratch.table(sized(few.union(star)), "pairs")
-    wanted = scratch.table(pending.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "wanted")
+    pairs = scratch.table(sized(two.union(star)), "pairs")
+    wanted = scratch.table(pairs.select(F.explode(F.array("a", "b")).alias("rep")).union(large.select("rep")).distinct(), "wanted")
     chosen = docs.select("doc_id", "text").join(small_side(wanted.withColumnRenamed("rep", "doc_id")), "doc_id", "left_semi")
     made = shingle_sets(chosen, k)
     sets = scratch.table(
         classes.select("rep", "d1", "d2").join(made, (F.col("rep") == F.col("doc_id")) & (classes.d1 == made.d1) & (classes.d2 == made.d2)).select("rep", "items").dropDuplicates(["rep"]),
         "sets",
     )
-    comps = spark.createDataFrame([], "node long, root long")
-    member = large.select("key", "rep")
-    # First one pair per larger end: most of the rest then lie inside components and need no test.
-    todo = scratch.table(pending.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
-    rest = scratch.table(pending.join(todo, ["a", "b"], "left_anti"), "rest")
-    while todo is not None:
-        good = scratch.table(_confirmed(todo, sets, percent), "links")
-        if not good.isEmpty():
-            comps = scratch.table(_merged(comps, components(spark, _roots(good, comps), "minhash-cc")), "comps")
-        if rest is not None:
-            todo, rest = scratch.table(_roots(rest, comps, keep=True).select("a", "b"), "second"), None
+    linked = F.lit(100) * F.col("common") >= F.lit(percent) * F.col("total")
+    tested = scratch.table(_compared(pairs, sets), "tested")
+    comps = components(spark, tested.where(linked), "minhash-cc")
+    hub = tested.select(F.col("a").alias("lo"), F.col("b").alias("rep"), (1 - F.col("common") / F.col("total")).alias("d"))
+    members = large.join(hub, ["lo", "rep"], "left").select("key", "rep", F.when(F.col("rep") == F.col("lo"), 0.0).otherwise(F.col("d")).alias("d"))
+    members = scratch.table(members, "members")
+    far = 1 - percent / 100 + 1e-9
+    trial = 0
+    while True:
+        split = scratch.table(_split(members, comps), "split")
+        if split.isEmpty():
+            break
+        if trial is not None:
+            todo = _trial(split, far, trial)
         else:
-            member, todo = _pivot_round(scratch, member, comps, sized)
+            todo, members = _pivots(scratch, split, far)
+        todo = scratch.table(sized(todo), "todo")
+        good = scratch.table(_compared(todo, sets).where(linked).select("a", "b"), "links")
+        joined = 0
+        if not good.isEmpty():
+            over = scratch.table(components(spark, _roots(good, comps), "minhash-cc"), "over")
+            joined = over.count()
+            comps = scratch.table(_merged(comps, over), "comps")
+        if trial is not None:
+            trial = trial + 1 if joined * 20 > todo.count() else None
     roots = comps.withColumnRenamed("node", "rep")
     of_class = classes.select("d1", "d2", "n_shingles", "rep").join(roots, "rep", "left").select("d1", "d2", "n_shingles", F.coalesce("root", "rep").alias("root"))
     of_class = scratch.table(of_class, "roots")
@@ -164,13 +166,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 12,
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _roots(pairs: DataFrame, comps: DataFrame, keep: bool = False) -> DataFrame:
-    """Pairs whose ends are in different components: as pairs of roots, or unchanged with ``keep``."""
+def _roots(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The roots of the ends of ``pairs``, where they differ."""
     for end in ("a", "b"):
         root = comps.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
         pairs = pairs.join(root, end, "left").withColumn(f"r{end}", F.coalesce(f"r{end}", end))
-    pairs = pairs.where("ra <> rb")
-    return pairs if keep else pairs.select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    return pairs.where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def _merged(comps: DataFrame, over: DataFrame) -> DataFrame:
@@ -180,22 +181,36 @@ def _merged(comps: DataFrame, over: DataFrame) -> DataFrame:
     return old.union(over.join(comps.select("node"), "node", "left_anti").select("node", "root"))
 
 
-def _pivot_round(scratch: Scratch, member: DataFrame, comps: DataFrame, sized):
-    """Next pairs of groups that still span components, and the members that are left; (member, None) at the end."""
-    at = member.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+def _split(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rep, d, root, main): members of groups that span components, with the root of the group's largest component."""
+    at = members.join(comps.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", "rep", "d", F.coalesce("root", "rep").alias("root"))
     sizes = at.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = sizes.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1")
-    split = scratch.table(at.join(main.select("key", "main"), "key"), "split")
-    if split.isEmpty():
-        return member, None
-    from pyspark.sql import Window
+    return at.join(main.select("key", "main"), "key")
+
+
+def _trial(split: DataFrame, far: float, trial: int) -> DataFrame:
+    """For each outsider one pair with a member of its group's main component and one with another outsider."""
+    me = F.struct("rep", "d", "root")
+    peers = split.groupBy("key").agg(
+        F.max_by(F.when(F.col("root") == F.col("main"), me), F.when(F.col("root") == F.col("main"), F.xxhash64("rep", F.lit(trial)))).alias("inner"),
+        F.max_by(F.when(F.col("root") != F.col("main"), me), F.when(F.col("root") != F.col("main"), F.xxhash64("rep", F.lit(trial)))).alias("outer"),
+    )
+    out = split.where("root <> main").join(peers, "key")
+    usable = lambda p: (F.col("root") != F.col(f"{p}.root")) & F.coalesce(F.abs(F.col("d") - F.col(f"{p}.d")) <= far, F.lit(True))
+    chosen = out.groupBy("rep").agg(*[F.max_by(F.when(usable(p), F.col(f"{p}.rep")), F.when(usable(p), F.xxhash64(f"{p}.rep", F.lit(trial)))).alias(p) for p in ("inner", "outer")])
+    pairs = chosen.select("rep", F.explode(F.array("inner", "outer")).alias("p")).where("p is not null")
+    return pairs.select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+
 
+def _pivots(scratch: Scratch, split: DataFrame, far: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of up to PIVOTS outsiders of each group with all its members of other components, and the members without those pivots."""
     ranked = split.where("root <> main").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("rep"))).where(F.col("i") <= PIVOTS)
-    pivots = scratch.table(ranked.select("key", F.col("rep").alias("p"), F.col("root").alias("pr")), "pivots")
-    pairs = split.join(pivots, "key").where("root <> pr").select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
-    pending = scratch.table(sized(pairs), "pairs")
-    left = split.select("key", "rep").join(pivots.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti")
-    return scratch.table(left, "members"), pending
+    pivots = scratch.table(ranked.select("key", F.col("rep").alias("p"), F.col("root").alias("pr"), F.col("d").alias("pd")), "pivots")
+    near = F.coalesce(F.abs(F.col("d") - F.col("pd")) <= far, F.lit(True))
+    pairs = split.join(pivots, "key").where("root <> pr").where(near).select(F.least("rep", "p").alias("a"), F.greatest("rep", "p").alias("b"))
+    left = split.select("key", "rep", "d").join(pivots.select("key", F.col("p").alias("rep")), ["key", "rep"], "left_anti")
+    return pairs, scratch.table(left, "members")
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
