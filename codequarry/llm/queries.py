@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op3_embedding_near_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op7_packing
 from .quality import op8_quality_classifier
@@ -11,7 +12,7 @@ from .secrets import op6_secret_scan
 from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
-_QUERIES = [op2_toxicity, op3_embedding_near_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():
@@ -19,4 +20,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
