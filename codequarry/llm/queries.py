@@ -7,12 +7,13 @@ from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
 from .minhash_dedup import op10_minhash_near_dedup
 from .packing import op7_packing
+from .pieces import op1_sentencepiece
 from .quality import op8_quality_classifier
 from .secrets import op6_secret_scan
 from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
-_QUERIES = [op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
 
 
 def queries():
