@@ -5,7 +5,7 @@ of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that touch no base span and who
 under a Markov model of random strings than under one of ordinary identifiers, by ``threshold`` nats a transition.
 
 Both models are trained from labelled samples: strings of random alphabets (label 1, made from SHA-256 digests of a
-range) and identifiers (label 0): the words of at most ``bound`` documents, the ones with the smallest hash of doc_id,
+range) and identifiers (label 0): rulers, dates, numbers, the words of a fixed list and those of at most ``bound`` documents, the ones with the smallest hash of doc_id,
 alone, in lower and upper case, and joined in snake and camel case. The model is a table of 128 * 128 log-likelihood ratios, a literal of fixed size.
 
 Positions: ``split`` gives the stretches between matches and ``regexp_extract_all`` the matches; their lengths in code
@@ -30,6 +30,20 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 KINDS = ("assign", "access", "hex", "random")
+#: Labelled ordinary sample: words of which identifiers are often made.
+ORDINARY = (
+    "absolute access account action active address adapter admin aggregate algorithm allocate analysis annotation application argument array async attribute authentication "
+    "background balance batch binary boolean boundary browser buffer builder button cache calculate callback cancel category certificate channel character client cluster collection "
+    "command comment commit compiler component compress computer condition config connection constant container content context control controller convert counter create currency customer "
+    "database default delete dependency description destination development device dictionary directory discovery document download dynamic element employee enable encoding environment error "
+    "event exception execute expression external factory feature field filter finished folder foreground format function gateway generator global graph handler header history identifier image "
+    "import index information initialize input instance integer interface international internationalisation iterator javascript keyboard language layout length library license limit listener location manager "
+    "mapping maximum measure memory message method middleware minimum model module monitor network nothing notification number object operation option order organization output package parameter parent password "
+    "performance permission platform policy position preference previous primary priority process product profile program property protocol provider public query random receive record reference register repository "
+    "request resource response responsibilities result schedule schema search section security select sequence serializer server service session setting signature simple something source specification standard "
+    "statement status storage strategy string structure subscription summary support synchronize system template terminal thread threshold timeout timestamp token transaction transform translation unique update "
+    "upload user utility validation value variable version visible warning website window workflow wrapper"
+)
 SPAN = "struct<start:int,kind:int,stop:int>"
 
 
@@ -77,8 +91,14 @@ def train(docs: DataFrame, bound: int = 1000, strings: int = 4000) -> list[float
     ).select(F.lit(1).alias("label"), "s")
     sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     words = F.filter(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) <= 40)
-    pairs = F.transform(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("y")), lambda p: F.coalesce(F.concat(p["x"], F.lit("_"), p["y"], F.initcap(p["x"]), F.lit("-"), F.initcap(p["y"])), F.lit("")))
-    plain = sample.select(words.alias("w")).select(F.explode(F.concat("w", F.transform("w", lambda x: F.lower(x)), F.transform("w", lambda x: F.upper(x)), pairs)).alias("s")).select(F.lit(0).alias("label"), "s")
+    pairs = F.transform(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("y")), lambda p: F.coalesce(F.concat(p["x"], F.lit("_"), p["y"], F.initcap(p["x"]), F.initcap(p["y"]), F.lit("-"), p["x"], F.lit("/"), p["y"]), F.lit("")))
+    listed = spark.range(0, 40, 1, 1)
+    listed = listed.select(F.array_sort(F.transform(F.split(F.lit(ORDINARY), " "), lambda x: F.struct(F.xxhash64(x, "id"), x.alias("x")))).alias("o")).select(F.transform("o", lambda x: x["x"]).alias("w"))
+    rulers = F.transform(F.split(F.lit("_ - = + / A a 0 x"), " "), lambda x: F.repeat(x, 40))
+    day = F.expr("date_add(date'2000-01-01', int(id % 20000))")
+    numbers = F.array(F.date_format(day, "yyyy-MM-dd-HH-mm-ss"), F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "yyyyMMdd"), F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string"))
+    listed = listed.union(spark.range(0, 100, 1, 1).select(rulers)).union(spark.range(0, strings, 1, 1).select(numbers))
+    plain = sample.select(words.alias("w")).union(listed).select(F.explode(F.concat("w", F.transform("w", lambda x: F.lower(x)), F.transform("w", lambda x: F.upper(x)), pairs)).alias("s")).select(F.lit(0).alias("label"), "s")
     counts = [[[0.0] * 128 for _ in range(128)] for _ in range(2)]
     for r in _transitions(made.union(plain)).where("a between 0 and 127 and b between 0 and 127").collect():  # at most 2 * 128 * 128 rows
         counts[r.label][r.a][r.b] += r.n
