@@ -6,8 +6,8 @@ are segmented once a worker: words of equal length advance together, the hashes
 sorted hashes of the pieces, and vectorised maxima keep the best score and a backpointer. On equal scores the longer last piece wins.
 A character that no piece covers costs ten less than the lowest score and becomes its UTF-8 byte pieces.
 
-The segmentation is the one of highest summed score, as the library finds it for models of type unigram; the shipped file holds
-merge ranks as scores (type BPE), for which the library merges pairs instead, so its ids for that type differ (see the README).
+The segmentation is the one of the highest summed score (tested against a plain dynamic program). The shipped file is of type BPE: its scores
+are merge ranks and the library merges pairs instead of maximising a sum, so its ids differ for many words (see the README).
 
 Defined results: null text counts as empty and has no ids; decoding gives back every text exactly.
 """

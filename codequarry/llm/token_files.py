@@ -37,7 +37,9 @@ from pyspark.sql import functions as F
 from . import textcore as T
 from .base import Scratch, new_path, slices, text_column
 
-BLOCK, SHARD_IDS, MOST_PIECES = 1024, 4 << 20, 1_000_000
+BLOCK, PART, SHARD_IDS = 1024, 256 << 10, 4 << 20
+#: Pieces that a worker keeps, and those that the library encodes at once.
+MOST_PIECES, AT_ONCE = 600_000, 8192
 #: Ids in a word by selector; selector 13 is one id of up to 60 bits, the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
@@ -46,11 +48,19 @@ HEAD = "<4sIIQQQQ"
 
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Simple-8b words of ``ids`` and the word offsets of its blocks (n + 1)."""
+    """Simple-8b words of ``ids`` and the word offsets of its blocks (n + 1), some blocks at a time."""
+    words, blocks, base = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)], 0
+    for at in range(0, len(ids), PART):
+        w, o = _pack(ids[at : at + PART])
+        words.append(w)
+        blocks.append(o[1:] + base)
+        base += len(w)
+    return np.concatenate(words), np.concatenate(blocks)
+
+
+def _pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     blocks = -(-n // BLOCK)
-    if n == 0:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64)
     bits = np.zeros(blocks * BLOCK, np.uint8)
     bits[:n] = np.frexp(np.maximum(ids, 1).astype(np.float64))[1]
     left = np.full(blocks, BLOCK)
@@ -147,23 +157,32 @@ class Encoder:
         return cls._made[path]
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys of pieces, and their places in start and size
         self.start, self.size, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
-        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a)), a.dtype)])
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        got = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        n, total = len(self.known), int(size.sum())
-        self.start, self.size, self.ids = self._grown(self.start, n + len(got)), self._grown(self.size, n + len(got)), self._grown(self.ids, self.used + total)
-        self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, total)
-        self.start[n : n + len(got)] = self.used + np.cumsum(size) - size
-        self.size[n : n + len(got)] = size
-        self.known.update(zip(keys, range(n, n + len(got))))
-        self.used += total
+        return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        """Adds pieces of ascending new keys."""
+        n = len(self.keys)
+        for at in range(0, len(pieces), AT_ONCE):
+            got = [e.ids for e in self.library.encode_batch_fast(pieces[at : at + AT_ONCE], add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int64, len(got))
+            total, first = int(size.sum()), n + at
+            self.start, self.size, self.ids = self._grown(self.start, first + len(got)), self._grown(self.size, first + len(got)), self._grown(self.ids, self.used + total)
+            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, total)
+            self.start[first : first + len(got)] = self.used + np.cumsum(size) - size
+            self.size[first : first + len(got)] = size
+            self.used += total
+        where = np.searchsorted(self.keys, keys)
+        self.keys, self.place = np.insert(self.keys, where, keys), np.insert(self.place, where, np.arange(n, n + len(keys)))
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Position of each key among the known ones, and whether it is there."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a large_string column without nulls, and the number of each row's."""
@@ -180,17 +199,14 @@ class Encoder:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         keys = T.span_hash(data, starts, ends)
-        if len(self.known) > MOST_PIECES:
+        if len(self.keys) > MOST_PIECES:
             self._reset()
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        index = [self.known.get(k, -1) for k in listed]
-        fresh = [i for i, x in enumerate(index) if x < 0]
-        if fresh:
+        fresh = np.flatnonzero(~self._known(distinct)[1])
+        if len(fresh):
             spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
-            self._learn([listed[i] for i in fresh], [raw[a:b].decode() for a, b in spans])
-            index = [self.known[k] for k in listed]
-        piece = np.array(index)[inverse]
+            self._learn(distinct[fresh], [raw[a:b].decode() for a, b in spans])
+        piece = self.place[self._known(distinct)[0]][inverse]
         size = self.size[piece]
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[piece] - (stops - size), size) + np.arange(stops[-1])]
