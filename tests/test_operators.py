@@ -42,7 +42,7 @@ def test_exit_status_bits(spark):
 
 def members(spark, rows):
     made = spark.createDataFrame(rows, "key string, language string, path string, start long, end long, n long")
-    return clones.groups(made)
+    return clones.groups(made.withColumn("first", F.col("start")))
 
 
 def test_contained_group_falls_away(spark):
@@ -55,6 +55,16 @@ def test_partly_contained_group_stays(spark):
     assert {r.key for r in clones.maximal(members(spark, rows)).collect()} == {"big", "small"}
 
 
+def test_periodic_text_leaves_the_longest_run(spark):
+    rows = [(f"k{n}", "java", "a", s, s + n - 1, n) for n in range(2, 9) for s in range(1, 11 - n)]
+    assert {r.key for r in clones.maximal(members(spark, rows)).collect()} == {"k8"}
+
+
+def test_different_places_inside_a_longer_run(spark):
+    rows = [("big", "java", p, 1, 5, 5) for p in "ab"] + [("small", "java", p, s, s, 1) for p in "ab" for s in (2, 4)]
+    assert {r.key for r in clones.maximal(members(spark, rows)).collect()} == {"big"}
+
+
 def test_redundancy_counts_all_but_the_first(spark):
     rows = [("k", "java", p, 1, 10, 10) for p in "abc"] + [("l", "java", p, 20, 34, 15) for p in "ab"]
     got = {r.key: r.redundant_lines for r in clones.redundancy(members(spark, rows)).collect()}
