@@ -21,6 +21,13 @@ def exact_renames(changes: DataFrame) -> DataFrame:
     return gone.join(new, ["oid", "k"]).select("from_path", "path", "oid")
 
 
+def changed_entities(base: DataFrame, cand: DataFrame, renames: DataFrame) -> DataFrame:
+    """(path, base_path, oid, base_oid): candidate entities that are new or differ from their base, which may have another path."""
+    b = base.select(F.col("path").alias("base_path"), F.col("oid").alias("base_oid"))
+    both = cand.select("path", "oid").join(renames.select("path", "from_path"), "path", "left").join(b, F.col("base_path") == F.coalesce("from_path", "path"), "left")
+    return both.where(~F.col("oid").eqNullSafe(F.col("base_oid"))).select("path", "base_path", "oid", "base_oid")
+
+
 def snapshot_id(files: DataFrame) -> DataFrame:
     """One digest of (path, oid) of a tree: digests of 4,096 path buckets in order, each over its files in path order."""
     leaf = F.concat(F.octet_length("path").cast("string"), F.lit(":"), F.col("path"), F.lit(" "), F.col("oid"))

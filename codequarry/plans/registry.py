@@ -329,6 +329,13 @@ def snapshot_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.snapshot_id(A.snapshot(spark, sf_dir, "base").select("path", "oid"))
 
 
+@query("""SELECT c.path, b.path AS base_path, c.oid, b.oid AS base_oid FROM cand c LEFT JOIN rn ON rn.path = c.path LEFT JOIN base b ON b.path = coalesce(rn.from_path, c.path)
+WHERE b.oid IS DISTINCT FROM c.oid""", REN)
+def entities_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, cand = _sides(spark, sf_dir)
+    return matching.changed_entities(base, cand, _renames(spark, sf_dir))
+
+
 IDS = REN + (
     A.statements_sql("base", "bs"), A.statements_sql("cand", "cs"),
     "bi AS (SELECT path, ix, lower(split_part(token, ' ', 1)) AS name, sha256(token) AS fp FROM bs)", "ci AS (SELECT path, ix, lower(split_part(token, ' ', 1)) AS name, sha256(token) AS fp FROM cs)",
