@@ -89,7 +89,8 @@ def train(docs: DataFrame, bound: int = 1000, strings: int = 4000) -> list[float
     made = spark.range(0, strings, 1, 4).select(
         F.explode(F.array(wide, F.translate(wide, "+/=", ""), F.translate(wide, "+/", "-_"), F.regexp_replace(F.upper(wide), "[^A-Z0-9]", ""), sha("c"), F.regexp_replace(F.lower(wide), "[^a-z0-9]", ""))).alias("s")
     ).select(F.lit(1).alias("label"), "s")
-    sample = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    chosen = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").where("text is not null")  # at most `bound` ids
     words = F.filter(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) <= 40)
     pairs = F.transform(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("y")), lambda p: F.coalesce(F.concat(p["x"], F.lit("_"), p["y"], F.initcap(p["x"]), F.initcap(p["y"]), F.lit("-"), p["x"], F.lit("/"), p["y"]), F.lit("")))
     listed = spark.range(0, 40, 1, 1)
