@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .base import Scratch, components, small_side
 
-BLOCK_DIM, GRID, TILE = 8, 2, 2048
+BLOCK_DIM, GRID, TILE, PART = 8, 3, 8192, 512
 SLACK = 1e-6
 
 
@@ -106,10 +106,14 @@ def _compare(x: np.ndarray, y: np.ndarray | None, dim: int, block: int, cosine:
     rx, ry = ux @ q, uy @ q
     start, stop, r2 = parts[block]
     p, o = rx[:, start:stop], ry[:, start:stop]
-    near = (p * p).sum(1)[:, None] + (o * o).sum(1)[None, :] - 2 * (p @ o.T) <= r2 + 1e-9
-    if same:
-        near = np.triu(near, 1)
-    i, j = np.nonzero(near)
+    size = (o * o).sum(1)[None, :]
+    found = []
+    for a in range(0, len(p), PART):  # a matrix of PART rows at a time
+        near = (p[a : a + PART] ** 2).sum(1)[:, None] + size - 2 * (p[a : a + PART] @ o.T) <= r2 + 1e-9
+        u, w = np.nonzero(near)
+        u += a
+        found.append((u[u < w], w[u < w]) if same else (u, w))
+    i, j = (np.concatenate(x) for x in zip(*found))
     keep_i, keep_j = [], []
     for a in range(0, len(i), 1 << 16):
         u, w = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
