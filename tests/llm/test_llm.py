@@ -146,6 +146,25 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_toxicity_counts_do_not_saturate(spark):
+    text = " ".join(f"w{i} stemx" for i in range(9000))
+    docs = spark.createDataFrame([(text, 0, 0), (text, 1, 1), ("stemx other stemx", 1, 0)], "text string, y int, cut int")
+    stem = int(toxicity.stems(pa.array(["stemx"], pa.large_string()))[0][0])
+    got = toxicity.continuations(docs).where(f"stem = {stem}").first()
+    assert (got.n0, got.n1, got.cut0, got.cut1) == (9000, 9002, 9000, 2)
+
+
+def test_toxicity_model_beyond_broadcast(spark, odd, monkeypatch):
+    docs, labels = synthetic(spark)
+    docs = docs.union(docs.limit(50)).union(odd.select(docs.columns))
+    small = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 1)
+    large = toxicity.train(docs, labels)
+    assert len(small[0][0]) > 1 and large[0].count() == len(small[0][0]) and large[1] == small[1]
+    a, b = (sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.score(docs.select("doc_id", "text"), m).collect()) for m in (small, large))
+    assert a == b and sum(x[1] > 0 for x in a) > 10
+
+
 def test_quality_held_out(spark):
     docs, labels = synthetic(spark)
     model = quality.train(docs, labels.where(~quality.held_out()))
