@@ -3,8 +3,8 @@
 Two small collections of ``m`` band hashes each are computed per text (``r`` minimum hashes per band, so ``2*m*r``
 minima). The table keys are all ``m * m`` combinations of one band of the left and one of the right collection, as if
 ``m * m`` tables of ``2 * r`` minima had been drawn, for about the square root of the minhash work. Every candidate is
-confirmed on the full shingle sets, so the chance lies only in missing a pair: with r=4, m=13 a pair at similarity
-0.80 is missed with probability 0.002, at 0.85 with 0.0001.
+confirmed on the full shingle sets, so the chance lies only in missing a pair: with r=4, m=17 a pair at similarity
+0.80 is missed with probability 0.00026, at 0.85 with 0.000007.
 
 Texts with equal shingle sets form one class first. Groups under a table key are never expanded into all pairs:
 
@@ -100,7 +100,7 @@ def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("a", "b", "common", (F.size("x").cast("long") + F.size("y") - F.col("common")).alias("total"))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 13, r: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, m: int = 17, r: int = 4) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id, kept (see the module)."""
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "minhash")

@@ -1,6 +1,7 @@
 """Operators of the llm subpackage against brute force, round trips, held-out accuracy, and on odd tables."""
 
 import hashlib
+import inspect
 import itertools
 import re
 import zlib
@@ -349,6 +350,11 @@ def test_near_duplicates_against_brute_force(spark, k):
     assert {i: r.component_id for i, r in got.items()} == root
 
 
+def test_near_defaults_miss_rate():
+    m, r = (inspect.signature(minhash_dedup.near_duplicates).parameters[x].default for x in "mr")
+    assert 1 - (1 - (1 - 0.8**r) ** m) ** 2 <= 0.0004
+
+
 def test_near_query_against_brute_force(spark, sf_dir, duck):
     sizes, root = brute_near(texts(duck), 2, 80)
     got = minhash_dedup.op10_minhash_near_dedup(spark, sf_dir).collect()
