@@ -83,3 +83,36 @@ def by_fingerprint(base: DataFrame, cand: DataFrame, done: DataFrame) -> tuple[D
     both = nb.join(nc, "fp", "full_outer").withColumns({"nb": F.coalesce("nb", F.lit(0)), "nc": F.coalesce("nc", F.lit(0))})
     one = both.where("nb = 1 and nc = 1").select(F.col("b.path").alias("base_path"), F.col("b.ix").alias("base_ix"), F.col("c.path").alias("path"), F.col("c.ix").alias("ix"))
     return one, both.where("nb > 1 or nc > 1").select("fp", "nb", "nc")
+
+
+def set_members(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Candidates whose base is not certain and the bases that may be theirs, by set (tier, file, name).
+
+    Sets are the positional remainders of tiers one and two, less what tier three takes, and the ambiguities of tier three (file is the
+    fingerprint). Returns (candidates (tier, file, name, path, ix, unmatched), bases (tier, file, name, path, ix)); unmatched says whether the
+    candidate may have no base: it is surplus, or its set has more open candidates than bases.
+    """
+    key = ["tier", "file", "name"]
+    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix")
+    here = lambda rows: rows.withColumn("file", F.col("path"))
+    equal = one.where("pairing = 'fingerprint_exact'")
+    b2 = _left(base, one, "base").join(renames.select(F.col("from_path").alias("path"), F.col("path").alias("file")), "path")
+    c2 = here(_left(cand, one, "cand"))
+    equal2 = two.where("pairing = 'fingerprint_exact'")
+    rb = kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(b2, equal2, "base"), 2))
+    rc = kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(c2, equal2, "cand"), 2)).join(rb.select(*key).distinct(), key, "left_semi")
+    done = one.unionByName(two)
+    rb, rc = rb.localCheckpoint(), rc.localCheckpoint()
+    three, unclear = (x.localCheckpoint() for x in by_fingerprint(base, cand, done))
+    pool = lambda rows, side: _left(rows, done, side).join(unclear, "fp").select(F.lit(3).alias("tier"), F.col("fp").alias("file"), F.lit("").alias("name"), "path", "ix", "nb", "nc")
+    ab, ac = pool(base, "base").localCheckpoint(), pool(cand, "cand").localCheckpoint()
+    rb = _left(rb, three, "base")
+    free = _left(rc, three, "cand").join(ac.where("nb > 0").select("path", "ix"), ["path", "ix"], "left_anti")
+    counts = rb.select(*key, F.lit(1).alias("b"), F.lit(0).alias("c")).unionByName(free.select(*key, F.lit(0).alias("b"), F.lit(1).alias("c")))
+    more = counts.groupBy(*key).agg((F.sum("c") > F.sum("b")).alias("unmatched"))
+    pairs = one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2))).where("pairing = 'positional'").select("tier", "path", "ix")
+    paired = rc.join(pairs, ["tier", "path", "ix"], "left_semi").join(more, key, "left").withColumn("unmatched", F.coalesce("unmatched", F.lit(False)))
+    rest = _left(_left(rc, done, "cand"), three, "cand").join(ac.select("path", "ix"), ["path", "ix"], "left_anti")
+    surplus = rest.groupBy("path", "ix").agg(F.max(F.struct(*key)).alias("s")).select("s.*", "path", "ix").withColumn("unmatched", F.lit(True))
+    held = ac.withColumn("unmatched", F.expr("nc > nb")).drop("nb", "nc")
+    return paired.select(*held.columns).unionByName(held).unionByName(surplus), rb.unionByName(ab.drop("nb", "nc"))

@@ -36,6 +36,26 @@ def set_verdicts(cands: DataFrame, options: DataFrame, key: str) -> DataFrame:
     return made.select("path", F.when(F.size("v") == 1, F.get("v", F.lit(0))).otherwise("G102").alias("verdict"))
 
 
+def open_set_verdicts(cands: DataFrame, options: DataFrame, key: list[str]) -> DataFrame:
+    """``cands(key, cc, sloc, unmatched)`` with ``verdict`` over all ``options(key, cc, sloc)`` of its set: the one all agree on, else G102.
+
+    A set is one row, an array of the largest limit for each complexity among its high bases, so candidates and bases are never paired.
+    """
+    high = F.col("cc") > HIGH
+    steps = options.groupBy(*key, "cc").agg(F.max(growth_limit(F.col("sloc"))).alias("most"), F.min(growth_limit(F.col("sloc"))).alias("least"))
+    sets = steps.groupBy(*key).agg(
+        F.collect_list(F.when(high, F.struct("cc", "most"))).alias("steps"), F.min(F.when(high, F.col("cc"))).alias("low_cc"),
+        F.min(F.when(high, F.col("least"))).alias("low_limit"), F.coalesce(F.bool_or(~high), F.lit(False)).alias("any_low"),
+    )
+    out = cands.join(sets, key, "left")
+    e101 = F.col("unmatched") | F.coalesce("any_low", F.lit(False))
+    e102 = F.coalesce((F.col("cc") > F.col("low_cc")) | (F.col("sloc") > F.col("low_limit")), F.lit(False))
+    fine = F.coalesce(F.exists("steps", lambda x: (x["cc"] >= F.col("cc")) & (x["most"] >= F.col("sloc"))), F.lit(False))
+    n = e101.cast("int") + e102.cast("int") + fine.cast("int")
+    v = F.when(~high, "pass").when(n > 1, "G102").when(e102, "E102").when(fine, "pass").otherwise("E101")
+    return out.withColumn("verdict", v).select(*cands.columns, "verdict")
+
+
 def unmatched(base: DataFrame, cand: DataFrame, key: list[str]) -> DataFrame:
     """Candidate findings beyond the base's of the same key: k-th pairs with k-th, the surplus is new."""
     counts = base.groupBy(*key).agg(F.count("*").alias("known"))

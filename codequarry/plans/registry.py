@@ -439,6 +439,42 @@ def ambiguous_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return policy.set_verdicts(cand, options, "language")
 
 
+SETS = T3 + (
+    A.callables_sql("base", "bc"), A.callables_sql("cand", "cc_"),
+    "tk AS (SELECT bp, bx, cp, cx FROM j3 WHERE nb = 1 AND nc = 1)", "am AS (SELECT fp, nb, nc FROM j3 WHERE nb > 1 OR nc > 1)",
+    "ab AS (SELECT 3 AS tier, fp AS file, '' AS name, path, ix FROM bl JOIN am USING (fp) WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t2))",
+    "ac AS (SELECT 3 AS tier, fp AS file, '' AS name, path, ix, nb, nc FROM cl JOIN am USING (fp) WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t2))",
+    """r0 AS (SELECT 1 AS tier, file, name, path, ix FROM b1 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t1e)
+    UNION ALL SELECT 2, file, name, path, ix FROM b2 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t2e))""",
+    """rc AS (SELECT * FROM (SELECT 1 AS tier, file, name, path, ix FROM c1 WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t1e)
+    UNION ALL SELECT 2, file, name, path, ix FROM c2 WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t2e)) WHERE (tier, file, name) IN (SELECT (tier, file, name) FROM r0))""",
+    "rb AS (SELECT * FROM r0 WHERE (path, ix) NOT IN (SELECT (bp, bx) FROM tk))",
+    """op AS (SELECT tier, file, name, count(*) AS n FROM rc WHERE (path, ix) NOT IN (SELECT (cp, cx) FROM tk) AND (path, ix) NOT IN (SELECT (path, ix) FROM ac WHERE nb > 0) GROUP BY 1, 2, 3)""",
+    "nb AS (SELECT tier, file, name, count(*) AS n FROM rb GROUP BY 1, 2, 3)",
+    """pr AS (SELECT rc.*, coalesce(op.n, 0) > coalesce(nb.n, 0) AS unmatched FROM rc LEFT JOIN op USING (tier, file, name) LEFT JOIN nb USING (tier, file, name)
+    WHERE (tier, path, ix) IN (SELECT (1, path, ix) FROM t1p UNION ALL SELECT (2, path, ix) FROM t2p))""",
+    """su AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY path, ix ORDER BY tier DESC, file DESC, name DESC) AS k FROM rc WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t1)
+    AND (path, ix) NOT IN (SELECT (path, ix) FROM t2) AND (path, ix) NOT IN (SELECT (cp, cx) FROM tk) AND (path, ix) NOT IN (SELECT (path, ix) FROM ac)) WHERE k = 1)""",
+    "ms AS (SELECT * FROM pr UNION ALL SELECT tier, file, name, path, ix, nc > nb FROM ac UNION ALL SELECT *, true FROM su)",
+    "os AS (SELECT DISTINCT tier, file, name, bc.cc AS bcc, bc.sloc AS bsloc FROM (SELECT * FROM rb UNION ALL SELECT * FROM ab) JOIN bc USING (path))",
+    f"""sv AS (SELECT ms.path, ms.ix, {VERDICT} AS v FROM ms JOIN cc_ USING (path) JOIN os USING (tier, file, name)
+    UNION ALL SELECT ms.path, ms.ix, {VERDICT} FROM (SELECT ms.*, NULL::BIGINT AS bcc, NULL::BIGINT AS bsloc FROM ms WHERE unmatched) ms JOIN cc_ USING (path))""",
+)
+
+
+@query("SELECT path, ix, CASE WHEN count(DISTINCT v) = 1 THEN min(v) ELSE 'G102' END AS verdict FROM sv GROUP BY path, ix", SETS)
+def match_set_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over all bases of each ambiguity and positional remainder; a statement has the numbers of its file's callable."""
+    b, c = (_identities(x).localCheckpoint() for x in _sides(spark, sf_dir))  # each is read many times, so plans are cut
+    ren = _renames(spark, sf_dir).localCheckpoint()
+    one = matching.same_file(b, c).localCheckpoint()
+    two = matching.through_renames(b, c, one, ren).localCheckpoint()
+    cands, bases = matching.set_members(b, c, one, two, ren)
+    base, cand = (A.callables(x.drop("oid")).select("path", "cc", "sloc") for x in _sides(spark, sf_dir))
+    made = policy.open_set_verdicts(cands.join(cand, "path"), bases.join(base, "path"), ["tier", "file", "name"])
+    return made.select("path", "ix", "verdict")
+
+
 FIND = REN + (
     A.statements_sql("base", "bs"), A.statements_sql("cand", "cs"),
     "bf AS (SELECT path, ix, line, token FROM (SELECT *, lag(token) OVER (PARTITION BY path ORDER BY ix) AS prev FROM bs) WHERE token = prev)",

@@ -33,6 +33,14 @@ def test_verdict_boundaries(spark, cc, sloc, base, want):
     assert spark.range(1).select(policy.verdict(F.lit(cc), F.lit(sloc), *b)).first()[0] == want
 
 
+def test_verdicts_over_all_bases_of_a_set(spark):
+    options = spark.createDataFrame([("a", 12, 30), ("a", 20, 40), ("b", 12, 30), ("c", 10, 9), ("c", 10, 9)], "s string, cc long, sloc long")
+    rows = [("a", 12, 30, False, "pass"), ("a", 13, 30, False, "G102"), ("a", 21, 30, False, "E102"), ("a", 9, 99, True, "pass"), ("b", 12, 34, False, "E102"), ("b", 12, 33, True, "G102"), ("c", 11, 1, False, "E101"), ("d", 11, 1, True, "E101")]
+    cands = spark.createDataFrame(rows, "s string, cc long, sloc long, unmatched boolean, want string")
+    got = policy.open_set_verdicts(cands, options, ["s"]).collect()
+    assert len(got) == len(rows) and [(r.s, r.cc, r.verdict) for r in got if r.verdict != r.want] == []
+
+
 def test_exit_status_bits(spark):
     rows = [("E101", "deny"), ("C101", "info"), ("S102", "warn")]
     assert policy.exit_status(spark.createDataFrame(rows, "code string, severity string")).first()[0] == 1
