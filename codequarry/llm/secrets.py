@@ -1,8 +1,8 @@
 """Secret scans on DataFrame functions only: fixed patterns, and character Markov models of random strings.
 
 Base spans come from three patterns (``assign``, ``access``, ``hex``). The method adds spans of kind ``random``: maximal runs
-of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that touch no base span and whose character transitions are likelier
-under a Markov model of random strings than under one of ordinary identifiers, by ``threshold`` nats a transition.
+of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that touch no base span and have a part of 16 or more whose character transitions are
+likelier under a Markov model of random strings than under one of ordinary identifiers, by ``threshold`` nats a transition.
 
 Both models are trained from labelled samples: strings of random alphabets (label 1, made from SHA-256 digests of a
 range) and identifiers (label 0): rulers, dates, numbers, the words of a fixed list and those of at most ``bound`` documents, the ones with the smallest hash of doc_id,
@@ -29,6 +29,7 @@ ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
+LEAST = 16
 KINDS = ("assign", "access", "hex", "random")
 #: Labelled ordinary sample: words of which identifiers are often made.
 ORDINARY = (
@@ -124,13 +125,23 @@ def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.75) -> DataF
     )
     table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
 
-    def ratio(s: Column) -> Column:
-        """Mean log-likelihood ratio of a transition of ``s``."""
+    def excess(s: Column) -> Column:
+        """The largest sum of transition ratios less the threshold over the parts of ``s`` of at least 16 characters."""
         code = lambda i: F.ascii(F.substr(s, i, F.lit(1)))
-        each = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.get(table, code(i) * 128 + code(i + 1)))
-        return F.aggregate(each, F.lit(0.0), lambda acc, x: acc + x) / (F.length(s) - 1)
+        each = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.get(table, code(i) * 128 + code(i + 1)) - threshold)
+        late = F.arrays_zip(each.alias("x"), F.concat(F.array_repeat(F.lit(0.0), LEAST - 1), each).alias("y"))  # y left the last 15 transitions
+        late = F.slice(late, 1, F.length(s) - 1)
+        begin = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("last"), F.lit(0.0).alias("before"), F.lit(float("-inf")).alias("best"))
 
-    likely = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda s: ratio(s) >= threshold)
+        def step(acc: Column, t: Column) -> Column:
+            n = acc["n"] + 1
+            last = acc["last"] + t["x"] - t["y"]  # the last 15
+            before = F.greatest(acc["before"] + t["y"], F.lit(0.0))  # the best that ends where they begin
+            return F.struct(n.alias("n"), last.alias("last"), before.alias("before"), F.when(n >= LEAST - 1, F.greatest(acc["best"], last + before)).otherwise(acc["best"]).alias("best"))
+
+        return F.aggregate(late, begin, step, lambda acc: acc["best"])
+
+    likely = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda s: excess(s) >= 0)
     found = docs.withColumn("base", F.array_sort(base)).withColumn("_runs", _when(text.rlike(RUN), _spans(text, RUN, 3, likely)))
     free = F.filter("_runs", lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
     return found.withColumn("spans", F.array_sort(F.concat("base", free))).drop("_runs")

@@ -300,6 +300,16 @@ def padding(lengths, counts, edges):
     return sum(c * (next(e for e in sorted(edges) if e >= n) - n) for n, c in zip(lengths, counts))
 
 
+def test_random_part_behind_a_path(spark, docs):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz0123456789")
+    path = "src/main/resources/configuration/environment/production/settings/"
+    rows = [(i, path + "".join(rng.choice(letters, 32))) for i in range(100)] + [(i, path + path) for i in range(100, 110)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(docs))
+    found = {r.doc_id for r in got.where("exists(spans, x -> x.kind = 3)").collect()}
+    assert len(found) >= 99 and max(found) < 100
+
+
 def test_boundaries_are_optimal():
     rng = np.random.default_rng(6)
     for _ in range(40):
