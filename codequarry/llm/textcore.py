@@ -12,27 +12,13 @@ import pyarrow as pa
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
-R = U(0x9E3779B97F4A7C15)
-R_INV = U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Random value of a byte at each of the first PLACES positions of its span; later positions are mixed in.
+PLACES = 32
+PLACED = _RNG.integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """R**i and R**-i modulo 2**64 for i < n; kept in the process for batches of usual size."""
-    if "p" not in _powers or len(_powers["p"]) < n:
-        n = max(n, 1 << 20)
-        p, q = np.full(n, R, np.uint64), np.full(n, R_INV, np.uint64)
-        p[0] = q[0] = 1
-        with np.errstate(over="ignore"):
-            made = np.multiply.accumulate(p), np.multiply.accumulate(q)
-        if n > 1 << 23:
-            return made
-        _powers["p"], _powers["q"] = made
-    return _powers["p"], _powers["q"]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,15 +56,37 @@ def runs(inside: np.ndarray, offs: np.ndarray, kind: np.ndarray | None = None):
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial over random byte values, read off one running sum."""
+    """64-bit hash of each byte span (spans ascend and don't overlap).
+
+    A byte counts as a random value of itself and its place in the span, so unlike a polynomial modulo 2**64 no arrangement of bytes
+    cancels out. Callers that must not confuse two spans still compare their bytes.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(data) + 1)
+    size = ends - starts
+    at = np.arange(len(data), dtype=np.int32)
+    if len(data) != int(size.sum()):
+        at = at[_covered(len(data), starts, ends)]
+    bytes_ = data[at]
+    stops = np.cumsum(size)
+    place = np.arange(len(at), dtype=np.int32) - np.repeat((stops - size).astype(np.int32), size)
     with np.errstate(over="ignore"):
-        total = np.empty(len(data) + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(BYTE[data] * p[: len(data)], out=total[1:])
-        return mix((total[ends] - total[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+        value = PLACED[(np.minimum(place, PLACES - 1) << 8) + bytes_]
+        late = np.flatnonzero(place >= PLACES)
+        if len(late):
+            value[late] = mix(value[late] + place[late].astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(value, out=total[1:])
+        return mix((total[stops] - total[stops - size]) ^ (size.astype(np.uint64) * U(0xD6E8FEB86659FD93)))
+
+
+def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of n bytes lie in a span."""
+    step = np.zeros(n + 1, np.int8)
+    full = ends > starts
+    step[starts[full]] += 1
+    step[ends[full]] -= 1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
 
 
 def words(col: pa.Array, lower: bool = True):

@@ -17,7 +17,10 @@ Encoding: the text is cut where the tokenizer's own pre-tokenisation always cuts
 around single newlines, between ASCII letters and punctuation), each different piece is encoded once by the library, and its ids
 are gathered. Texts with non-ASCII white space or with ``<|`` go to the library whole.
 
-Defined results: null text counts as empty; an empty text has the end id only. Null doc_ids sort first and stay null.
+Pieces are looked up by hash, and their bytes are compared with the text's. Should they differ, the library gets the whole texts.
+
+Defined results: null text counts as empty; an empty text has the end id only. Null doc_ids sort first and stay null; rows that repeat a doc_id are
+written each, in order of text. An empty table makes no shard and an empty result. A text of any length is one document of one shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,11 +36,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import textcore as T
 from .base import Scratch, new_path, slices, text_column
 
 BLOCK, PART, SHARD_IDS = 1024, 256 << 10, 4 << 20
+#: Tasks that read shards back, one a shard below that.
+READERS = 10_000
 #: Pieces that a worker keeps, and those that the library encodes at once.
 MOST_PIECES, AT_ONCE = 600_000, 8192
 #: Ids in a word by selector; selector 13 is one id of up to 60 bits, the escape.
@@ -159,26 +165,38 @@ class Encoder:
     def _reset(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys of pieces, and their places in start and size
         self.start, self.size, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.begin, self.length, self.text, self.letters = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint8), 0  # the pieces' own bytes
 
     @staticmethod
     def _grown(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n - len(a), len(a) // 2), a.dtype)])
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds pieces of ascending new keys."""
         n = len(self.keys)
         for at in range(0, len(pieces), AT_ONCE):
-            got = [e.ids for e in self.library.encode_batch_fast(pieces[at : at + AT_ONCE], add_special_tokens=False)]
-            size = np.fromiter(map(len, got), np.int64, len(got))
-            total, first = int(size.sum()), n + at
-            self.start, self.size, self.ids = self._grown(self.start, first + len(got)), self._grown(self.size, first + len(got)), self._grown(self.ids, self.used + total)
-            self.ids[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(got), np.uint32, total)
-            self.start[first : first + len(got)] = self.used + np.cumsum(size) - size
-            self.size[first : first + len(got)] = size
-            self.used += total
+            part = pieces[at : at + AT_ONCE]
+            got = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
+            first, stop = n + at, n + at + len(part)
+            self.start, self.size, self.begin, self.length = (self._grown(a, stop) for a in (self.start, self.size, self.begin, self.length))
+            for lists, begin, length, held, used, flat in (
+                (got, self.start, self.size, "ids", "used", np.fromiter(itertools.chain.from_iterable(got), np.uint32)),
+                (part, self.begin, self.length, "text", "letters", np.frombuffer(b"".join(part), np.uint8)),
+            ):
+                size = np.fromiter(map(len, lists), np.int64, len(lists))
+                base = getattr(self, used)
+                setattr(self, held, self._grown(getattr(self, held), base + len(flat)))
+                getattr(self, held)[base : base + len(flat)] = flat
+                begin[first:stop], length[first:stop] = base + np.cumsum(size) - size, size
+                setattr(self, used, base + len(flat))
         where = np.searchsorted(self.keys, keys)
         self.keys, self.place = np.insert(self.keys, where, keys), np.insert(self.place, where, np.arange(n, n + len(keys)))
 
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, piece: np.ndarray) -> bool:
+        """Whether the spans, which cover ``data``, have the bytes of the pieces that their hashes name."""
+        size = self.length[piece]
+        return bool((size == ends - starts).all()) and bool((self.text[np.repeat(self.begin[piece] - starts, size) + np.arange(len(data))] == data).all())
+
     def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Position of each key among the known ones, and whether it is there."""
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
@@ -205,13 +223,15 @@ class Encoder:
         fresh = np.flatnonzero(~self._known(distinct)[1])
         if len(fresh):
             spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
-            self._learn(distinct[fresh], [raw[a:b].decode() for a, b in spans])
+            self._learn(distinct[fresh], [raw[a:b] for a, b in spans])
         piece = self.place[self._known(distinct)[0]][inverse]
         size = self.size[piece]
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[piece] - (stops - size), size) + np.arange(stops[-1])]
         bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offs)]
         odd = [i for i in range(len(col)) if any(x in raw[offs[i] : offs[i + 1]] for x in ODD)] if any(x in raw for x in ODD) else []
+        if not self._same(data, starts, ends, piece):  # two pieces share a hash: the library encodes the whole texts
+            odd = list(range(len(col)))
         if not odd:
             return ids, np.diff(bounds)
         rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -275,10 +295,22 @@ def read_documents(manifest: DataFrame) -> DataFrame:
 
     # A running sum over one row a shard of some four million ids.
     before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spread = manifest.select("path", before.alias("before")).repartition("path")
+    shards = manifest.count()
+    spread = manifest.select("path", before.alias("before")).repartition(max(1, min(shards, READERS)))  # round robin, a fixed number that AQE keeps
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def token_count(tokenizer: str, text: str = "text"):
+    """Column: the number of ids of a text, the end id not among them."""
+
+    @F.arrow_udf(LongType())
+    def run(texts: pa.Array) -> pa.Array:
+        encoder, batch = Encoder.of(tokenizer), pa.RecordBatch.from_arrays([texts], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(encoder.encode(text_column(b, "text"))[1] for b in slices(batch, "text"))]).astype(np.int64))
+
+    return run(text)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
     """All documents as byte-level BPE ids in shards, read back."""
     if tokenizer is None:
