@@ -11,7 +11,8 @@ smallest hash of doc_id, the same choice at every scale); they are featurised on
 that bounded size is fitted in one task by FTRL-proximal in hash order, in as many epochs (2 to 30) as make about 12,000 updates.
 
 Defined results: null text counts as empty; an empty text has the intercept's score; labelled rows with a null label are
-not used; without any labelled row every score is the prior 0.5. Other columns never enter a score.
+not used; without any labelled row every score is the prior 0.5. Rows that repeat, in ``docs`` or ``labels``, are used each; an empty table
+gives an empty result. Other columns never enter a score; ``score`` adds one column and refuses input that has it.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import textcore as T
-from .base import slices, text_column
+from .base import fresh_names, slices, text_column
 
 BITS = 18
+#: Bytes of text that are featurised at once; some twenty arrays of 8 bytes a word are held meanwhile.
+PART = 512 << 10
 KIND = np.full(256, 2, np.uint8)  # 0 space, 1 word, 2 other
 KIND[T.SPACE] = 0
 KIND[48:58] = KIND[65:91] = KIND[97:123] = KIND[128:] = 1
@@ -95,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", PART):
                 ix, x, offs = features(text_column(b, "text"))
                 lists = pa.array(offs.astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -119,26 +123,24 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", bound: int
     return (np.frombuffer(got[0].w, np.float32), got[0].bias) if got else (np.zeros(1 << BITS, np.float32), 0.0)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """``docs`` with ``score``, the probability of label 1; all other columns pass through."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scores(text: pa.Array, w: np.ndarray, bias: float) -> np.ndarray:
+    """Probability of label 1 of each text."""
+    ix, x, offs = features(text)
+    sums = np.concatenate([[0.0], np.cumsum(w[ix] * x.astype(np.float64))])
+    return 1.0 / (1.0 + np.exp(-np.clip(sums[offs[1:]] - sums[offs[:-1]] + bias, -35, 35)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, bias = shared.value
-        for whole in batches:
-            for b in slices(whole, "text"):
-                ix, x, offs = features(text_column(b, "text"))
-                sums = np.concatenate([[0.0], np.cumsum(w[ix] * x.astype(np.float64))])
-                p = 1.0 / (1.0 + np.exp(-np.clip(sums[offs[1:]] - sums[offs[:-1]] + bias, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], names=[*b.schema.names, "score"])
-
-    return docs.mapInArrow(run, _schema(docs, "score double"))
 
+def score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
+    """``docs`` with ``score``, the probability of label 1; all other columns pass through, and only the text goes to Python."""
+    fresh_names(docs, "score")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-def _schema(docs: DataFrame, more: str):
-    from pyspark.sql.types import StructType
+    @F.arrow_udf(DoubleType())
+    def run(text: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([text], names=["text"])
+        return pa.array(np.concatenate([np.zeros(0), *(scores(text_column(b, "text"), *shared.value) for b in slices(batch, "text", PART))]))
 
-    return StructType([*docs.schema.fields, *StructType.fromDDL(more).fields])
+    return docs.withColumn("score", run("text"))
 
 
 def held_out():
