@@ -4,16 +4,17 @@ Base spans come from three patterns (``assign``, ``access``, ``hex``). The metho
 of 16 or more characters of ``[A-Za-z0-9+/_=-]`` that touch no base span and have a part of 16 or more whose character transitions are
 likelier under a Markov model of random strings than under one of ordinary identifiers, by ``threshold`` nats a transition.
 
-Both models are trained from labelled samples: strings of random alphabets (label 1, made from SHA-256 digests of a
-range) and identifiers (label 0): rulers, dates, numbers, the words of a fixed list and those of at most ``bound`` documents, the ones with the smallest hash of doc_id,
-alone, in lower and upper case, and joined in snake and camel case. The model is a table of 128 * 128 log-likelihood ratios, a literal of fixed size.
+Both models are tables of transition counts. Random strings (label 1) are made from SHA-256 digests of a range. The ordinary sample (label 0) is a fixed list of
+rulers, dates, numbers and identifier words, and the words of all texts of the corpus outside base spans, counted once per occurrence; each word also stands for
+its forms in lower and upper case and for the snake, camel, dash and path names that it forms with itself. Words are counted with map-side combine before their
+characters are, so at most 3 * 128 * 128 rows reach the driver. The model is a table of 128 * 128 log-likelihood ratios, a literal of fixed size.
 
 Positions: ``split`` gives the stretches between matches and ``regexp_extract_all`` the matches; their lengths in code
 points, summed in order, are the offsets. Patterns whose length limit may stand in the pattern have it there; for ``assign`` the
 limit is applied to the matches, as a short match uses up its text.
 
-Defined results: null text counts as empty, with no spans. Rows with a null doc_id are returned as they are. Columns of
-other names pass through ``scan``.
+Defined results: null text counts as empty, with no spans. Rows with a null doc_id and rows that repeat are scanned each; an empty table gives an empty result
+(``train`` then knows the fixed lists only). Columns of other names pass through ``scan``, which adds ``base`` and ``spans`` and refuses input that has them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .base import fresh_names
+
 # The patterns of the base spans.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -71,39 +74,68 @@ def _when(hit: Column, spans: Column) -> Column:
     return F.when(hit, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
+#: What a pair of characters of a word is: next to each other inside it, its first two, its last and first.
+INSIDE, BEGIN, AROUND = 0, 1, 2
+
+
 def _transitions(strings: DataFrame) -> DataFrame:
-    """(label, a, b, n): counts of adjacent characters of ``strings(label, s)``, as ASCII codes."""
-    at = F.explode(F.sequence(F.lit(1), F.length("s") - 1))
-    return (
-        strings.where(F.length("s") >= 2)
-        .select("label", "s", at.alias("i"))
-        .groupBy("label", F.ascii(F.substr("s", F.col("i"), F.lit(1))).alias("a"), F.ascii(F.substr("s", F.col("i") + 1, F.lit(1))).alias("b"))
-        .agg(F.count("*").alias("n"))
-    )
+    """(label, kind, a, b, n): counts of the character pairs of ``strings(label, s, n)``, as ASCII codes."""
+    code = lambda i: F.ascii(F.substr("s", i, F.lit(1)))
+    pair = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    inside = F.transform(F.sequence(F.lit(1), F.length("s") - 1), lambda i: pair(INSIDE, code(i), code(i + 1)))
+    ends = F.array(pair(BEGIN, code(F.lit(1)), code(F.lit(2))), pair(AROUND, code(F.length("s")), code(F.lit(1))))
+    each = strings.where(F.length("s") >= 2).select("label", "n", F.explode(F.concat(inside, ends)).alias("p"))
+    return each.groupBy("label", "p.kind", "p.a", "p.b").agg(F.sum("n").alias("n"))
+
+
+def _outside(text: Column) -> Column:
+    """The text with its base spans blanked out."""
+    for pattern, hint in ((ASSIGN, text.rlike(ASSIGN)), (ACCESS, F.contains(text, F.lit("AKIA"))), (HEX, text.rlike(HEX))):
+        text = F.when(hint, F.regexp_replace(text, F.lit(pattern), F.lit(" "))).otherwise(text)
+    return text
+
+
+def _forms(counts: list, kind: int, a: str, b: str, n: float) -> None:
+    """Adds what a pair of an ordinary word's characters stands for: the word itself, five times as it is, and its other forms."""
+
+    def add(x: str, y: str, times: float = 1) -> None:
+        counts[ord(x)][ord(y)] += times * n
+
+    if kind == INSIDE:
+        add(a, b, 5)
+        add(a.lower(), b.lower(), 3)  # lower case, and twice after a capital
+        add(a.upper(), b.upper())
+    elif kind == BEGIN:  # the two capitalised forms begin with a capital
+        add(a.upper(), b.lower(), 2)
+        add(a.lower(), b.lower(), -2)
+    else:
+        for x, y in ((a, "_"), ("_", b), (a, b.upper()), (a.lower(), b.upper()), (a.lower(), "-"), ("-", b), (a, "/"), ("/", b)):
+            add(x, y)
 
 
-def train(docs: DataFrame, bound: int = 1000, strings: int = 4000) -> list[float]:
+def train(docs: DataFrame, strings: int = 4000) -> list[float]:
     """128 * 128 log-likelihood ratios, random over ordinary, of a character given the one before it."""
     spark = docs.sparkSession
     sha = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     wide = F.base64(F.unhex(F.concat(sha("a"), sha("b"))))
     made = spark.range(0, strings, 1, 4).select(
         F.explode(F.array(wide, F.translate(wide, "+/=", ""), F.translate(wide, "+/", "-_"), F.regexp_replace(F.upper(wide), "[^A-Z0-9]", ""), sha("c"), F.regexp_replace(F.lower(wide), "[^a-z0-9]", ""))).alias("s")
-    ).select(F.lit(1).alias("label"), "s")
-    chosen = docs.where("text is not null and doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").where("text is not null")  # at most `bound` ids
-    words = F.filter(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) <= 40)
-    pairs = F.transform(F.arrays_zip(F.col("w").alias("x"), F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("y")), lambda p: F.coalesce(F.concat(p["x"], F.lit("_"), p["y"], F.initcap(p["x"]), F.initcap(p["y"]), F.lit("-"), p["x"], F.lit("/"), p["y"]), F.lit("")))
-    listed = spark.range(0, 40, 1, 1)
-    listed = listed.select(F.array_sort(F.transform(F.split(F.lit(ORDINARY), " "), lambda x: F.struct(F.xxhash64(x, "id"), x.alias("x")))).alias("o")).select(F.transform("o", lambda x: x["x"]).alias("w"))
+    )
     rulers = F.transform(F.split(F.lit("_ - = + / A a 0 x"), " "), lambda x: F.repeat(x, 40))
     day = F.expr("date_add(date'2000-01-01', int(id % 20000))")
     numbers = F.array(F.date_format(day, "yyyy-MM-dd-HH-mm-ss"), F.date_format(day, "yyyy/MM/dd"), F.date_format(day, "yyyyMMdd"), F.pmod(F.xxhash64("id"), F.lit(10**12)).cast("string"))
-    listed = listed.union(spark.range(0, 100, 1, 1).select(rulers)).union(spark.range(0, strings, 1, 1).select(numbers))
-    plain = sample.select(words.alias("w")).union(listed).select(F.explode(F.concat("w", F.transform("w", lambda x: F.lower(x)), F.transform("w", lambda x: F.upper(x)), pairs)).alias("s")).select(F.lit(0).alias("label"), "s")
+    plain = spark.range(0, 100, 1, 1).select(F.explode(rulers).alias("s")).union(spark.range(0, strings, 1, 1).select(F.explode(numbers)))
+    listed = spark.range(1).select(F.explode(F.split(F.lit(ORDINARY), " ")).alias("s")).select("s", F.lit(200).cast("long").alias("n"))
+    words = F.filter(F.regexp_extract_all(_outside(F.col("text")), F.lit("[A-Za-z]{2,}"), F.lit(0)), lambda w: F.length(w) <= 40)
+    corpus = docs.where("text is not null").select(F.explode(words).alias("s")).groupBy("s").agg(F.count("*").alias("n")).union(listed)
+    once = F.lit(1).cast("long").alias("n")
+    every = made.select(F.lit(1).alias("label"), "s", once).union(plain.select(F.lit(0), "s", once)).union(corpus.select(F.lit(2), "s", "n"))
     counts = [[[0.0] * 128 for _ in range(128)] for _ in range(2)]
-    for r in _transitions(made.union(plain)).where("a between 0 and 127 and b between 0 and 127").collect():  # at most 2 * 128 * 128 rows
-        counts[r.label][r.a][r.b] += r.n
+    for r in _transitions(every).where("a between 0 and 127 and b between 0 and 127 and (label = 2 or kind = 0)").collect():  # at most 5 * 128 * 128 rows
+        if r.label == 2:
+            _forms(counts[0], r.kind, chr(r.a), chr(r.b), float(r.n))
+        else:
+            counts[r.label][r.a][r.b] += r.n
     out = []
     alphabet = 67
     for a in range(128):
@@ -116,6 +148,7 @@ def train(docs: DataFrame, bound: int = 1000, strings: int = 4000) -> list[float
 
 def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.75) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, stop), in order of start, then kind."""
+    fresh_names(docs, "base", "spans", "_runs")
     text = F.coalesce("text", F.lit(""))
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 12)
     base = F.concat(
@@ -166,12 +199,40 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     return docs.withColumn("text", F.when(F.size("spans") > 0, F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))).otherwise(F.col("text")))
 
 
+def _digest(found: DataFrame, *more: Column) -> DataFrame:
+    """The counts of base spans of each kind and their digest."""
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), *more)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = scan(docs, train(docs))
-    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
-    return found.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"),
-    )
+    return _digest(scan(docs, train(docs)), listed("spans").alias("spans"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op6 that SQL can express, those of the base spans."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return _digest(scan(docs, train(docs)))
+
+
+#: Matches by ``regexp_extract_all``; each is found again from the end of the one before to get its place.
+SECRET_BASE_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k(k, name, pattern) AS (VALUES
+  (0, 'assign', '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)'), (1, 'access', 'AKIA[A-Z0-9]+'), (2, 'hex', '[0-9a-f]+')),
+m AS (SELECT doc_id, k, name, pattern, text, CASE k
+        WHEN 0 THEN regexp_extract_all(text, '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+        WHEN 1 THEN regexp_extract_all(text, 'AKIA[A-Z0-9]+') ELSE regexp_extract_all(text, '[0-9a-f]+') END AS found,
+      CASE k
+        WHEN 0 THEN regexp_split_to_array(text, '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)')
+        WHEN 1 THEN regexp_split_to_array(text, 'AKIA[A-Z0-9]+') ELSE regexp_split_to_array(text, '[0-9a-f]+') END AS gaps FROM d, k),
+s AS (SELECT doc_id, k, name, unnest(range(1, len(found) + 1)) AS i, found, gaps FROM m WHERE len(found) > 0),
+t AS (SELECT doc_id, k, name, found[i] AS hit, list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i - 1], lambda x: length(x))), 0) AS start FROM s),
+b AS (SELECT doc_id, k, name, start::BIGINT AS start, (start + length(hit))::BIGINT AS stop FROM t WHERE CASE k
+        WHEN 0 THEN length(regexp_extract(hit, '((?i:password|passwd|secret|token|api_?key))["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 2)) >= 12
+        WHEN 1 THEN length(hit) >= 18 ELSE length(hit) >= 16 END),
+g AS (SELECT doc_id, count_if(k = 0) AS n_assign, count_if(k = 1) AS n_access, count_if(k = 2) AS n_hex, string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, k) AS l FROM b GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN g ON d.doc_id = g.doc_id
+"""
