@@ -1,6 +1,6 @@
 """Packing into optimal length buckets.
 
-Lengths are counted over the whole corpus into one histogram (at most ``longest`` rows). Dynamic programming over it
+Lengths, in the query the ids of a byte-level BPE tokenizer, are counted over the whole corpus into one histogram (at most ``longest`` rows). Dynamic programming over it
 finds the ``buckets`` boundaries with the least total padding, each sequence being padded to the boundary of its bucket.
 Inside a bucket of boundary L, batches hold floor(budget / L) sequences. Texts of more than ``longest`` tokens become
 several sequences: full ones of ``longest`` tokens and the rest, so nothing is cut off.
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import Scratch
+from .token_files import token_count
 
 SHARD_ROWS = 50_000
 
@@ -91,7 +92,11 @@ def pack(docs: DataFrame, length: Column, budget: int = 16384, longest: int = 40
     )
 
 
-def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, counted in words, packed into batches."""
+def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """All documents, counted in byte-level BPE tokens, packed into batches."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return pack(docs, word_count())
+    return pack(docs, token_count(tokenizer))
