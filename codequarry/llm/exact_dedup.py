@@ -8,7 +8,7 @@ once and never shuffled; the shuffles carry identifiers and digests only.
 
 Defined results: null text counts as empty, and all empty texts are equal (their recipe is empty). The row with the
 largest doc_id of a group stays. Rows that agree in doc_id and text form one group; one of them stays. A row whose doc_id
-is null never stays before one with an id; keep_id is null if no row of the group has an id, and then none stays.
+is null never stays before one with an id; keep_id is null if no row of the group has an id, and then none stays. An empty table gives an empty result.
 Other columns are ignored by the operator.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as T
-from .base import Scratch, slices, text_column
+from .base import Scratch, slices, small_side, text_column
 
 WINDOW, MOST = 32, 16 << 10
 MASK = np.uint32(((1 << 10) - 1) << 22)
@@ -77,15 +77,15 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text_sha256 string, ids array<long>, shas array<binary>")
 
 
-def verified(made: DataFrame) -> DataFrame:
+def verified(scratch: Scratch, made: DataFrame) -> DataFrame:
     """``made`` with ``recipe``: ids where each stands for one content, else ids and the contents' ordinals."""
     seen = made.select(F.explode(F.arrays_zip("ids", "shas")).alias("c")).select(F.col("c.ids").alias("id"), F.col("c.shas").alias("sha")).distinct()
     shared = seen.groupBy("id").agg(F.array_sort(F.collect_set("sha")).alias("contents")).where(F.size("contents") > 1)
-    shared = made.sparkSession.createDataFrame(shared.collect(), shared.schema)  # 64-bit collisions: none in practice
+    shared = scratch.table(shared, "clashes")  # 64-bit collisions: none in practice
     if shared.isEmpty():
         return made.withColumn("recipe", F.col("ids"))
     parts = made.select("doc_id", "text_sha256", F.posexplode(F.arrays_zip("ids", "shas")).alias("at", "c")).distinct()
-    parts = parts.join(shared, F.col("c.ids") == F.col("id"), "left")
+    parts = parts.join(small_side(shared), F.col("c.ids") == F.col("id"), "left")
     parts = parts.withColumn("o", F.coalesce(F.array_position("contents", F.col("c.shas")), F.lit(0)))
     whole = parts.groupBy("doc_id", "text_sha256").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "c.ids", "o"))), lambda p: F.array(p["ids"], p["o"]))).alias("recipe"))
     same = made.alias("m").join(whole.alias("w"), F.col("m.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("m.text_sha256") == F.col("w.text_sha256")), "left")
@@ -96,9 +96,10 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs(doc_id, text, ...)``: doc_id, keep_id, group_size, kept, text_sha256."""
     scratch = Scratch(docs.sparkSession, "exact")
     made = scratch.table(recipes(docs), "recipes")
-    rows = scratch.table(verified(made).groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")), "rows")
+    rows = scratch.table(verified(scratch, made).groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")), "rows")
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).where("group_size > 1")
     groups = scratch.table(groups, "groups")  # written, so both sides of the join are plain exchanges that AQE can split
+    scratch.keep_only(rows, groups)
     out = rows.join(groups, "recipe", "left")
     out = out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")))
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))

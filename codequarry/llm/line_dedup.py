@@ -3,7 +3,7 @@
 A run of lines that occurred earlier, in the order of (doc_id, line number), is deleted where it occurs again if it has at least
 ``window`` lines, or is one line of at least ``words`` words.
 
-Every window of ``window`` line hashes selects its least one (the rightmost of equals), so each run of that length has a selected
+A line is named by 124 bits of two hashes. Every window of ``window`` names selects its least one (the rightmost of equals), so each run of that length has a selected
 line in it: the fingerprints. Lines of ``words`` words or more are fingerprints too. Fingerprints that occur once are dropped by a count with map-side
 combine. The others are extended both ways to the windows around them, a window's first place is a minimum per content, again
 combined map-side, and all its later places are deleted, so the copies of a line are never paired with each other.
@@ -11,7 +11,8 @@ Windows that follow one another extend a deletion to the whole repeated run.
 
 Defined results: null text counts as empty (one empty line) and stays as it is; rows with a null doc_id are left alone; rows that agree in doc_id
 and text are one document and are treated alike. Lines of a window's first place are not deleted for a later place that overlaps it.
-A text whose lines are all deleted becomes empty. Columns of other names pass through.
+A text whose lines are all deleted becomes empty. An empty table gives an empty result. Columns of other names pass through; ``dedup_lines`` adds ``clean``
+and ``n_deleted`` and refuses input that has them.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Scratch, small_side
+from .base import Scratch, fresh_names, small_side
 
 WINDOW, WORDS = 2, 50
 
@@ -30,7 +31,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, words: int = WORDS) ->
     split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
     rows = docs.where("doc_id is not null").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"),
-        F.transform(split, lambda x: F.xxhash64(x)).alias("hashes"), F.transform(split, lambda x: (F.length(x) >= 2 * words - 1) & (_words(x) >= words)).alias("long"),
+        F.transform(split, _name).alias("hashes"), F.transform(split, lambda x: (F.length(x) >= 2 * words - 1) & (_words(x) >= words)).alias("long"),
     ).dropDuplicates(["doc_id", "h"])
     n = F.size("hashes")
     starts = F.when(n >= window, F.sequence(F.lit(0), n - window)).otherwise(F.array().cast("array<int>"))
@@ -52,7 +53,7 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, words: int = WORDS) ->
     last = F.least(F.col("pos"), F.col("n") - window)
     at = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     windows = F.transform(at, lambda s: F.struct(s.alias("start"), F.slice("around", s - F.col("pos") + before + 1, window).alias("key")))
-    windows = F.concat(windows, F.when(F.col("alone"), F.array(F.struct(F.col("pos").alias("start"), F.array("line").alias("key")))).otherwise(F.array().cast("array<struct<start:int,key:array<bigint>>>")))
+    windows = F.concat(windows, F.when(F.col("alone"), F.array(F.struct(F.col("pos").alias("start"), F.array("line").alias("key")))).otherwise(F.array().cast("array<struct<start:int,key:array<struct<h:bigint,check:bigint>>>>")))
     places = scratch.table(near.select("doc_id", "h", F.explode(windows).alias("w")).select("doc_id", "h", "w.start", "w.key").distinct(), "places")
     firsts = scratch.table(places.groupBy("key").agg(F.min(F.struct("doc_id", "h", "start")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "firsts")
     later = places.join(firsts, "key").where(F.struct("doc_id", "h", "start") > F.col("first"))
@@ -62,6 +63,11 @@ def repeated_lines(docs: DataFrame, window: int = WINDOW, words: int = WORDS) ->
     return lines.groupBy("doc_id", "h").agg(F.collect_set("line").alias("lines"))
 
 
+def _name(line):
+    """What stands for a line: a 64-bit hash, and 60 bits of another digest, so that a clash of the one deletes nothing."""
+    return F.struct(F.xxhash64(line).alias("h"), F.conv(F.substr(F.md5(line.cast("binary")), F.lit(1), F.lit(15)), 16, 10).cast("long").alias("check"))
+
+
 def _words(line):
     """Words of a line: gaps between non-spaces, counted."""
     return F.size(F.split(F.trim(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")), " "))
@@ -69,10 +75,12 @@ def _words(line):
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW, words: int = WORDS) -> DataFrame:
     """``docs`` with ``clean``, the text without its repeated runs, and ``n_deleted``, the number of lines they had."""
+    fresh_names(docs, "clean", "n_deleted", "_id", "_h", "_lines", "_split")
     gone = Scratch(docs.sparkSession, "lines").table(repeated_lines(docs, window, words), "gone").toDF("_id", "_h", "_lines")
-    out = docs.join(small_side(gone), (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_h")), "left")
-    left = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x, i: ~F.array_contains("_lines", i))
-    clean = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    split = docs.withColumn("_split", F.split(F.coalesce("text", F.lit("")), "\n", -1))  # before the join, so that it is done once a text
+    out = split.join(small_side(gone), (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size("_split") - 1), "_lines")
+    clean = F.when(F.col("_lines").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get("_split", i)), "\n"))
     return out.select(*docs.columns, clean.alias("clean"), F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_deleted"))
 
 

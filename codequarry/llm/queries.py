@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op3_embedding_near_dedup
+from .embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
-from .minhash_dedup import op10_minhash_near_dedup
+from .minhash_dedup import OP10_SQL, op10_minhash_near_dedup
 from .packing import op7_packing
 from .pieces import op1_sentencepiece
 from .quality import op8_quality_classifier
-from .secrets import op6_secret_scan
+from .secrets import SECRET_BASE_SQL, op6_secret_scan, secret_base_spans
 from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 
-_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup]
+_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup, secret_base_spans]
 
 
 def queries():
@@ -21,4 +21,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_embedding_near_dedup": OP3_SQL, "op10_minhash_near_dedup": OP10_SQL, "secret_base_spans": SECRET_BASE_SQL, "op4_line_dedup": OP4_SQL, "op9_exact_dedup": OP9_SQL}

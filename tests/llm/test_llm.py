@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, round trips, held-out accuracy, and on odd tables."""
 
+import collections
 import hashlib
 import inspect
 import itertools
@@ -10,9 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codequarry.llm import base, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, quality, queries, secrets, token_files, toxicity
+from codequarry.llm import base, embedding_dedup, exact_dedup, line_dedup, minhash_dedup, packing, pieces, quality, queries, secrets, textcore, token_files, toxicity
 from codequarry.llm.pieces import Pieces
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -29,8 +31,6 @@ CLASH = ["key", "rep", "score", "ids", "kept", "lines", "spans", "start", "h"]
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame(ODD, SCHEMA)
     return df.select("*", *[F.lit("x").alias(c) for c in CLASH])
 
@@ -75,7 +75,7 @@ def union_find(nodes, links):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (8, 7), (7, 3), (20, 21), (30, 30)] + [(100 + i, 101 + i) for i in range(40)]
-    got = {r.node: r.root for r in base.components(spark, spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in base.components(base.Scratch(spark, "t"), spark.createDataFrame(links, "a long, b long")).collect()}
     want = union_find({x for p in links for x in p}, links)
     assert got == {k: v for k, v in want.items() if k != v}
 
@@ -147,23 +147,75 @@ def test_toxicity_held_out(spark):
     assert got.score.between(0, 1).all()
 
 
-def test_toxicity_counts_do_not_saturate(spark):
-    text = " ".join(f"w{i} stemx" for i in range(9000))
-    docs = spark.createDataFrame([(text, 0, 0), (text, 1, 1), ("stemx other stemx", 1, 0)], "text string, y int, cut int")
-    stem = int(toxicity.stems(pa.array(["stemx"], pa.large_string()))[0][0])
-    got = toxicity.continuations(docs).where(f"stem = {stem}").first()
-    assert (got.n0, got.n1, got.cut0, got.cut1) == (9000, 9002, 9000, 2)
-
-
-def test_toxicity_model_beyond_broadcast(spark, odd, monkeypatch):
-    docs, labels = synthetic(spark)
-    docs = docs.union(docs.limit(50)).union(odd.select(docs.columns))
-    small = toxicity.train(docs, labels)
-    monkeypatch.setattr(toxicity, "BROADCAST_ROWS", 1)
-    large = toxicity.train(docs, labels)
-    assert len(small[0][0]) > 1 and large[0].count() == len(small[0][0]) and large[1] == small[1]
-    a, b = (sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.score(docs.select("doc_id", "text"), m).collect()) for m in (small, large))
-    assert a == b and sum(x[1] > 0 for x in a) > 10
+def plain_words(text):
+    return re.findall("[0-9A-Za-z\u0080-\U0010ffff]+", low(text or ""))
+
+
+def test_toxicity_against_a_plain_model(spark):
+    """Every log ratio recomputed in plain Python from the texts, with the discounts found here."""
+    docs, labels = synthetic(spark, 240)
+    counts = toxicity.pair_counts(docs.join(labels, "doc_id").select("text", F.col("toxic").alias("y"), F.lit(0).alias("cut"))).cache()
+    model = toxicity.fit(base.Scratch(spark, "t"), counts, "n0", "n1")
+    pairs = [collections.Counter(), collections.Counter()]
+    rows = {r.doc_id: plain_words(r.text) for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.collect()}
+    for i, w in rows.items():
+        pairs[toxic[i]].update(zip(["", *w], w))
+    words = [collections.Counter(v for _, v in p) for p in pairs]
+    stems = [collections.Counter(s for s, _ in {(v[:5], u) for u, v in p}) for p in pairs]
+
+    def discount(c, part):
+        a, b = 0.0, float(max(c.values()))
+        for _ in range(60):
+            m = (a + b) / 2
+            a, b = (m, b) if sum(min(n, m) for n in c.values()) < part * sum(c.values()) else (a, m)
+        return a
+
+    ds, dw, dp = ([discount(c, part) for c in t] for t, part in ((stems, 0.5), (words, 0.5), (pairs, toxicity.PAIR)))
+    every, kinds = sum(sum(c.values()) for c in stems), len(set(stems[0]) | set(stems[1]))
+    whole = collections.Counter()
+    for c in words:
+        for v, n in c.items():
+            whole[v[:5]] += n
+
+    def ratio(u, v):
+        p = []
+        for c in (0, 1):
+            s = max(stems[c][v[:5]] - ds[c], 0) / sum(stems[c].values()) + 0.5 * (stems[0][v[:5]] + stems[1][v[:5]] + 0.01) / (every + 0.01 * kinds)
+            w = max(words[c][v] - dw[c], 0) / sum(words[c].values()) + 0.5 * s * (words[0][v] + words[1][v]) / whole[v[:5]]
+            after = {y: n for (x, y), n in pairs[c].items() if x == u}
+            p.append((max(after.get(v, 0) - dp[c], 0) + (sum(min(n, dp[c]) for n in after.values()) + toxicity.CONTEXT) * w) / (sum(after.values()) + toxicity.CONTEXT))
+        return np.log(p[1] / p[0])
+
+    for i in list(rows)[:6]:
+        w = rows[i]
+        want = sum(np.log1p(toxicity.RATE * np.expm1(ratio(u, v))) for u, v in zip(["", *w], w)) / (len(w) + toxicity.EXTRA_WORDS)
+        got = toxicity.evidence(model, pa.array([" ".join(w)], pa.large_string()))[0]
+        assert got == pytest.approx(want, abs=1e-5)
+    assert all(len(model[k][0]) for k in ("stem", "word"))
+
+
+def test_toxicity_takes_the_larger_of_two_labels(spark):
+    docs, labels = synthetic(spark, 200)
+    doubled = labels.union(labels.withColumn("toxic", F.lit(0)))
+    score = lambda x: sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(docs, toxicity.train(docs, x)).collect())
+    assert score(labels) == score(doubled)
+
+
+def test_quality_scores_against_a_plain_sum():
+    rng = np.random.default_rng(2)
+    w = rng.standard_normal(1 << quality.BITS).astype(np.float32)
+    rows = ["", "one", "One two, two three 12", "é é x" * 30, "a b " * 400]
+    ix, x, offs = quality.features(pa.array(rows, pa.large_string()))
+    got = quality.scores(pa.array(rows, pa.large_string()), w, 0.3)
+    for i, t in enumerate(rows):
+        n = len(re.findall("[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff\x20\x09-\x0d]+", t))
+        at = slice(offs[i], offs[i + 1])
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-(sum(float(w[j]) * float(v) for j, v in zip(ix[at], x[at])) + 0.3))), rel=1e-6)
+        assert len(set(ix[at].tolist())) == offs[i + 1] - offs[i]
+        if n:  # shares of 4 n - 2 n-grams: values squared add up to one
+            assert (x[at].astype(float) ** 2).sum() == pytest.approx(1, rel=1e-5)
+            assert np.allclose(x[at].astype(float) ** 2 * (4 * n - 2), np.round(x[at].astype(float) ** 2 * (4 * n - 2)), atol=1e-2)
 
 
 def test_quality_held_out(spark):
@@ -383,23 +435,121 @@ def test_exact_on_odd_rows(odd):
 def test_chunk_collisions_get_ordinals(spark):
     a, b = bytearray(b"\1" * 32), bytearray(b"\2" * 32)
     rows = [(1, "s1", [7, 8], [a, b]), (2, "s2", [7, 8], [b, b]), (3, "s1", [7, 8], [a, b])]
-    got = {r.doc_id: tuple(r.recipe) for r in exact_dedup.verified(spark.createDataFrame(rows, "doc_id long, text_sha256 string, ids array<long>, shas array<binary>")).collect()}
+    got = {r.doc_id: tuple(r.recipe) for r in exact_dedup.verified(base.Scratch(spark, "t"), spark.createDataFrame(rows, "doc_id long, text_sha256 string, ids array<long>, shas array<binary>")).collect()}
     assert got[1] == got[3] != got[2]
 
 
+def test_near_in_slices(spark, monkeypatch):
+    """Families cut into many slices give the same components as those solved in one task."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for f in range(3):
+        words = rng.choice(["w%d" % i for i in range(300)], 80).tolist()
+        for _ in range(25):
+            copy = list(words)
+            for j in rng.choice(80, rng.integers(0, 9), replace=False):
+                copy[j] = "x%d" % rng.integers(60)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(3, rows[30][1] + " y"), (500, rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sort = lambda d: sorted(map(tuple, d.collect()))
+    whole = sort(minhash_dedup.near_duplicates(df, k=2))
+    monkeypatch.setattr(minhash_dedup, "TOKENS", 400)
+    assert sort(minhash_dedup.near_duplicates(df, k=2)) == whole
+    sizes, root = brute_near(rows[:-2], 2, 80)
+    assert root[3] != root[30] and {c for i, _, c, _ in whole if i in (3, 30)} == {min(root[3], root[30])}  # doc 3 has two texts
+
+
+def test_similar_against_sets():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30)).astype(np.int64)) for _ in range(150)]
+    x, offs = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    i, j = minhash_dedup.similar(x, offs, x, offs, 50)
+    want = {(a, b) for a in range(150) for b in range(150) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))}
+    assert set(zip(i.tolist(), j.tolist())) == want
+
+
+# hashes
+
+
+def thue_morse(bits=10):
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(1 << bits))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_that_cancel_in_polynomials(spark):
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse()
+    col = pa.array([a, b], pa.large_string())
+    h, _ = textcore.words(col)
+    assert h[0] != h[1]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids, size = token_files.Encoder.of(path).encode(col)
+    library = Tokenizer.from_file(path)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [library.encode(t).ids for t in (a, b)]
+    p = Pieces.of(public_tokenizers.path("piece_bpe_32k.model"))
+    assert p.decode(*p.encode(col)) == [a, b]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2}
+
+
+def test_stores_survive_clashing_hashes(duck, monkeypatch):
+    """With a hash of 8 bits nearly all words clash; ids stay right because bytes are compared."""
+    rows = pa.array([t for _, t in texts(duck)][:60] + ["", " "], pa.large_string())
+    whole = textcore.span_hash
+    encoder, p = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json")), Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    right = encoder.encode(rows), p.encode(rows)
+    monkeypatch.setattr(textcore, "span_hash", lambda *a: whole(*a) & np.uint64(0xFF))
+    encoder._reset()
+    p.known.clear()
+    for (ids, size), (want, n) in zip((encoder.encode(rows), p.encode(rows)), right):
+        assert (ids == want).all() and (size == n).all()
+
+
+def test_vectors_in_double_precision(spark):
+    rows = [(1, [1e200, 0.0]), (2, [1e200, 0.0]), (3, [1.0, 1e-50]), (4, [1e-300, 0.0]), (5, [0.0, 1.0]), (5, [0.0, 2.0])]
+    got = sorted(map(tuple, embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert got == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 3, 1, False), (5, 1, 5, True), (5, 1, 5, True)]
+    empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert embedding_dedup.near_vectors(empty).count() == 0
+
+
+def test_stages_tell_rows_apart(spark):
+    rows = [(2, "A", "en", "s", 1), (2, "B unique", "en", "s", 1), (5, "a", "en", "s", 1), (None, "zz", "x", "y", 2), (None, "ZZ", "x", "y", 2), (7, "q q", "a", "b", 1), (7, "q q", "a", "b", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for stage in (corpus_pipeline.exact_stage, corpus_pipeline.near_stage):
+        got = {(r.doc_id, r.text) for r in stage(spark, docs, "").collect()}
+        assert got == {(2, "B unique"), (5, "a"), (7, "q q"), (None, "ZZ")} and stage(spark, docs, "").count() == 4
+
+
+def test_clashing_names_are_refused(odd, docs, spark):
+    model = secrets.train(docs.limit(0))
+    for add in (
+        lambda: secrets.scan(odd, model), lambda: quality.score(odd, (np.zeros(1 << quality.BITS), 0.0)), lambda: toxicity.score(odd, ({}, 0.1)),
+        lambda: pieces.encode(odd, public_tokenizers.path("piece_bpe_32k.model")), lambda: line_dedup.dedup_lines(odd.withColumn("Clean", F.lit(1))),
+    ):
+        with pytest.raises(ValueError, match="rename"):
+            add()
+
+
 # odd tables
 
 
-def operators(model):
+def operators(model, *labels):
     return {
         "exact": exact_dedup.exact_duplicates, "near": minhash_dedup.near_duplicates, "lines": line_dedup.dedup_lines, "secrets": lambda d: secrets.redact(secrets.scan(d.drop("spans"), model)),
+        "toxicity": lambda d: toxicity.score(d.drop("score"), toxicity.train(d, *labels)), "quality": lambda d: quality.score(d.drop("score"), quality.train(d, *labels)),
+        "pieces": lambda d: pieces.encode(d.drop("ids"), public_tokenizers.path("piece_bpe_32k.model")),
+        "tokens": lambda d: token_files.read_documents(base.Scratch(d.sparkSession, "t").table(token_files.write_shards(d, public_tokenizers.path("byte_bpe_50k.json"), base.new_path(d.sparkSession, "t")), "manifest")),
         "packing": lambda d: packing.pack(d, packing.word_count()),
     }
 
 
-@pytest.mark.parametrize("name", ["exact", "near", "lines", "secrets", "packing"])
-def test_odd_and_empty_tables(odd, none, docs, name):
-    run = operators(secrets.train(docs))[name]
+@pytest.mark.parametrize("name", ["exact", "near", "lines", "secrets", "packing", "toxicity", "quality", "pieces", "tokens"])
+def test_odd_and_empty_tables(spark, odd, none, docs, name):
+    labels = spark.createDataFrame([(1, 1, 1), (3, 0, 0), (5, None, None), (6, 0, 0), (7, 0, 0), (None, 1, 1), (8, 1, 1), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    run = operators(secrets.train(docs), labels)[name]
     assert run(none).count() == 0
     got = run(odd).collect()
     rows = sum(max(1, -(-len(re.findall("[^\x20\x09-\x0d]+", t or "")) // 4096)) for _, t, *_ in ODD) if name == "packing" else len(ODD)
