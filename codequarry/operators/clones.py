@@ -19,26 +19,43 @@ def token_streams(files: DataFrame) -> DataFrame:
     return files.select("path", F.size("lines").cast("long").alias("n"), F.sha2(F.array_join(tokens, SEP).cast("binary"), 256).alias("digest"))
 
 
-def candidates(files: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(key, language, path, first, start, end, n): runs of at least two statements and ``min_lines`` lines that may repeat.
+def _pair_counts(base: DataFrame) -> DataFrame:
+    """(path, ix, count, before, after) of adjacent pairs that repeat in their language: occurrences of the pair, and of it with the statement before and after.
 
-    Every adjacent pair of a repeated run is itself repeated in its language, so only stretches of repeated pairs are enumerated. The pairs are
-    counted with map-side combine; the texts themselves are not shuffled but for files that have such a stretch.
+    ``before`` and ``after`` are null at the ends of a file. Pairs and triples are counted with map-side combine; no text is shuffled.
+    """
+    digest = lambda i, n: F.sha2(F.concat_ws(SEP, *[F.element_at("tokens", i + k) for k in range(n)]).cast("binary"), 256)
+    size = F.size("tokens")
+    both = F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.struct(digest(i, 2).alias("pair"), F.when(i < size - 1, digest(i, 3)).alias("triple")))
+    rows = base.where(size >= 2).select("path", "language", F.posexplode(both).alias("ix", "p")).select("path", "language", "ix", "p.pair", "p.triple")
+    often = rows.groupBy("language", "pair").agg(F.count("*").alias("count")).where("count >= 2")
+    longer = rows.where("triple is not null").groupBy("language", "triple").agg(F.count("*").alias("after")).where("after >= 2")
+    hits = rows.join(often, ["language", "pair"]).join(longer, ["language", "triple"], "left")
+    after = F.when(F.col("triple").isNotNull(), F.coalesce("after", F.lit(1)))
+    at = Window.partitionBy("path").orderBy("ix")
+    near = F.lag("ix").over(at) == F.col("ix") - 1  # else the pair before does not repeat, and so neither does this one with it
+    hits = hits.select("path", "ix", "count", after.alias("after")).withColumn("before", F.when(near, F.lag("after").over(at)))
+    return hits.withColumn("island", F.col("ix") - F.row_number().over(at))
+
+
+def candidates(files: DataFrame, min_lines: int = 3, ends_only: bool = False) -> DataFrame:
+    """(key, language, path, first, start, end, n, lines): runs of at least two statements and ``min_lines`` lines that may repeat.
+
+    Every adjacent pair of a repeated run is itself repeated in its language, so only stretches of repeated pairs are enumerated. With ``ends_only`` a run
+    must begin where the statement before differs among the occurrences of its first pair, and end where the one after its last pair does: all others are
+    contained, member by member, in a run of one more statement, so the maximal groups are the same, and a stretch of any length that two files share is one run.
     """
     tokens = F.transform("lines", lambda x: x["token"])
     base = files.select("path", "language", tokens.alias("tokens"), F.transform("lines", lambda x: x["line"]).alias("at"))
-    pair = F.transform(F.sequence(F.lit(1), F.size("tokens") - 1), lambda i: F.sha2(F.concat_ws(SEP, F.element_at("tokens", i), F.element_at("tokens", i + 1)).cast("binary"), 256))
-    pairs = base.where(F.size("tokens") >= 2).select("path", "language", F.posexplode(pair).alias("ix", "pair"))
-    often = pairs.groupBy("language", "pair").agg(F.count("*").alias("c")).where("c >= 2").select("language", "pair")
-    hits = pairs.join(often, ["language", "pair"], "left_semi")
-    island = F.col("ix") - F.row_number().over(Window.partitionBy("path").orderBy("ix"))
-    islands = hits.withColumn("g", island).groupBy("path", "g").agg(F.min("ix").alias("lo"), F.max("ix").alias("hi"))
-    runs = islands.select("path", F.explode(F.sequence("lo", "hi")).alias("a"), "hi").select("path", "a", F.explode(F.sequence(F.col("a") + 1, F.col("hi") + 1)).alias("b"))
-    runs = runs.where(F.col("b") - F.col("a") + 1 >= max(2, min_lines)).join(base, "path")
+    hits = _pair_counts(base)
+    open_ = lambda side: F.col(side).isNull() | (F.col(side) < F.col("count")) if ends_only else F.lit(True)
+    places = hits.groupBy("path", "island").agg(F.collect_list(F.when(open_("before"), F.col("ix"))).alias("begins"), F.collect_list(F.when(open_("after"), F.col("ix"))).alias("ends"))  # pairs of one file
+    runs = places.select("path", F.explode("begins").alias("a"), "ends").select("path", "a", F.explode(F.filter("ends", lambda e: e - F.col("a") + 2 >= max(2, min_lines))).alias("e"))
+    runs = runs.select("path", "a", (F.col("e") + 1).alias("b")).join(base, "path")
     n = F.col("b") - F.col("a") + 1
     key = F.sha2(F.concat_ws(SEP, F.concat(F.lit("language:"), F.col("language")), F.slice("tokens", F.col("a") + 1, n)).cast("binary"), 256)
     line = lambda i: F.element_at("at", F.col(i) + 1).alias({"a": "start", "b": "end"}[i])
-    return runs.select(key.alias("key"), "language", "path", (F.col("a") + 1).cast("long").alias("first"), line("a"), line("b"), n.cast("long").alias("n"))
+    return runs.select(key.alias("key"), "language", "path", (F.col("a") + 1).cast("long").alias("first"), line("a"), line("b"), n.cast("long").alias("n"), F.slice("at", F.col("a") + 1, n).alias("lines"))
 
 
 def groups(found: DataFrame) -> DataFrame:
@@ -71,7 +88,6 @@ def _held(inside: DataFrame) -> DataFrame:
 
 def redundancy(members: DataFrame) -> DataFrame:
     """One row per group: all lines but those of its first member, by path and start."""
-    lines = F.col("end") - F.col("start") + 1
     first = F.min_by("n", F.struct("path", "start"))
     place = F.min(F.struct("path", "start"))
     return members.groupBy("key", "language").agg(
@@ -80,7 +96,7 @@ def redundancy(members: DataFrame) -> DataFrame:
 
 
 def redundant_lines(members: DataFrame) -> DataFrame:
-    """(language, path, line): lines of every member but the first of its group."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("path", "start"))
-    rest = members.withColumn("r", rank).where("r > 1")
-    return rest.select("language", "path", F.explode(F.sequence("start", "end")).alias("line")).distinct()
+    """(language, path, line): executable lines of every member but the first of its group."""
+    first = members.groupBy("key").agg(F.min(F.struct("path", "start")).alias("place"))
+    rest = members.join(first, "key").where(F.struct("path", "start") > F.col("place"))
+    return rest.select("language", "path", F.explode("lines").alias("line")).distinct()

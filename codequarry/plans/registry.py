@@ -120,22 +120,22 @@ def _candidates(spark, sf_dir):
 
 
 def _maximal(spark, sf_dir):
-    return clones.maximal(clones.groups(_candidates(spark, sf_dir)))
+    return clones.maximal(clones.groups(clones.candidates(A.with_lines(A.files(spark, sf_dir)), ends_only=True)))
 
 
 @query('SELECT key, language, path, first, start, end_ AS "end", n FROM cd', RUNS)
 def clone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _candidates(spark, sf_dir)
+    return _candidates(spark, sf_dir).drop("lines")
 
 
 @query('SELECT key, language, path, first, start, end_ AS "end", n, members FROM mem', RUNS)
 def clone_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clones.groups(_candidates(spark, sf_dir))
+    return clones.groups(_candidates(spark, sf_dir)).drop("lines")
 
 
 @query('SELECT key, language, path, first, start, end_ AS "end", n, members FROM mx', RUNS)
 def clone_maximal_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maximal(spark, sf_dir)
+    return _maximal(spark, sf_dir).drop("lines")
 
 
 @query("""SELECT key, language, count(*) AS members, max(n) AS statements, (sum(n) - arg_min(n, (path, start)))::BIGINT AS redundant_lines,
@@ -146,8 +146,8 @@ def clone_redundant_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FLAG = RUNS + (
     "rep AS (SELECT path, language, line FROM (SELECT *, lag(token) OVER (PARTITION BY path ORDER BY ix) AS prev FROM st) WHERE token = prev)",
-    """fg AS (SELECT language, path, line FROM rep UNION SELECT language, path, unnest(range(start, end_ + 1)) FROM
-    (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path, start) AS r FROM mx) WHERE r > 1)""",
+    """fg AS (SELECT language, path, line FROM rep UNION SELECT language, path, unnest(ats[first:first + n - 1]) FROM
+    (SELECT *, row_number() OVER (PARTITION BY key ORDER BY path, start) AS r FROM mx) JOIN (SELECT path, ats FROM fl) USING (path) WHERE r > 1)""",
     FAMILIES,
 )
 
@@ -504,12 +504,12 @@ def unmatched_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SUP = (FILES, ST, "fnd AS (SELECT path, line, 'REPEAT' AS rule FROM (SELECT *, lag(token) OVER (PARTITION BY path ORDER BY ix) AS prev FROM st) WHERE token = prev)",
-       "dir AS (SELECT path, line, 'REPEAT' AS rule FROM st WHERE regexp_matches(token, '^(The|Les|De|Nicht)[ .]'))")
+       "dir AS (SELECT path, line, 'REPEAT' AS rule FROM st WHERE regexp_matches(token, '^[A-M]'))")
 
 
 def _directives(spark, sf_dir):
     f = _repeated(spark, sf_dir).select("path", "line", F.lit("REPEAT").alias("rule"))
-    d = A.statements(A.files(spark, sf_dir)).where(F.col("token").rlike("^(The|Les|De|Nicht)[ .]")).select("path", "line", F.lit("REPEAT").alias("rule"))
+    d = A.statements(A.files(spark, sf_dir)).where(F.col("token").rlike("^[A-M]")).select("path", "line", F.lit("REPEAT").alias("rule"))
     return policy.suppress(f, d)
 
 

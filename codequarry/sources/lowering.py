@@ -53,7 +53,7 @@ class Callable_:
 
 def tokens(source: str, family: str) -> list[Token]:
     """Tokens without comments, with their first and last line."""
-    lines = [i for i, c in enumerate(source) if c == "\n"]
+    lines = [m.start() for m in re.finditer("\n", source)]
     out: list[Token] = []
     at, scan = 0, SCANNERS[family]
     while m := scan.search(source, at):
@@ -158,7 +158,7 @@ def callables(ts: list[Token], pair: dict[int, int], family: str) -> list[Callab
                     j = pair[j] + 1 if ts[j].text in ("(", "[") else j + 1
                 if j < len(ts) and ts[j].text == "{":
                     out.append(Callable_(ts[i + 1].text, i, j, pair[j]))
-            elif t.kind == "op" and t.text in ("|", "||") and _starts_operand(ts[:i][-1:]):
+            elif t.kind == "op" and t.text in ("|", "||") and _starts_operand(ts[max(i - 1, 0) : i]):
                 j = i
                 if t.text == "|":
                     j = i + 1
@@ -233,7 +233,7 @@ def decisions(ts: list[Token], pair: dict[int, int], family: str) -> set[int]:
             elif family == "rust" and t.text == "match":
                 out |= _arms(ts, pair, i)
         elif t.kind == "op":
-            if t.text in ("&&", "||") and not _starts_operand(ts[:i][-1:]):
+            if t.text in ("&&", "||") and not _starts_operand(ts[max(i - 1, 0) : i]):
                 out.add(i)
             elif t.text == "??" and family == "js_ts":
                 out.add(i)

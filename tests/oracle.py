@@ -16,4 +16,6 @@ def canonical(rows, columns):
 
 def assert_same(df, cursor):
     names = [d[0] for d in cursor.description]
-    assert canonical([tuple(r) for r in df.collect()], df.columns) == canonical(cursor.fetchall(), names)
+    rows = df.collect()
+    assert canonical([tuple(r) for r in rows], df.columns) == canonical(cursor.fetchall(), names)
+    return len(rows)

@@ -53,6 +53,28 @@ def members(spark, rows):
     return clones.groups(made.withColumn("first", F.col("start")))
 
 
+def numbered(spark, texts):
+    rows = [(p, "java", [(i + 1, t) for i, t in enumerate(ts)]) for p, ts in texts.items()]
+    return spark.createDataFrame(rows, "path string, language string, lines array<struct<line:long,token:string>>")
+
+
+def test_maximal_groups_from_ends_only(spark):
+    import random
+
+    rng = random.Random(5)
+    block = [f"s{i}" for i in range(6)]
+    texts = {f"f{n}": [rng.choice("abcd") if rng.random() < 0.4 else x for x in block * 3] for n in range(8)} | {"same1": list("xyxyxyx"), "same2": list("yxyxyx")}
+    files = numbered(spark, texts)
+    of = lambda ends: sorted((r.key, r.path, r.first, r.n, r.members) for r in clones.maximal(clones.groups(clones.candidates(files, 2, ends))).collect())
+    assert of(True) == of(False) != []
+
+
+def test_two_copies_of_a_long_file_are_one_run(spark):
+    text = [f"statement {i}" for i in range(10_000)]
+    found = clones.candidates(numbered(spark, {"a": text, "b": text}), ends_only=True).collect()
+    assert [(r.path, r.first, r.n, len(r.lines)) for r in sorted(found, key=lambda r: r.path)] == [("a", 1, 10_000, 10_000), ("b", 1, 10_000, 10_000)]
+
+
 def test_contained_group_falls_away(spark):
     rows = [("big", "java", p, 1, 15, 5) for p in "ab"] + [("small", "java", p, 3, 10, 3) for p in "ab"]
     assert {r.key for r in clones.maximal(members(spark, rows)).collect()} == {"big"}

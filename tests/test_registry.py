@@ -12,4 +12,4 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sf_dir, duck, name):
-    assert_same(QUERIES[name](spark, sf_dir), duck.execute(SQL[name]))
+    assert assert_same(QUERIES[name](spark, sf_dir), duck.execute(SQL[name])) > 0
