@@ -38,3 +38,44 @@ def line_count(text: Column) -> Column:
     """Lines of a text; a last line end starts no line."""
     n = F.length(text) - F.length(F.translate(text, "\n", ""))
     return (n + F.when((text == "") | text.endswith("\n"), 0).otherwise(1)).cast("long")
+
+
+#: Code points that turn the reading direction, as inclusive ranges.
+BIDI = ((0x61C, 0x61C), (0x200E, 0x200F), (0x202A, 0x202E), (0x2066, 0x2069))
+UNSAFE = "[\\x{00}-\\x{1F}\\x{7F}-\\x{9F}" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in BIDI) + "]"
+
+
+def percent_encoded(path: Column) -> Column:
+    """Path with every byte of its segments but unreserved ones as ``%XX``; slashes stay."""
+    one = lambda s: F.replace(F.replace(F.replace(F.url_encode(s), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    return F.array_join(F.transform(F.split(path, "/"), one), "/")
+
+
+def terminal(text: Column) -> Column:
+    """Text whose control and direction characters are ``\\u{hex}``, so that it can't move a cursor or reorder a line."""
+    code = lambda c: F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "^0+(?=.)", "")
+    each = F.transform(F.split(text, ""), lambda c: F.when(c.rlike(UNSAFE), F.concat(F.lit("\\u{"), code(c), F.lit("}"))).otherwise(c))
+    return F.when(text.rlike(UNSAFE), F.array_join(each, "")).otherwise(text)
+
+
+def framed_digest(domain: str, version: int, *parts: Column) -> Column:
+    """SHA-256 over a domain, a version and parts each behind its length in bytes, so that no two lists of parts are hashed alike."""
+    framed = [F.concat(F.octet_length(p).cast("string"), F.lit(":"), p) for p in parts]
+    return F.sha2(F.concat(F.lit(f"{domain}/{version}/"), *framed).cast("binary"), 256)
+
+
+def excerpt(text: Column, start: Column, lines: int = 20, size: int = 4096) -> Column:
+    """(text, truncated): up to ``lines`` lines from line ``start`` and ``size`` bytes, cut at a character."""
+    every = F.split(text, "\n", -1)
+    some = F.array_join(F.slice(every, start.cast("int"), lines), "\n")
+    raw = some.cast("binary")
+    short = F.coalesce(*[F.try_validate_utf8(F.substring(raw, 1, size - k).cast("string")) for k in range(4)])
+    long = F.octet_length(some) > size
+    return F.struct(F.when(long, short).otherwise(some).alias("text"), (long | (F.size(every) - start + 1 > lines)).alias("truncated"))
+
+
+def scrubbed(message: Column, folders: list[str]) -> Column:
+    """Message without local folders: the longest of ``folders`` first, each as ``<path>``."""
+    for f in sorted(folders, key=len, reverse=True):
+        message = F.replace(message, F.lit(f), F.lit("<path>"))
+    return message

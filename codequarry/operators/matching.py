@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+
 
 def tree_diff(base: DataFrame, cand: DataFrame) -> DataFrame:
     """(path, status, base_oid, oid): added, deleted and modified files."""
@@ -102,10 +104,10 @@ def set_members(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame
     rb = kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(b2, equal2, "base"), 2))
     rc = kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(c2, equal2, "cand"), 2)).join(rb.select(*key).distinct(), key, "left_semi")
     done = one.unionByName(two)
-    rb, rc = rb.localCheckpoint(), rc.localCheckpoint()
-    three, unclear = (x.localCheckpoint() for x in by_fingerprint(base, cand, done))
+    rb, rc = cut(rb), cut(rc)
+    three, unclear = (cut(x) for x in by_fingerprint(base, cand, done))
     pool = lambda rows, side: _left(rows, done, side).join(unclear, "fp").select(F.lit(3).alias("tier"), F.col("fp").alias("file"), F.lit("").alias("name"), "path", "ix", "nb", "nc")
-    ab, ac = pool(base, "base").localCheckpoint(), pool(cand, "cand").localCheckpoint()
+    ab, ac = cut(pool(base, "base")), cut(pool(cand, "cand"))
     rb = _left(rb, three, "base")
     free = _left(rc, three, "cand").join(ac.where("nb > 0").select("path", "ix"), ["path", "ix"], "left_anti")
     counts = rb.select(*key, F.lit(1).alias("b"), F.lit(0).alias("c")).unionByName(free.select(*key, F.lit(0).alias("b"), F.lit(1).alias("c")))

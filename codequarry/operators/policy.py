@@ -71,15 +71,15 @@ def suppress(findings: DataFrame, directives: DataFrame) -> tuple[DataFrame, Dat
     return hit, unused
 
 
-def coverage_reason(size: Column, utf8_path: Column, extension: Column, supported: list[str]) -> Column:
+def coverage_reason(size: Column, utf8_path: Column, extension: Column, supported: list[str], ceiling: int = CEILING) -> Column:
     """Why a file can't be analysed, or null: size first, then path, then extension."""
-    return F.when(size > CEILING, "too_large").when(~utf8_path, "non_utf8_path").when(~extension.isin(supported), "unsupported_extension")
+    return F.when(size > ceiling, "too_large").when(~utf8_path, "non_utf8_path").when(~extension.isin(supported), "unsupported_extension")
 
 
 def contribution(code: Column, severity: Column) -> Column:
-    """Exit bits of a diagnostic: 1 for a denied policy code, 2 for an error or an unknown code, 0 otherwise."""
+    """Exit bits of a diagnostic: 1 for a denied policy code and for a new suppression that is not allowed, 2 for an error or an unknown code, 0 otherwise."""
     return (
-        F.when(code.isin("E101", "E102", "V101", "V102", "S101", "S102"), F.when(severity == "deny", 1).otherwise(0))
+        F.when(code == "S101", F.when(severity == "allow", 0).otherwise(1)).when(code.isin("E101", "E102", "V101", "V102", "S102"), F.when(severity == "deny", 1).otherwise(0))
         .when(code == "C101", 0).otherwise(2)
     )
 

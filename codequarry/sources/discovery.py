@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 #: Languages by extension.
 LANGUAGES = {"java": "java", "js": "js_ts", "jsx": "js_ts", "mjs": "js_ts", "cjs": "js_ts", "ts": "js_ts", "tsx": "js_ts", "rs": "rust"}
 CEILING = 1 << 20
+#: Globs that are excluded unless asked for, by reason. A glob without an inner slash matches at any depth, one with a last slash a folder.
+DEPENDENCY_OR_BUILD = ["node_modules/", "target/", "build/", "dist/", "out/", "bin/", ".gradle/", ".mvn/", "vendor/", "coverage/", ".next/", ".nuxt/"]
+WEBJARS = ["**/META-INF/resources/webjars/**"]
+GENERATED = ["**/generated/**", "**/gen/**", "*.min.js", "*.bundle.js", "*_pb.js", "*.d.ts"]
+TESTS = [
+    "**/test/**", "**/tests/**", "**/__tests__/**", "**/__mocks__/**", "**/testFixtures/**", "**/src/test/**", "*Test.java", "*Tests.java", "*TestCase.java", "*.test.*", "*.spec.*", "**/fixture/**",
+    "**/fixtures/**", "**/__fixtures__/**", "**/e2e/**", "**/qa/**", "*.e2e-spec.*",
+]
+
+
+def anywhere(glob: str) -> str:
+    """A glob without an inner slash as one that matches at any depth."""
+    return glob if "/" in glob.rstrip("/") else "**/" + glob.rstrip("/") + ("/**" if glob.endswith("/") else "")
+
+
+def built_in(include_tests: bool = False, exclude: list[str] | None = None) -> dict[str, list[str]]:
+    """Globs by skip reason, in order of precedence, for ``skip_reason``. A check gates test files too and includes them."""
+    out = {"dependency_or_build_output": DEPENDENCY_OR_BUILD + WEBJARS, "generated_code": GENERATED} | ({} if include_tests else {"test": TESTS}) | ({"user_exclude": exclude} if exclude else {})
+    return {reason: [anywhere(g) for g in globs] for reason, globs in out.items()}
 
 
 def extension(path: Column) -> Column:
@@ -67,7 +86,7 @@ def skip_reason(path: Column, globs: dict[str, list[str]]) -> Column:
 
 def ignored(paths: DataFrame, rules: list[tuple[str, bool]]) -> DataFrame:
     """``paths`` with ``ignored``: the last rule (glob, negated) that matches decides; no match keeps the path."""
-    last = F.greatest(*[F.when(matches(F.col("path"), [g]), F.lit(i + 1)).otherwise(F.lit(0)) for i, (g, _) in enumerate(rules)], F.lit(0))
+    last = F.greatest(*[F.when(matches(F.col("path"), [g]), F.lit(i + 1)).otherwise(F.lit(0)) for i, (g, _) in enumerate(rules)], F.lit(0), F.lit(0))
     drops = [i + 1 for i, (_, negated) in enumerate(rules) if not negated]
     return paths.withColumn("ignored", last.isin(drops))
 

@@ -8,6 +8,8 @@ Files over 1 MiB are not read; an unbalanced file gives no callables and ``faile
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -15,6 +17,8 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 CEILING = 1 << 20
 CONSTANTS = {"this", "super", "self", "Self", "null", "undefined", "true", "false"}
@@ -317,18 +321,136 @@ def measure(source: str, family: str) -> tuple[list[tuple[str, int, int, int, in
     return [(c.name, ts[c.start].line, ts[c.last].last, cc[n], len(rows[n])) for n, c in enumerate(found)], len(lines), False
 
 
-SCHEMA = "path string, language string, failed boolean, scanned_lines long, callables array<struct<name:string,start_line:long,end_line:long,cc:long,sloc:long>>"
+TERMINATORS = {"return", "throw", "break", "continue"}
+#: Rules by family; Rust has none.
+RULES = {
+    "java": {"unreachable": "JAVA-UNREACHABLE-AFTER-RETURN", "catch": "JAVA-EMPTY-CATCH", "else": "JAVA-REDUNDANT-ELSE-AFTER-RETURN"},
+    "js_ts": {"unreachable": "JSTS-UNREACHABLE-AFTER-RETURN", "catch": "JSTS-EMPTY-CATCH", "else": "JSTS-REDUNDANT-ELSE-AFTER-RETURN"},
+}
+
+
+def blocks(ts: list[Token], pair: dict[int, int]) -> dict[int, list[tuple[int, int]]]:
+    """Statements, as (first, last) token, of every brace that is not a literal, by the index of the brace."""
+    out = {}
+    for i, t in enumerate(ts):
+        if t.kind != "op" or t.text != "{" or i and ts[i - 1].text in ("=", "(", ",", ":", "?", "[", "return", "&&", "||", "??"):
+            continue
+        k = start = i + 1
+        found = []
+        while k < pair[i]:
+            inner = ts[k].text in OPEN and ts[k].kind == "op"
+            k = pair[k] if inner else k
+            follows = ts[k + 1]
+            ends = ts[k].text == ";" or inner and ts[k].text == "}" and (follows.kind in ("word", "text", "number") or follows.text in ("{", "}", "@", "#") or follows.kind == "key" and follows.text not in ("else", "catch", "finally", "while", "instanceof", "in", "as"))
+            k += 1
+            if ends:
+                found.append((start, k - 1))
+                start = k
+        if start < pair[i]:
+            found.append((start, pair[i] - 1))
+        out[i] = found
+    return out
+
+
+def findings(ts: list[Token], pair: dict[int, int], family: str, of_block: dict[int, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
+    """(rule, first token, last token) of statements after a terminator, empty catch blocks, and else branches behind a return."""
+    rules, out = RULES.get(family), []
+    if not rules:
+        return out
+    for rows in of_block.values():
+        for n, (first, _) in enumerate(rows[:-1]):
+            if ts[first].kind == "key" and ts[first].text in TERMINATORS:
+                rest = list(itertools.takewhile(lambda r: ts[r[0]].text not in ("case", "default"), rows[n + 1 :]))
+                rest = [r for r in rest if ts[r[0]].text not in ("function", "class")]
+                if rest:
+                    out.append((rules["unreachable"], rest[0][0], rest[-1][1]))
+                break
+    for i, t in enumerate(ts):
+        if t.kind != "key":
+            continue
+        j = i + 1
+        if j < len(ts) and ts[j].text == "(":
+            j = pair[j] + 1
+        if t.text == "catch" and j < len(ts) and ts[j].text == "{" and pair[j] == j + 1:
+            out.append((rules["catch"], i, pair[j]))
+        elif t.text == "if" and j < len(ts) and ts[j].text == "{":
+            end = pair[j] + 1
+            if end + 1 < len(ts) and ts[end].text == "else" and of_block.get(j) and ts[of_block[j][-1][0]].text == "return":
+                last = pair[end + 1] if ts[end + 1].text == "{" else _expression_end(ts, pair, end + 1)
+                out.append((rules["else"], end, last))
+    return sorted(out, key=lambda f: (f[1], f[0]))
+
+
+def directives(source: str, family: str, keyword: str, rules: set[str]) -> list[tuple[int, str, str | None]]:
+    """(line, text, rule) of the comments that begin with ``keyword``; rule is null where the form ``// keyword[RULE]: reason`` on a line of its own is not kept."""
+    lines = [m.start() for m in re.finditer("\n", source)]
+    out = []
+    for m in SCANNERS[family].finditer(source):
+        if m.lastgroup != "comment":
+            continue
+        line, text = bisect_right(lines, m.start() - 1) + 1, m[0]
+        if text.startswith("//"):
+            if text[2:].lstrip().startswith(keyword):
+                form = re.fullmatch(re.escape(keyword) + r"\[([^\]]*)\]:(.*)", text[2:].lstrip(), re.S)
+                alone = not source[source.rfind("\n", 0, m.start()) + 1 : m.start()].strip()
+                out.append((line, text, form[1] if form and alone and form[1] in rules and form[2].strip() else None))
+        else:
+            for n, row in enumerate(text[2:].split("\n")):
+                if re.match(r"\s*\**\s*" + re.escape(keyword) + r"\s*[\[:]", row):
+                    out.append((line + n, text, None))
+                    break
+    return out
+
+
+def analyse(source: str, family: str) -> dict:
+    """All relations of one file, as plain values in the order of SCHEMA."""
+    rows, scanned, failed = measure(source, family)
+    ts = tokens(source, family)
+    able = [executable(ts, i, family) for i in range(len(ts))]
+    lines = lambda a, b: sorted({n for i in range(a, b + 1) if able[i] for n in range(ts[i].line, ts[i].last + 1)})
+    out = {"failed": failed, "scanned_lines": scanned, "exec_lines": lines(0, len(ts) - 1), "callables": [], "statements": [], "findings": []}
+    pair = brackets(ts)
+    if pair is None:
+        return out
+    digest = lambda c: hashlib.sha256("\x01".join(t.text for t in ts[c.first : c.last + 1]).encode()).hexdigest()
+    out["callables"] = [dict(zip(("name", "start_line", "end_line", "cc", "sloc", "fp"), (*r, digest(c)))) for r, c in zip(rows, callables(ts, pair, family))]
+    found = blocks(ts, pair)
+    for i, parts in found.items():
+        for a, b in parts if len(parts) > 1 else ():
+            out["statements"].append({"block": i, "line": ts[a].line, "last": ts[b].last, "token": " ".join(t.text for t in ts[a : b + 1])})
+    out["findings"] = [{"rule": r, "start_line": ts[a].line, "end_line": ts[b].last, "lines": lines(a, b)} for r, a, b in findings(ts, pair, family, found)]
+    return out
+
+
+SCHEMA = (
+    "path string, language string, failed boolean, scanned_lines long, exec_lines array<long>, callables array<struct<name:string,start_line:long,end_line:long,cc:long,sloc:long,fp:string>>, "
+    "statements array<struct<block:long,line:long,last:long,token:string>>, findings array<struct<rule:string,start_line:long,end_line:long,lines:array<long>>>"
+)
 
 
 def lower(files: DataFrame) -> DataFrame:
     """One row per file of ``files(path, language, text)`` in a known language of at most 1 MiB, null text as empty."""
     wanted = files.where("language in ('java', 'js_ts', 'rust')").where(f"coalesce(octet_length(text), 0) <= {CEILING}").select("path", "language", "text")
+    kinds = to_arrow_schema(StructType.fromDDL(SCHEMA))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("name", pa.string()), *[(c, pa.int64()) for c in ("start_line", "end_line", "cc", "sloc")]]))
         for b in batches:
-            out = [measure(t or "", f) for f, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            found = [[dict(zip(("name", "start_line", "end_line", "cc", "sloc"), c)) for c in cs] for cs, _, _ in out]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for *_, x in out], pa.bool_()), pa.array([n for _, n, _ in out], pa.int64()), pa.array(found, kind)], names=["path", "language", "failed", "scanned_lines", "callables"])
+            for path, family, text in zip(*(c.to_pylist() for c in b.columns)):
+                row = {"path": path, "language": family} | analyse(text or "", family)
+                yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in kinds], schema=kinds)
 
     return wanted.mapInArrow(run, SCHEMA)
+
+
+def suppressions(files: DataFrame, keyword: str) -> DataFrame:
+    """(path, line, text, rule): directive comments of ``files(path, language, text)``; rule is null for an invalid one."""
+    known = {r for rules in RULES.values() for r in rules.values()}
+    wanted = files.where("language in ('java', 'js_ts', 'rust')").where(f"coalesce(octet_length(text), 0) <= {CEILING}").select("path", "language", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p, *d) for p, f, t in zip(*(c.to_pylist() for c in b.columns)) for d in directives(t or "", f, keyword, known)]
+            cols = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.string()))], names=["path", "line", "text", "rule"])
+
+    return wanted.mapInArrow(run, "path string, line long, text string, rule string")
