@@ -78,7 +78,8 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     """(doc_id, path, language, text, oid): the base or the candidate tree.
 
-    The candidate lacks src3 and has src7 new; src11 moved; French files grew by a line twice; src13 lost its first line; every line of src5 but the last changed.
+    The candidate lacks src3 and has src7 new; src11 moved; French files grew by a line twice; src13 lost its first line; every line of src5 but the last changed;
+    of src9, src10 and src12 only the first is left.
     """
     d = table(spark, sf_dir, "documents")
     if side == "base":
@@ -86,7 +87,8 @@ def snapshot(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
     else:
         text = F.when(F.col("source") == "src13", F.regexp_replace("text", "^[^\\n]*\\n", "")).otherwise(F.col("text"))
         text = F.when(F.col("source") == "src5", F.regexp_replace("text", "\n", " neu\n")).otherwise(text)
-        text = F.when(F.col("lang") == "fr", F.concat(text, F.lit("\net ou et ou et\net ou et ou et"))).otherwise(text)
+        text = F.when(F.col("source").isin("src9", "src10", "src12"), F.substring_index("text", "\n", 1)).otherwise(text)
+        text = F.when(F.col("lang") == "fr", F.concat(text, F.lit("\nEt ou et ou et\nEt ou et ou et"))).otherwise(text)
         path = F.when(F.col("source") == "src11", path_of("moved/")).otherwise(path_of())
         d = d.where("source <> 'src3'").select("doc_id", path.alias("path"), F.col("lang").alias("language"), text.alias("text"))
     return d.withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
@@ -105,8 +107,8 @@ SQL = {
     "files": "files AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS path, lang AS language, text FROM documents)",
     "base": "base AS (SELECT doc_id, source || '/' || doc_id || '.' || lang AS path, lang AS language, text, sha256(text) AS oid FROM documents WHERE source <> 'src7')",
     "cand": r"""cand0 AS (SELECT doc_id, CASE WHEN source = 'src11' THEN 'moved/' ELSE '' END || source || '/' || doc_id || '.' || lang AS path, lang AS language,
-      (CASE WHEN source = 'src13' THEN regexp_replace(text, '^[^\n]*\n', '') WHEN source = 'src5' THEN replace(text, chr(10), ' neu' || chr(10)) ELSE text END)
-      || CASE WHEN lang = 'fr' THEN chr(10) || 'et ou et ou et' || chr(10) || 'et ou et ou et' ELSE '' END AS text
+      (CASE WHEN source = 'src13' THEN regexp_replace(text, '^[^\n]*\n', '') WHEN source IN ('src9', 'src10', 'src12') THEN split_part(text, chr(10), 1) WHEN source = 'src5' THEN replace(text, chr(10), ' neu' || chr(10)) ELSE text END)
+      || CASE WHEN lang = 'fr' THEN chr(10) || 'Et ou et ou et' || chr(10) || 'Et ou et ou et' ELSE '' END AS text
       FROM documents WHERE source <> 'src3'), cand AS (SELECT *, sha256(text) AS oid FROM cand0)""",
     "sequences": """sequences AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, row_number() OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS ix, event_id,
       event_type AS kind, (hour(ts) * 3600 + minute(ts) * 60 + floor(second(ts)))::BIGINT AS second FROM events)""",

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clones, matching, metrics, policy, rules
+from ..operators import clones, lines, matching, metrics, policy, rules
 from ..sources import discovery
 from . import adapters as A
+from .scratch import cut
 
 LANGS = ["de", "en", "es", "fr"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -523,10 +524,11 @@ def unused_directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _directives(spark, sf_dir)[1]
 
 
-@query(f"SELECT path, CASE WHEN {LANG_SQL} NOT IN ('java', 'mjs', 'ts') THEN 'unsupported_extension' END AS reason FROM paths", (PATHS,))
+@query("SELECT path, CASE WHEN octet_length(encode(text)) > 4096 THEN 'too_large' WHEN language NOT IN ('en', 'fr') THEN 'unsupported_extension' END AS reason FROM files", (FILES,))
 def coverage_required(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why each file can't be analysed, with a ceiling of 4,096 bytes and two supported extensions."""
     path = F.col("path")
-    return A.paths(spark, sf_dir).select("path", policy.coverage_reason(F.octet_length(path), F.is_valid_utf8(path), discovery.extension(path), ["java", "mjs", "ts"]).alias("reason"))
+    return A.files(spark, sf_dir).select("path", policy.coverage_reason(F.octet_length("text"), F.is_valid_utf8(path), discovery.extension(path), ["en", "fr"], 4096).alias("reason"))
 
 
 def _diagnostics(spark, sf_dir):
@@ -595,3 +597,117 @@ def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda df, name: df.select(F.lit(name).alias("what"))
     rows = part(_repeated(spark, sf_dir), "findings").union(part(_maximal(spark, sf_dir).select("key").distinct(), "groups")).union(part(A.files(spark, sf_dir), "files")).union(part(A.statements(A.files(spark, sf_dir)), "lines"))
     return rows.agg(*[F.count_if(F.col("what") == x).alias(x) for x in ("findings", "groups", "files", "lines")])
+
+
+# built-in exclusions
+
+PLACED = """placed AS (SELECT CASE source WHEN 'src1' THEN 'node_modules/' WHEN 'src2' THEN 'a/generated/' WHEN 'src4' THEN 'src/test/' WHEN 'src6' THEN 'x/META-INF/resources/webjars/' ELSE 'src/' END
+  || doc_id || CASE lang WHEN 'de' THEN 'Test.java' WHEN 'es' THEN '.min.js' ELSE '.java' END AS path FROM documents)"""
+
+
+def _placed(spark, sf_dir):
+    """Documents as files of folders and names that built-in globs know."""
+    folder = F.col("source")
+    at = F.when(folder == "src1", "node_modules/").when(folder == "src2", "a/generated/").when(folder == "src4", "src/test/").when(folder == "src6", "x/META-INF/resources/webjars/").otherwise("src/")
+    end = F.when(F.col("lang") == "de", "Test.java").when(F.col("lang") == "es", ".min.js").otherwise(".java")
+    return A.table(spark, sf_dir, "documents").select(F.concat(at, F.col("doc_id").cast("string"), end).alias("path"))
+
+
+@query("""SELECT path, CASE WHEN path LIKE 'node_modules/%' OR path LIKE '%/META-INF/resources/webjars/%' THEN 'dependency_or_build_output' WHEN path LIKE '%/generated/%' OR path LIKE '%.min.js' THEN 'generated_code'
+WHEN path LIKE 'src/test/%' OR path LIKE '%Test.java' THEN 'test' END AS reason FROM placed""", (PLACED,))
+def built_in_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _placed(spark, sf_dir).withColumn("reason", discovery.skip_reason(F.col("path"), discovery.built_in()))
+
+
+# line maps
+
+
+def _mapped(spark, sf_dir):
+    """Line maps of the files of both snapshots, renamed ones under their new name, whose texts differ."""
+    base, cand = _sides(spark, sf_dir)
+    to = _renames(spark, sf_dir).select("from_path", F.col("path").alias("to"))
+    old = base.join(to, F.col("path") == F.col("from_path"), "left").select(F.coalesce("to", "path").alias("path"), F.col("text").alias("base_text"))
+    return lines.line_map(old.join(cand.select("path", "text"), "path").where("base_text <> text"))
+
+
+def _candidate_lines(spark, sf_dir, side):
+    return A.with_lines(_sides(spark, sf_dir)[0 if side == "base" else 1])
+
+
+def _runs(spark, sf_dir, side):
+    return clones.maximal(clones.groups(clones.candidates(_candidate_lines(spark, sf_dir, side), ends_only=True)))
+
+
+@query()
+def line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept, added and deleted in every changed file."""
+    return lines.line_changes(_mapped(spark, sf_dir))
+
+
+@query()
+def clone_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of maximal groups of the candidate that hold added lines."""
+    return lines.clone_subjects(_runs(spark, sf_dir, "cand").select("path", "key", "start", "end", "lines"), _mapped(spark, sf_dir)).drop("lines")
+
+
+@query()
+def extension_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the lines they may count as extended from, and whether they grew too much."""
+    mapped = cut(_mapped(spark, sf_dir))
+    subjects = lines.clone_subjects(_runs(spark, sf_dir, "cand").select("path", "key", "start", "end", "lines"), mapped)
+    return lines.extension_grades(subjects, _runs(spark, sf_dir, "base").select("path", "start", "end", "lines"), mapped).drop("lines")
+
+
+@query()
+def deleted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base members of maximal groups all of whose lines were deleted."""
+    return lines.deleted_runs(_runs(spark, sf_dir, "base").select("path", "key", "start", "end", "lines"), _mapped(spark, sf_dir)).drop("lines")
+
+
+@query()
+def new_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppressed repeats of the candidate whose repeat on the mapped base line was not suppressed, in changed files."""
+    mapped, found = cut(_mapped(spark, sf_dir)), []
+    for files in _sides(spark, sf_dir):
+        rows = A.statements(files.drop("oid"))
+        directives = rows.where(F.col("token").rlike("^[A-M]")).select("path", "line", F.lit("REPEAT").alias("rule"))
+        repeats = _findings(files.drop("oid")).select("path", "line", F.lit("REPEAT").alias("rule"))
+        found.append((repeats, policy.suppress(repeats, directives)[0]))
+    (base, base_hit), (cand, hit) = found
+    same = lines.matched_by_line(base, cand, mapped, ["rule"])
+    changed = mapped.select("path").distinct()
+    return lines.new_suppressions(hit.join(changed, "path", "left_semi"), base_hit, same)
+
+
+# text for outputs
+
+
+@query("SELECT page_id, array_to_string(list_transform(string_split(path, '/'), lambda x: url_encode(x)), '/') AS encoded FROM paths", (PATHS,))
+def percent_encoded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.paths(spark, sf_dir).select("page_id", X.percent_encoded(F.col("path")).alias("encoded"))
+
+
+@query("SELECT doc_id, sha256('file/1/' || octet_length(encode(path)) || ':' || path || octet_length(encode(text)) || ':' || text) AS digest FROM files", (FILES,))
+def framed_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.files(spark, sf_dir).select("doc_id", X.framed_digest("file", 1, F.col("path"), F.col("text")).alias("digest"))
+
+
+@query(r"""SELECT doc_id, replace(replace(replace(text, chr(10), '\u{a}'), chr(13), '\u{d}'), chr(9), '\u{9}') AS shown FROM files""", (FILES,))
+def terminal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.files(spark, sf_dir).select("doc_id", X.terminal(F.col("text")).alias("shown"))
+
+
+@query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[2:21], chr(10)) AS excerpt, len(string_split(text, chr(10))) > 21 AS truncated FROM files
+WHERE octet_length(encode(array_to_string(string_split(text, chr(10))[2:21], chr(10)))) <= 4096""", (FILES,))
+def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty lines from the second one, of files where these are 4,096 bytes at most."""
+    d = A.files(spark, sf_dir)
+    whole = X.excerpt(F.col("text"), F.lit(2), size=1 << 30)
+    return d.where(F.octet_length(whole["text"]) <= 4096).select("doc_id", X.excerpt(F.col("text"), F.lit(2)).alias("e")).select("doc_id", F.col("e.text").alias("excerpt"), "e.truncated")
+
+
+@query("SELECT path, ix, line, token, row_number() OVER (ORDER BY path, line, token) AS place FROM cf QUALIFY place <= 100", FIND)
+def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred findings of the candidate by path, line and what repeats, with their place: a bounded sort."""
+    first = _findings(_sides(spark, sf_dir)[1].drop("oid")).select("path", "ix", "line", "token").orderBy("path", "line", "token").limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy("path", "line", "token")).cast("long"))
