@@ -7,7 +7,7 @@ the block's first coordinates, twice as wide as the radius, and is copied to the
 
 Candidates are met in tiles of at most ``TILE`` by ``TILE`` vectors: a larger cell is cut into slices that are paired with each other. A first pass
 carries only the few coordinates of a block and finds the vectors that have any partner within the block's budget; whole vectors are brought for those
-alone. In the second pass numpy compares the pairs of a tile some at a time, confirms with the cosine of the original vectors in double precision, and counts a pair only
+alone. In the second pass numpy compares a tile as matrices, confirms with the cosine of the original vectors in double precision, and counts a pair only
 in the first block that admits it, so a union over blocks needs no pair table. A tile emits per vector its count of links, and a
 spanning forest of its links instead of the links; so a group of n copies makes about n rows a tile, not n * n.
 
@@ -35,6 +35,8 @@ from .base import Scratch, components, small_side
 BLOCK_DIM, GRID, TILE = 8, 3, 4096
 #: Rows that a task holds, pairs that it compares at once by block, and those by whole vectors.
 ROWS, PAIRS, PART = 1 << 14, 1 << 19, 1 << 15
+#: Pairs of a tile above which it is compared as a matrix.
+MATRIX = 1 << 12
 KEY = ["dim", "block", "cell", "i", "j", "alone"]
 SLACK = 1e-6
 #: Slice numbers of copies begin here.
@@ -122,26 +124,44 @@ def _pairs(begin: np.ndarray, count: np.ndarray) -> Iterator[tuple[np.ndarray, n
         at = to
 
 
-def _met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """For the rows of whole tiles, in order of KEY and side: where the rows that each is paired with begin, and their number."""
-    cols = [rows[c].to_numpy() for c in KEY]
-    new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
-    start = np.flatnonzero(new)
-    tile, size = np.cumsum(new) - 1, np.diff(np.append(start, len(new)))
-    other = np.add.reduceat(rows["side"].to_numpy(), start, dtype=np.int64)  # rows of side 1
-    end = (start + size)[tile]
-    alone, first = cols[-1], rows["side"].to_numpy() == 0
-    begin = np.where(alone, np.arange(len(new)) + 1, end - other[tile])
-    return begin, np.where(first, end - begin, 0)
+def _near(rows: pa.Table, p: np.ndarray, r2: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of the rows of whole tiles, in order of KEY and side, that a tile pairs and whose p are within the squared radius.
+
+    Tiles of more than ``MATRIX`` pairs are compared as matrices, some rows at a time; the pairs of the others are listed together.
+    """
+    cols, side = [rows[c].to_numpy() for c in KEY], rows["side"].to_numpy()
+    start = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+    size = np.diff(np.append(start, len(side)))
+    tile, alone = np.repeat(np.arange(len(start)), size), cols[-1][start]
+    other = np.add.reduceat(side, start, dtype=np.int64)  # rows of side 1, which stand last
+    left, end = size - other, start + size
+    large = np.flatnonzero(left * np.where(alone, left, other) > MATRIX)
+    begin = np.where(alone[tile], np.arange(len(side)) + 1, (end - other)[tile])
+    count = np.where(side == 0, end[tile] - begin, 0)
+    count[np.isin(tile, large)] = 0
+    for i, j in _pairs(begin, count):
+        hit = ((p[i] - p[j]) ** 2).sum(1) <= r2
+        yield i[hit], j[hit]
+    norm = (p * p).sum(1)
+    for t in large.tolist():
+        first, last = int(start[t]), int(start[t] + left[t])
+        to = first if alone[t] else last
+        o, n = p[to : end[t]].T, norm[to : end[t]]
+        for a in range(first, last, 512):
+            z = min(a + 512, last)
+            i, j = np.nonzero(norm[a:z, None] + n - 2 * (p[a:z] @ o) <= r2)
+            i, j = i + a, j + to
+            if alone[t]:
+                i, j = i[i < j], j[i < j]
+            yield i, j
 
 
 def _first(rows: pa.Table, dim: int, block: int, cosine: float) -> pa.Table:
     """First pass: (dim, block, cell, own, cid) of the vectors with a partner in the block."""
     start, stop, r2 = blocks(dim, cosine)[block]
     p, has = _matrix(rows["p"], stop - start).astype(np.float32), np.zeros(rows.num_rows, bool)
-    for i, j in _pairs(*_met(rows)):
-        near = ((p[i] - p[j]) ** 2).sum(1) <= r2 + 1e-5
-        has[i[near]] = has[j[near]] = True
+    for i, j in _near(rows, p, r2 + 1e-5):
+        has[i] = has[j] = True
     own = (rows["side"].to_numpy() == 0) | (rows["j"].to_numpy() < COPIES)
     n = int(has.sum())
     return pa.table({"dim": np.full(n, dim, np.int32), "block": np.full(n, block, np.int32), "cell": rows["cell"].to_numpy()[has], "own": own[has], "cid": rows["cid"].to_numpy()[has]})
@@ -153,17 +173,17 @@ def _second(rows: pa.Table, dim: int, block: int, cosine: float) -> pa.Table:
     parts, turned, norm = blocks(dim, cosine), unit(x) @ rotation(dim), np.sqrt(np.einsum("ij,ij->i", x, x))
     start, stop, r2 = parts[block]
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, j in _pairs(*_met(rows)):
-        near = ((turned[i, start:stop] - turned[j, start:stop]) ** 2).sum(1) <= r2
-        i, j = i[near], j[near]
+    for i, j in _near(rows, np.ascontiguousarray(turned[:, start:stop]), r2 + 1e-9):
         for a in range(0, len(i), PART):
             u, w = i[a : a + PART], j[a : a + PART]
             ok = np.einsum("ij,ij->i", x[u], x[w]) / (norm[u] * norm[w]) >= cosine
             u, w = u[ok], w[ok]
             d = (turned[u] - turned[w]) ** 2
-            later = np.all([d[:, s:t].sum(1) > budget for s, t, budget in parts[:block]], axis=0) if block else np.ones(len(u), bool)
-            left.append(u[later])
-            right.append(w[later])
+            mine = d[:, start:stop].sum(1) <= r2
+            for s, t, budget in parts[:block]:
+                mine &= d[:, s:t].sum(1) > budget
+            left.append(u[mine])
+            right.append(w[mine])
     i, j = np.concatenate(left), np.concatenate(right)
     n = np.bincount(i, weights=weight[j], minlength=len(cid)) + np.bincount(j, weights=weight[i], minlength=len(cid))
     has = np.flatnonzero(n)
