@@ -64,6 +64,12 @@ def framed_digest(domain: str, version: int, *parts: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{domain}/{version}/"), *framed).cast("binary"), 256)
 
 
+def framed_array_digest(domain: str, version: int, parts: Column) -> Column:
+    """``framed_digest`` over the members of an array, such as the tokens of flagged statements."""
+    framed = F.transform(parts, lambda p: F.concat(F.octet_length(p).cast("string"), F.lit(":"), p))
+    return F.sha2(F.concat(F.lit(f"{domain}/{version}/"), F.array_join(framed, "")).cast("binary"), 256)
+
+
 def excerpt(text: Column, start: Column, lines: int = 20, size: int = 4096) -> Column:
     """(text, truncated): up to ``lines`` lines from line ``start`` and ``size`` bytes, cut at a character."""
     every = F.split(text, "\n", -1)

@@ -87,6 +87,32 @@ def by_fingerprint(base: DataFrame, cand: DataFrame, done: DataFrame) -> tuple[D
     return one, both.where("nb > 1 or nc > 1").select("fp", "nb", "nc")
 
 
+def displaced(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame, renames: DataFrame) -> DataFrame:
+    """Pairs of tiers one and two with ``tier``, after candidates paired by position only have left for a free base of their fingerprint.
+
+    In a set of leftovers of equal (file, name) other than one to one, candidates whose fingerprint an unmatched base has leave the pairing, for
+    tier three to take; those that stay are paired by position anew. Sets without such a candidate keep their pairs.
+    """
+    key = ["tier", "file", "name"]
+    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix", "fp")
+    here = lambda rows: rows.withColumn("file", F.col("path"))
+    moved = _left(base, one, "base").join(renames.select(F.col("from_path").alias("path"), F.col("path").alias("file")), "path")
+    equal, equal2 = (x.where("pairing = 'fingerprint_exact'") for x in (one, two))
+    rb = cut(kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(moved, equal2, "base"), 2)))
+    rc = cut(kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(_left(here(cand), one, "cand"), equal2, "cand"), 2)))
+    free = _left(base, one.unionByName(two), "base").select("fp").distinct()
+    sizes = rb.groupBy(*key).agg(F.count("*").alias("nb")).join(rc.groupBy(*key).agg(F.count("*").alias("nc")), key).where("nb > 1 or nc > 1")
+    gone = cut(rc.join(sizes.select(*key), key, "left_semi").join(free, "fp", "left_semi").select(*key, "path", "ix"))
+    touched = gone.select(*key).distinct()
+    k = F.row_number().over(Window.partitionBy(*key).orderBy("ix"))
+    b = rb.join(touched, key, "left_semi").select(*key, F.col("path").alias("base_path"), F.col("ix").alias("base_ix")).withColumn("k", F.row_number().over(Window.partitionBy(*key).orderBy("base_ix")))
+    c = rc.join(touched, key, "left_semi").join(gone, [*key, "path", "ix"], "left_anti").withColumn("k", k)
+    again = b.join(c, [*key, "k"]).select("tier", "base_path", "base_ix", "path", "ix", F.lit("positional").alias("pairing"))
+    pairs = one.withColumn("tier", F.lit(1)).unionByName(two.withColumn("tier", F.lit(2)))
+    loose = rc.join(touched, key, "left_semi").select("tier", "path", "ix", F.lit("positional").alias("pairing"))
+    return pairs.join(loose, ["tier", "path", "ix", "pairing"], "left_anti").select(*again.columns).unionByName(again)
+
+
 def set_members(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame, renames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Candidates whose base is not certain and the bases that may be theirs, by set (tier, file, name).
 

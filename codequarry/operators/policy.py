@@ -76,6 +76,15 @@ def coverage_reason(size: Column, utf8_path: Column, extension: Column, supporte
     return F.when(size > ceiling, "too_large").when(~utf8_path, "non_utf8_path").when(~extension.isin(supported), "unsupported_extension")
 
 
+def coverage_gaps(entries: DataFrame, severity: str = "deny") -> DataFrame:
+    """A102 of ``entries(path, changed, reason)``: (code, path, reason) of files that can't be analysed, though they changed or clones are gated.
+
+    ``severity`` is that of clone growth; an unchanged file of an unsupported extension is tolerated.
+    """
+    due = F.col("changed") | (F.lit(severity != "off") & (F.col("reason") != "unsupported_extension"))
+    return entries.where(F.col("reason").isNotNull() & due).select(F.lit("A102").alias("code"), "path", "reason")
+
+
 def contribution(code: Column, severity: Column) -> Column:
     """Exit bits of a diagnostic: 1 for a denied policy code and for a new suppression that is not allowed, 2 for an error or an unknown code, 0 otherwise."""
     return (

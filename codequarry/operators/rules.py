@@ -50,3 +50,10 @@ def islands(spans: DataFrame, key: list[str]) -> DataFrame:
     fresh = F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)
     marked = spans.withColumn("fresh", fresh).withColumn("g", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(*key, "g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("g")
+
+
+def by_family(findings: DataFrame, names: dict[tuple[str, str], str]) -> DataFrame:
+    """``findings(language, rule)`` with ``rule`` as its family names it; a family without the rule has no such findings."""
+    spark = findings.sparkSession
+    known = spark.createDataFrame([(f, r, n) for (f, r), n in names.items()], "language string, rule string, named string")
+    return findings.join(F.broadcast(known), ["language", "rule"]).drop("rule").withColumnRenamed("named", "rule")

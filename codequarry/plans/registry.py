@@ -228,6 +228,17 @@ def skipped_folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.folder_rollup(_skips(spark, sf_dir).where("reason is not null"))
 
 
+@query("""SELECT s.folder, CASE WHEN a.above IS NULL THEN s.folder ELSE s.folder[len(a.above) + 2:] END AS name, s.total FROM sh s
+LEFT JOIN (SELECT s.folder, arg_max(t.folder, len(t.folder)) AS above FROM sh s JOIN sh t ON starts_with(s.folder, t.folder || '/') GROUP BY 1) a USING (folder)""", (PATHS, REASON_SQL,
+    "sk AS (SELECT string_split(path, '/') AS s FROM rs WHERE reason IS NOT NULL)",
+    "fo AS (SELECT folder, count(*) AS total FROM (SELECT unnest(list_transform(range(1, len(s)), lambda k: array_to_string(s[1:k], '/'))) AS folder FROM sk) GROUP BY 1)",
+    """sh AS (SELECT folder, total FROM fo WHERE folder IN (SELECT array_to_string(s[1:len(s) - 1], '/') FROM sk WHERE len(s) > 1)
+    OR (SELECT count(*) FROM fo g WHERE regexp_replace(g.folder, '/[^/]*$', '') = fo.folder AND g.folder <> fo.folder) <> 1)""",
+))
+def skipped_folders_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return discovery.merged_folders(_skips(spark, sf_dir).where("reason is not null"))
+
+
 # rules over sequences
 
 DAY = ["user_id", "day"]
@@ -407,6 +418,41 @@ def match_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _third(spark, sf_dir)[1]
 
 
+DISPLACED = T2 + (
+    """gb AS (SELECT 1 AS tier, file, name, path, ix, fp FROM b1 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t1e)
+    UNION ALL SELECT 2, file, name, path, ix, fp FROM b2 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t2e))""",
+    """gc AS (SELECT 1 AS tier, file, name, path, ix, fp FROM c1 WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t1e)
+    UNION ALL SELECT 2, file, name, path, ix, fp FROM c2 WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t2e))""",
+    "ds AS (SELECT gc.* FROM gc JOIN (SELECT tier, file, name, count(*) AS nb FROM gb GROUP BY ALL) USING (tier, file, name) JOIN (SELECT tier, file, name, count(*) AS nc FROM gc GROUP BY ALL) USING (tier, file, name) "
+    "WHERE nb + nc > 2 AND fp IN (SELECT fp FROM bl WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t2)))",
+    "tg AS (SELECT DISTINCT tier, file, name FROM ds)",
+    """pd AS (SELECT * FROM (SELECT 1 AS tier, * FROM t1 UNION ALL SELECT 2, * FROM t2) WHERE pairing = 'fingerprint_exact' OR (tier, path, ix) NOT IN (SELECT (tier, path, ix) FROM gc JOIN tg USING (tier, file, name))
+    UNION ALL SELECT tier, b.path, b.ix, c.path, c.ix, 'positional' FROM (SELECT *, row_number() OVER (PARTITION BY tier, file, name ORDER BY ix) AS k FROM gb JOIN tg USING (tier, file, name)) b
+    JOIN (SELECT *, row_number() OVER (PARTITION BY tier, file, name ORDER BY ix) AS k FROM gc JOIN tg USING (tier, file, name) WHERE (tier, path, ix) NOT IN (SELECT (tier, path, ix) FROM ds)) c USING (tier, file, name, k))""",
+)
+
+
+def _displaced(spark, sf_dir):
+    b, c, one = _matched(spark, sf_dir)
+    renames = cut(_renames(spark, sf_dir))
+    b, c, one = cut(b), cut(c), cut(one)
+    return b, c, matching.displaced(b, c, one, cut(matching.through_renames(b, c, one, renames)), renames)
+
+
+@query("SELECT tier, base_path, base_ix, path, ix, pairing FROM pd", DISPLACED)
+def match_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tiers one and two after displacement."""
+    return _displaced(spark, sf_dir)[2]
+
+
+@query("""SELECT b.path AS base_path, b.ix AS base_ix, c.path, c.ix FROM (SELECT fp, min(path) AS path, min(ix) AS ix FROM bi WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM pd) GROUP BY fp HAVING count(*) = 1) b
+JOIN (SELECT fp, min(path) AS path, min(ix) AS ix FROM ci WHERE (path, ix) NOT IN (SELECT (path, ix) FROM pd) GROUP BY fp HAVING count(*) = 1) c USING (fp)""", DISPLACED)
+def match_tier3_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tier three, on what displacement leaves."""
+    b, c, pairs = _displaced(spark, sf_dir)
+    return matching.by_fingerprint(b, c, cut(pairs))[0]
+
+
 # policy
 
 VERDICT = """CASE WHEN cc <= 10 THEN 'pass' WHEN bcc IS NULL OR bcc <= 10 THEN 'E101' WHEN cc > bcc OR sloc > bsloc + greatest(1, bsloc // 10) THEN 'E102' ELSE 'pass' END"""
@@ -531,6 +577,17 @@ def coverage_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.files(spark, sf_dir).select("path", policy.coverage_reason(F.octet_length("text"), F.is_valid_utf8(path), discovery.extension(path), ["en", "fr"], 4096).alias("reason"))
 
 
+@query("""SELECT 'A102' AS code, path, reason FROM (SELECT c.path, b.oid IS DISTINCT FROM c.oid AS changed,
+CASE WHEN octet_length(encode(c.text)) > 4096 THEN 'too_large' WHEN c.language NOT IN ('en', 'fr') THEN 'unsupported_extension' END AS reason
+FROM cand c LEFT JOIN rn ON rn.path = c.path LEFT JOIN base b ON b.path = coalesce(rn.from_path, c.path)) WHERE reason IS NOT NULL AND (changed OR reason <> 'unsupported_extension')""", REN)
+def coverage_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A102 of the candidate's files, with clone growth denied."""
+    base, cand = _sides(spark, sf_dir)
+    changed = matching.changed_entities(base, cand, _renames(spark, sf_dir)).select("path", F.lit(True).alias("changed"))
+    reason = policy.coverage_reason(F.octet_length("text"), F.is_valid_utf8("path"), discovery.extension(F.col("path")), ["en", "fr"], 4096)
+    return policy.coverage_gaps(cand.join(changed, "path", "left").select("path", F.coalesce("changed", F.lit(False)).alias("changed"), reason.alias("reason")))
+
+
 def _diagnostics(spark, sf_dir):
     v = _verdicts(spark, sf_dir).where("verdict <> 'pass'").select(F.lit(3).alias("phase"), "path", F.lit(0).cast("long").alias("line"), F.col("verdict").alias("code"), F.lit("deny").alias("severity"))
     n = _new_findings(spark, sf_dir).select(F.lit(4).alias("phase"), "path", "line", F.lit("V101").alias("code"), F.lit("deny").alias("severity"))
@@ -711,3 +768,21 @@ def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first hundred findings of the candidate by path, line and what repeats, with their place: a bounded sort."""
     first = _findings(_sides(spark, sf_dir)[1].drop("oid")).select("path", "ix", "line", "token").orderBy("path", "line", "token").limit(100)
     return first.withColumn("place", F.row_number().over(Window.orderBy("path", "line", "token")).cast("long"))
+
+
+RULE_NAMES = {("de", "REPEAT"): "DE-REPEAT", ("en", "REPEAT"): "EN-REPEAT", ("fr", "REPEAT"): "FR-REPEAT"}
+
+
+@query("SELECT path, language, ix, line, token, upper(language) || '-REPEAT' AS rule FROM cf WHERE language <> 'es'", FIND)
+def rules_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings under their family's rule name; Spanish files have no rules."""
+    found = _findings(A.snapshot(spark, sf_dir, "cand").drop("oid")).withColumn("rule", F.lit("REPEAT"))
+    return rules.by_family(found, RULE_NAMES).select("path", "language", "ix", "line", "token", "rule")
+
+
+@query("""SELECT path, ix, sha256('finding/1/' || octet_length(encode(prev)) || ':' || prev || octet_length(encode(token)) || ':' || token) AS digest
+FROM (SELECT *, lag(token) OVER (PARTITION BY path ORDER BY ix) AS prev FROM cs) WHERE token = prev""", FIND)
+def finding_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Syntax digests over the tokens of both flagged statements of a repeat."""
+    found = _findings(A.snapshot(spark, sf_dir, "cand").drop("oid"))
+    return found.select("path", "ix", X.framed_array_digest("finding", 1, F.array("token", "token")).alias("digest"))

@@ -90,8 +90,9 @@ def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, st
     keys = ["path", "ix", "name", "fp"]
     one = cut(matching.same_file(eb.select(keys), ec.select(keys)))
     two = cut(matching.through_renames(eb.select(keys), ec.select(keys), one, renames))
-    three, _ = matching.by_fingerprint(eb.select(keys), ec.select(keys), one.unionByName(two))
-    pairs = one.unionByName(two).select("base_path", "base_ix", "path", "ix").unionByName(three)
+    both = cut(matching.displaced(eb.select(keys), ec.select(keys), one, two, renames))
+    three, _ = matching.by_fingerprint(eb.select(keys), ec.select(keys), both)
+    pairs = both.select("base_path", "base_ix", "path", "ix").unionByName(three)
     old = eb.select(F.col("path").alias("base_path"), F.col("ix").alias("base_ix"), F.col("cc").alias("bcc"), F.col("sloc").alias("bsloc"))
     both = ec.join(pairs, ["path", "ix"], "left").join(old, ["base_path", "base_ix"], "left").join(changed, "path", "left_semi")
     sizes = [F.col(x) for x in ("cc", "sloc", "bcc", "bsloc")]

@@ -20,6 +20,11 @@ TESTS = [
 ]
 
 
+def target_kind(target: Column) -> Column:
+    """``remote`` for an address of a public repository host, else ``local``: a folder."""
+    return F.when(target.startswith("https://github.com/") | target.startswith("http://github.com/"), "remote").otherwise("local")
+
+
 def anywhere(glob: str) -> str:
     """A glob without an inner slash as one that matches at any depth."""
     return glob if "/" in glob.rstrip("/") else "**/" + glob.rstrip("/") + ("/**" if glob.endswith("/") else "")
@@ -43,8 +48,49 @@ def language(path: Column) -> Column:
     return out.when(ext == "rs", "rust")
 
 
+#: Named classes of a bracket, over ASCII.
+CLASSES = {
+    "alnum": "A-Za-z0-9", "alpha": "A-Za-z", "blank": " \\t", "cntrl": "\\x00-\\x1F\\x7F", "digit": "0-9", "graph": "!-~", "lower": "a-z", "print": " -~",
+    "punct": "!-/:-@\\[-`{-~", "space": " \\t\\n\\f\\r", "upper": "A-Z", "xdigit": "0-9A-Fa-f",
+}
+NEVER = "(?!)"
+
+
+def _bracket(glob: str, at: int) -> tuple[str, int] | None:
+    """(expression, place after it) of the bracket that opens at ``at``; None if it never closes or names an unknown class: such a glob matches nothing."""
+    quoted = lambda c: c if c.isalnum() else "\\" + c
+    i = at + 1
+    negated = glob[i : i + 1] in ("!", "^")
+    i += negated
+    first, body = i, ""
+    while i < len(glob) and (glob[i] != "]" or i == first):
+        end = glob.find("]", i + 2) if glob.startswith("[:", i) else 0
+        if end < 0:
+            return None
+        if end > i + 2 and glob[end - 1] == ":":
+            if glob[i + 2 : end - 1] not in CLASSES:
+                return None
+            body, i = body + CLASSES[glob[i + 2 : end - 1]], end + 1
+            continue
+        low, i = _member(glob, i)
+        if glob[i : i + 1] == "-" and glob[i + 1 : i + 2] not in ("", "]"):
+            high, i = _member(glob, i + 1)
+            body += f"{quoted(low)}-{quoted(high)}" if low <= high else ""
+        else:
+            body += quoted(low)
+    if i >= len(glob):
+        return None
+    return ("(?!/)[" + "^" * negated + body + "]" if body else "[^/]" if negated else NEVER), i + 1
+
+
+def _member(glob: str, i: int) -> tuple[str, int]:
+    """A character of a bracket, maybe behind a backslash, and the place after it."""
+    i += glob[i] == "\\" and i + 1 < len(glob)
+    return glob[i], i + 1
+
+
 def glob_regex(glob: str) -> str:
-    """Anchored regular expression of a path glob: ``*`` and ``?`` stay in a segment, ``**`` spans whole segments, ``[...]`` is a class.
+    """Anchored regular expression of a path glob: ``*`` and ``?`` stay in a segment, ``**`` spans whole segments, ``[...]`` is a class, with ranges, escapes and named classes.
 
     The path or any of its ancestor folders may match, so a match may be followed by a slash and more.
     """
@@ -58,11 +104,12 @@ def glob_regex(glob: str) -> str:
             out += "[^/]*"
         elif c == "?":
             out += "[^/]"
-        elif c == "[" and "]" in glob[i + 2 :]:
-            end = glob.index("]", i + 2)
-            body = glob[i + 1 : end]
-            out += "(?!/)[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]"
-            i = end
+        elif c == "[":
+            made = _bracket(glob, i)
+            if made is None:
+                return NEVER
+            out, i = out + made[0], made[1]
+            continue
         elif c == "\\" and i + 1 < n:
             out, i = out + re.escape(glob[i + 1]), i + 1
         else:
@@ -108,6 +155,25 @@ def folder_rollup(skipped: DataFrame) -> DataFrame:
     return counts.select("folder", "reason", "n", F.sum("n").over(w).alias("total"), F.row_number().over(w.orderBy(F.desc("n"), "reason")).cast("long").alias("place"))
 
 
+def merged_folders(skipped: DataFrame) -> DataFrame:
+    """(folder, name, total): folders with skipped files at or below them, chains of folders that hold nothing but one folder as one.
+
+    ``name`` is the way from the next folder above that is shown, so ``a/b/c`` where ``a`` and ``a/b`` hold one folder only.
+    """
+    head = lambda path, n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/")
+    heads = lambda path, n: F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: head(path, k)))
+    depth, level = F.size(F.split("path", "/")) - 1, F.size(F.split("folder", "/"))
+    inside = skipped.where(depth > 0)
+    counts = inside.select(heads("path", depth).alias("folder")).groupBy("folder").agg(F.count("*").alias("total"))
+    own = inside.select(head("path", depth).alias("folder")).distinct().withColumn("own", F.lit(True))
+    inner = counts.where(level > 1).select(head("folder", level - 1).alias("folder")).groupBy("folder").agg(F.count("*").alias("inner"))
+    shown = counts.join(own, "folder", "left").join(inner, "folder", "left").where("own or coalesce(inner, 0) <> 1").select("folder", "total")
+    above = shown.select("folder", heads("folder", level).alias("above")).where("above <> folder")
+    nearest = above.join(shown.select(F.col("folder").alias("above")), "above", "left_semi").groupBy("folder").agg(F.max_by("above", F.length("above")).alias("above"))
+    name = F.when(F.col("above").isNull(), F.col("folder")).otherwise(F.substr("folder", F.length("above") + F.lit(2)))
+    return shown.join(nearest, "folder", "left").select("folder", name.alias("name"), "total")
+
+
 def cache_misses(files: DataFrame, cached: DataFrame) -> DataFrame:
     """Files whose (oid, language) no cached analysis has."""
     return files.join(cached.select("oid", "language").distinct(), ["oid", "language"], "left_anti")

@@ -123,6 +123,43 @@ def test_matching_tiers(spark):
     assert [(r.fp, r.nb, r.nc) for r in unclear.collect()] == [("8", 1, 2)]
 
 
+def test_displaced_candidate_takes_the_free_base(spark):
+    """Set (f, n) has two bases and three candidates; the second candidate's body is that of a deleted file, so it leaves and the third moves up."""
+    rows = "path string, ix long, name string, fp string"
+    b = spark.createDataFrame([("f", 1, "n", "1"), ("f", 2, "n", "2"), ("gone", 1, "m", "9"), ("g", 1, "o", "3"), ("late", 1, "p", "7")], rows)
+    c = spark.createDataFrame([("f", 1, "n", "4"), ("f", 2, "n", "9"), ("f", 3, "n", "5"), ("g", 1, "o", "7")], rows)
+    ren = spark.createDataFrame([], "from_path string, path string, oid string")
+    one = matching.same_file(b, c)
+    two = matching.through_renames(b, c, one, ren)
+    assert {(r.base_ix, r.ix) for r in one.where("path = 'f'").collect()} == {(1, 1), (2, 2)}
+    got = matching.displaced(b, c, one, two, ren)
+    assert {(r.tier, r.base_path, r.base_ix, r.path, r.ix) for r in got.collect()} == {(1, "f", 1, "f", 1), (1, "f", 2, "f", 3), (1, "g", 1, "g", 1)}
+    three, _ = matching.by_fingerprint(b, c, got)
+    assert [(r.base_path, r.path, r.ix) for r in three.collect()] == [("gone", "f", 2)]
+
+
+def test_unanalysed_files_are_due_if_changed_or_gated(spark):
+    rows = spark.createDataFrame([("a", True, "too_large"), ("b", False, "too_large"), ("c", True, "unsupported_extension"), ("d", False, "unsupported_extension"), ("e", True, None)], "path string, changed boolean, reason string")
+    due = lambda level: {r.path for r in policy.coverage_gaps(rows, level).collect()}
+    assert due("deny") == due("warn") == {"a", "b", "c"} and due("off") == {"a", "c"}
+
+
+def test_folders_of_one_folder_merge(spark):
+    rows = spark.createDataFrame([("a/b/c/x",), ("a/b/c/d/e/y",), ("a/b/c/f/z",), ("top",), ("g/h",)], "path string")
+    got = {(r.folder, r.name, r.total) for r in discovery.merged_folders(rows).collect()}
+    assert got == {("a/b/c", "a/b/c", 3), ("a/b/c/d/e", "d/e", 1), ("a/b/c/f", "f", 1), ("g", "g", 1)}
+
+
+@pytest.mark.parametrize("target, want", [("https://github.com/o/r", "remote"), ("http://github.com/o/r", "remote"), ("github.com/o/r", "local"), ("/srv/tree", "local"), ("https://example.org/r", "local")])
+def test_target_kinds(spark, target, want):
+    assert one(spark, t=target).select(discovery.target_kind(F.col("t"))).first()[0] == want
+
+
+def test_framed_digest_of_an_array_equals_that_of_parts(spark):
+    rows = one(spark, a="ab", b="c")
+    assert rows.select(X.framed_array_digest("d", 1, F.array("a", "b")) == X.framed_digest("d", 1, F.col("a"), F.col("b"))).first()[0]
+
+
 def test_islands_touch_and_nest(spark):
     rows = spark.createDataFrame([("a", 0, 10), ("a", 2, 3), ("a", 10, 12), ("a", 14, 15)], "k string, start long, end long")
     assert [(r.start, r.end, r.n) for r in rules.islands(rows, ["k"]).orderBy("start").collect()] == [(0, 12, 3), (14, 15, 1)]
@@ -132,6 +169,8 @@ def test_islands_touch_and_nest(spark):
     "glob, path, hit",
     [
         ("**/node_modules/**", "a/node_modules/b.js", True), ("*.js", "a.js", True), ("*.js", "d/a.js", False), ("build", "build/x/y.java", True),
+        ("Q[[:upper:]].rs", "QZ.rs", True), ("Q[[:upper:]].rs", "Qz.rs", False), ("Q[![:upper:]].rs", "Qz.rs", True), ("[[:digit:]k]", "k", True), ("[[:other:]]", "o", False), ("[[:digit:]", "4", False),
+        ("[]a]", "]", True), ("[\\]b]", "b", True), ("[[:]", ":", True), ("x[z-a]", "xb", False), ("a[", "a[", False), ("[[:space:]]", "\x0b", False), ("[[:punct:]]", "[", True), ("a[!b]c", "a/c", False),
         ("**/[a-c]?.ts", "q/b1.ts", True), ("**/[!a-c]?.ts", "q/b1.ts", False), ("a/**/z", "a/z", True), ("a.b", "axb", False),
     ],
 )
