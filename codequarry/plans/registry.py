@@ -418,7 +418,9 @@ def match_ambiguities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _third(spark, sf_dir)[1]
 
 
-DISPLACED = T2 + (
+#: Back from the candidate to the base, as only then unmatched lines of other files equal leftovers of a changed one.
+BACK = tuple(x.replace("base AS (", "older AS (").replace("cand AS (", "newer AS (") for x in (BASE, CAND)) + ("base AS (SELECT * FROM newer)", "cand AS (SELECT * FROM older)")
+DISPLACED = BACK + tuple(x for x in T2 if x not in (BASE, CAND)) + (
     """gb AS (SELECT 1 AS tier, file, name, path, ix, fp FROM b1 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t1e)
     UNION ALL SELECT 2, file, name, path, ix, fp FROM b2 WHERE (path, ix) NOT IN (SELECT (base_path, base_ix) FROM t2e))""",
     """gc AS (SELECT 1 AS tier, file, name, path, ix, fp FROM c1 WHERE (path, ix) NOT IN (SELECT (path, ix) FROM t1e)
@@ -433,15 +435,16 @@ DISPLACED = T2 + (
 
 
 def _displaced(spark, sf_dir):
-    b, c, one = _matched(spark, sf_dir)
-    renames = cut(_renames(spark, sf_dir))
-    b, c, one = cut(b), cut(c), cut(one)
+    older, newer = _sides(spark, sf_dir)
+    renames = cut(matching.exact_renames(matching.tree_diff(newer, older)))
+    b, c = (cut(_identities(x)) for x in (newer, older))
+    one = cut(matching.same_file(b, c))
     return b, c, matching.displaced(b, c, one, cut(matching.through_renames(b, c, one, renames)), renames)
 
 
 @query("SELECT tier, base_path, base_ix, path, ix, pairing FROM pd", DISPLACED)
 def match_displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of tiers one and two after displacement."""
+    """Pairs of tiers one and two after displacement, from the candidate back to the base."""
     return _displaced(spark, sf_dir)[2]
 
 
