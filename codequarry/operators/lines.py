@@ -134,6 +134,18 @@ def new_suppressions(suppressed: DataFrame, base_suppressed: DataFrame, matched:
     return suppressed.join(before, ["path", "rule", "line"], "left_anti").select("path", "rule", "line", (F.col("line") - 1).alias("directive_line"))
 
 
+def damaged(cand: DataFrame, base: DataFrame, mapped: DataFrame) -> DataFrame:
+    """(path, start, end): spans of ``cand(path, start, end)`` of which some line maps from no line of a span of ``base``, under the candidate's path.
+
+    Damage that the base had stays tolerated where its lines are unchanged; a file without a line map is new, so all its spans remain. Equal spans count once.
+    """
+    each = lambda x, name: x.where("start <= end").select("path", "start", "end", F.explode(F.sequence("start", "end")).alias(name))
+    kept = mapped.where("base_line is not null and line is not null")
+    old = kept.join(each(base, "base_line").select("path", "base_line").distinct(), ["path", "base_line"], "left_semi").select("path", "line", F.lit(True).alias("_old"))
+    spans = each(cand.distinct(), "line").join(old, ["path", "line"], "left").groupBy("path", "start", "end").agg(F.bool_and(F.coalesce("_old", F.lit(False))).alias("_old"))
+    return spans.where("not _old").drop("_old")
+
+
 def contained(needle: Column, hay: Column, sep: str = "\x01") -> Column:
     """Whether the tokens of ``needle`` stand next to each other, in order, in ``hay`` (arrays of strings without ``sep``)."""
     framed = lambda x: F.concat(F.lit(sep), F.array_join(x, sep), F.lit(sep))

@@ -724,6 +724,17 @@ def deleted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.deleted_runs(_runs(spark, sf_dir, "base").select("path", "key", "start", "end", "lines"), _mapped(spark, sf_dir)).drop("lines")
 
 
+@query()
+def damage_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of the candidate's changed files, as damage, that are not the base's on unchanged lines."""
+    side = lambda k: _findings(A.snapshot(spark, sf_dir, k).drop("oid")).select("path", F.col("line").alias("start"), F.col("line").alias("end"))
+    mapped = cut(_mapped(spark, sf_dir))
+    changed = mapped.select("path").distinct()
+    moved = _renames(spark, sf_dir).select("from_path", F.col("path").alias("to"))
+    base = side("base").join(moved, F.col("path") == F.col("from_path"), "left").select(F.coalesce("to", "path").alias("path"), "start", "end")
+    return lines.damaged(side("cand").join(changed, "path", "left_semi"), base, mapped)
+
+
 @query()
 def new_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppressed repeats of the candidate whose repeat on the mapped base line was not suppressed, in changed files."""

@@ -77,8 +77,10 @@ def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, st
 
     E101 and E102 for callables above the complexity limit that are new or grew, V101 for findings that no base finding accounts for, V102 for duplicates in changed files that gained lines,
     S101 for suppressions that the base does not have, S102 for directives that suppress nothing or are not well formed. ``keyword`` begins a directive.
+    A101 for changed files whose brackets don't balance, unless every line maps from such a base file; A102 for files of a known language that can't be read (content null, over the
+    ceiling or not UTF-8): changed ones, and with V102 on also unchanged ones. Without content a file on both sides counts as unchanged.
     """
-    severity = {"E101": "deny", "E102": "deny", "V101": "deny", "V102": "deny", "S101": "deny", "S102": "warn"} | (severity or {})
+    severity = {"E101": "deny", "E102": "deny", "V101": "deny", "V102": "deny", "S101": "deny", "S102": "warn", "A101": "deny", "A102": "deny"} | (severity or {})
     kept = lambda files: trees.texts(files.select("path", "content")).where(F.col("language").isNotNull() & F.col("text").isNotNull()).withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
     b, c = kept(base), kept(cand)
     diff = cut(matching.tree_diff(b, c))
@@ -129,6 +131,16 @@ def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, st
     subjects = lines.clone_subjects(runs_c.select("path", "key", "start", "end", "lines"), mapped)
     fires = lines.extension_grades(subjects, runs_b.select("path", "start", "end", "lines"), mapped).where("fires")
     out.append(fires.select(F.lit("V102").alias("code"), "path", F.col("start").alias("line"), F.col("key").alias("name"), F.lit("clone_growth").alias("reason")))
+    whole = lambda texts, lowered: texts.join(lowered.where("failed").select("path"), "path", "left_semi").select("path", F.lit(1).cast("long").alias("start"), X.line_count(F.col("text")).alias("end"))
+    broken = whole(c, lc).join(changed, "path", "left_semi").join(same, "path", "left_anti")
+    a101 = lines.damaged(broken, of_cand(whole(b, lb)), mapped)
+    out.append(a101.select(F.lit("A101").alias("code"), "path", F.col("start").alias("line"), F.lit("").alias("name"), F.lit("parse_damage").alias("reason")))
+    stamp = F.sha2(F.col("content"), 256)
+    before = base.select("path", stamp.alias("was"), F.lit(True).alias("known"))
+    entries = trees.texts(cand.select("path", "content", stamp.alias("now"), F.coalesce(F.octet_length("content") > discovery.CEILING, F.lit(True)).alias("large"))).where("language is not null").join(before, "path", "left")
+    why = F.when(F.col("large"), "too_large").when(F.col("text").isNull(), "unreadable")
+    gaps = policy.coverage_gaps(entries.select("path", (F.col("known").isNull() | ~F.col("was").eqNullSafe(F.col("now"))).alias("changed"), why.alias("reason")), severity["V102"])
+    out.append(gaps.select("code", "path", F.lit(0).cast("long").alias("line"), F.lit("").alias("name"), "reason"))
     every = out[0]
     for rows in out[1:]:
         every = every.unionByName(rows)

@@ -75,6 +75,25 @@ def test_clone_gate(spark):
     assert [(r.path, r.added, r.fires) for r in graded] == [("b.java", 13, True)]
 
 
+def test_check_of_broken_and_unreadable_files(spark):
+    half = "class Q {\n  int a;\n  int b;\n"
+    base = {"Same.java": half, "Shrunk.java": half, "Grown.java": half, "Ok.java": "class Q {\n}\n", "bad.rs": b"\xff", "note.md": "x"}
+    cand = base | {"Shrunk.java": half.replace("  int b;\n", ""), "Grown.java": half + "  int c;\n", "Ok.java": "class Q {\n", "New.java": half, "new.rs": b"\xfe", "big.js": "a;" * (1 << 20), "note.md": b"\xff"}
+    found = lambda **levels: {(r.code, r.path, r.reason) for r in S.check(files(spark, base), files(spark, cand), "keep", levels).collect()}
+    damage = {("A101", p, "parse_damage") for p in ("Grown.java", "Ok.java", "New.java")}
+    changed = {("A102", "new.rs", "unreadable"), ("A102", "big.js", "too_large")}
+    assert found() == damage | changed | {("A102", "bad.rs", "unreadable")}
+    assert found(V102="off") == damage | changed
+
+
+def test_damage_spans_map_line_by_line(spark):
+    span = "path string, start long, end long"
+    mapped = spark.createDataFrame([("f", 1, 1), ("f", 2, 3), ("f", 3, 4), ("f", None, 2), ("f", 4, None)], "path string, base_line long, line long")
+    cand = spark.createDataFrame([("f", 3, 4), ("f", 1, 3), ("f", 1, 1), ("g", 1, 2), ("g", 1, 2)], span)
+    got = lines.damaged(cand, spark.createDataFrame([("f", 2, 3)], span), mapped).collect()
+    assert sorted(tuple(r) for r in got) == [("f", 1, 1), ("f", 1, 3), ("g", 1, 2)]
+
+
 def test_extension_grades(spark):
     """Ten old lines with one more are within a tenth or one; two more are not."""
     for more, fires in ((1, False), (2, True)):
