@@ -1,7 +1,8 @@
-"""The ten registered queries of this subpackage and the SQL of those that SQL can express."""
+"""The registered queries of this subpackage and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+from .bpe import op13_bpe_codec
 from .embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .line_dedup import OP4_SQL, op4_line_dedup
@@ -12,8 +13,9 @@ from .quality import op8_quality_classifier
 from .secrets import SECRET_BASE_SQL, op6_secret_scan, secret_base_spans
 from .token_files import op5_token_files
 from .toxicity import op2_toxicity
+from .whitening import op12_embedding_whitening
 
-_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup, secret_base_spans]
+_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup, op12_embedding_whitening, op13_bpe_codec, secret_base_spans]
 
 
 def queries():

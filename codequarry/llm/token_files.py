@@ -44,8 +44,8 @@ from .base import Scratch, new_path, slices, text_column
 BLOCK, PART, SHARD_IDS = 1024, 256 << 10, 4 << 20
 #: Tasks that read shards back, one a shard below that.
 READERS = 10_000
-#: Pieces that a worker keeps, and those that the library encodes at once.
-MOST_PIECES, AT_ONCE = 600_000, 8192
+#: Pieces that a worker keeps, their bytes, and those pieces that the library encodes at once.
+MOST_PIECES, MOST_LETTERS, AT_ONCE = 600_000, 32 << 20, 8192
 #: Ids in a word by selector; selector 13 is one id of up to 60 bits, the escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = 60 // COUNTS
@@ -149,6 +149,8 @@ class Encoder:
     """Ids of texts by the ``tokenizers`` library, which sees each different piece once; kept per worker process."""
 
     _made: dict[str, Encoder] = {}
+    #: Bytes in a text that send it to ``whole_ids``.
+    ODD = ODD
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -162,6 +164,24 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def pieces_ids(self, pieces: list[bytes]) -> list:
+        return [e.ids for e in self.library.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
+
+    def whole_ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    @staticmethod
+    def borders(data: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """Between ASCII letters and punctuation."""
+        return (PUNCT[data] & LETTER[before]) | (LETTER[data] & PUNCT[before])
+
+    def cuts(self, data: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Bytes before which texts are cut into pieces that are encoded alone."""
+        line = (data == 10) & ~WS[before] & ~WS[after]
+        cut = ((data == 32) & ~WS[before]) | line | self.borders(data, before)
+        cut[1:] |= line[:-1]
+        return cut
+
     def _reset(self) -> None:
         self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys of pieces, and their places in start and size
         self.start, self.size, self.ids, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
@@ -176,7 +196,7 @@ class Encoder:
         n = len(self.keys)
         for at in range(0, len(pieces), AT_ONCE):
             part = pieces[at : at + AT_ONCE]
-            got = [e.ids for e in self.library.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)]
+            got = self.pieces_ids(part)
             first, stop = n + at, n + at + len(part)
             self.start, self.size, self.begin, self.length = (self._grown(a, stop) for a in (self.start, self.size, self.begin, self.length))
             for lists, begin, length, held, used, flat in (
@@ -210,14 +230,12 @@ class Encoder:
         raw = data.tobytes()
         before = np.concatenate([data[:1], data[:-1]])
         after = np.concatenate([data[1:], data[-1:]])
-        line = (data == 10) & ~WS[before] & ~WS[after]
-        cut = ((data == 32) & ~WS[before]) | line | (PUNCT[data] & LETTER[before]) | (LETTER[data] & PUNCT[before])
-        cut[1:] |= line[:-1]
+        cut = self.cuts(data, before, after)
         cut[offs[:-1][np.diff(offs) > 0]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
         keys = T.span_hash(data, starts, ends)
-        if len(self.keys) > MOST_PIECES:
+        if len(self.keys) > MOST_PIECES or self.letters > MOST_LETTERS:
             self._reset()
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         fresh = np.flatnonzero(~self._known(distinct)[1])
@@ -229,14 +247,14 @@ class Encoder:
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[piece] - (stops - size), size) + np.arange(stops[-1])]
         bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offs)]
-        odd = [i for i in range(len(col)) if any(x in raw[offs[i] : offs[i + 1]] for x in ODD)] if any(x in raw for x in ODD) else []
+        odd = [i for i in range(len(col)) if any(x in raw[offs[i] : offs[i + 1]] for x in self.ODD)] if any(x in raw for x in self.ODD) else []
         if not self._same(data, starts, ends, piece):  # two pieces share a hash: the library encodes the whole texts
             odd = list(range(len(col)))
         if not odd:
             return ids, np.diff(bounds)
         rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
         for i in odd:
-            rows[i] = np.array(self.library.encode(raw[offs[i] : offs[i + 1]].decode(), add_special_tokens=False).ids, np.uint32)
+            rows[i] = self.whole_ids(raw[offs[i] : offs[i + 1]].decode())
         return np.concatenate(rows), np.array([len(r) for r in rows])
 
 
