@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_tokenizer_alignment
 from .bpe import op13_bpe_codec
 from .embedding_dedup import OP3_SQL, op3_embedding_near_dedup
 from .exact_dedup import OP9_SQL, op9_exact_dedup
@@ -15,7 +16,7 @@ from .token_files import op5_token_files
 from .toxicity import op2_toxicity
 from .whitening import op12_embedding_whitening
 
-_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup, op12_embedding_whitening, op13_bpe_codec, secret_base_spans]
+_QUERIES = [op1_sentencepiece, op2_toxicity, op3_embedding_near_dedup, op4_line_dedup, op5_token_files, op6_secret_scan, op7_packing, op8_quality_classifier, op9_exact_dedup, op10_minhash_near_dedup, op11_tokenizer_alignment, op12_embedding_whitening, op13_bpe_codec, secret_base_spans]
 
 
 def queries():
