@@ -283,9 +283,9 @@ def link_counts(docs: DataFrame, byte_bpe: str, pieces: str) -> tuple[DataFrame,
     b_id = F.col("pair").bitwiseAND(F.lit((1 << SHIFT) - 1))
     most = counts.groupBy(b_id.alias("b")).agg(F.max("count").alias("most"))  # a row per id of B at most: bounded by the vocabulary
     ranked = counts.withColumn("b", b_id).join(F.broadcast(most), "b").select("pair", "b", "count", (F.col("count") == F.col("most")).alias("best"))
-    known = pairs.join(ranked, "pair").select("block", "place", "count", F.col("best").cast("long").alias("best"))
+    known = pairs.join(ranked, "pair").select(F.col("block").alias("of"), "place", "count", F.col("best").cast("long").alias("best"))
     done = table.where("pairs is null").select("block", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", "links")
-    done = done.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_best long, count_sum long")
+    done = done.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(_sums, "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, n_best long, count_sum long")
     return done, ranked.select(F.shiftrightunsigned("pair", SHIFT).alias("a"), "b", "count", "best")
 
 
