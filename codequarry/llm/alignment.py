@@ -32,8 +32,8 @@ from .base import Scratch, fresh_names, slices, text_column
 from .bpe import Decoder
 from .token_files import ODD, Encoder
 
-#: Bytes of the texts of a block; shift of A's id in the code of a pair.
-BLOCK, SHIFT = 8 << 20, 32
+#: Bytes of the texts of a block and of those that are aligned at once; shift of A's id in the code of a pair.
+BLOCK, SLICE, SHIFT = 8 << 20, 1 << 19, 32
 SPACE = "▁"
 
 
@@ -219,42 +219,59 @@ def align(docs: DataFrame, byte_bpe: str, pieces: str, keep: tuple[str, ...] = (
     return rows.mapInArrow(run, schema)
 
 
+class _Pairs:
+    """The different pairs of a block, in order of arrival, with their numbers."""
+
+    def __init__(self):
+        self.pairs = self.place = self.counts = np.zeros(0, np.int64)  # sorted pairs, the place of each, and the number of each place
+
+    def places(self, pairs: np.ndarray) -> np.ndarray:
+        distinct, inverse, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        at = np.searchsorted(self.pairs, distinct)
+        there = at < len(self.pairs)
+        there[there] = self.pairs[at[there]] == distinct[there]
+        place = np.empty(len(distinct), np.int64)
+        place[there] = self.place[at[there]]
+        place[~there] = len(self.pairs) + np.arange(len(distinct) - there.sum())
+        self.pairs, self.place = np.insert(self.pairs, at[~there], distinct[~there]), np.insert(self.place, at[~there], place[~there])
+        self.counts = np.concatenate([self.counts, np.zeros(len(self.pairs) - len(self.counts), np.int64)])
+        self.counts[place] += n
+        return place[inverse]
+
+    def listed(self) -> tuple[np.ndarray, np.ndarray]:
+        out = np.empty(len(self.pairs), np.int64)
+        out[self.place] = self.pairs
+        return out, self.counts
+
+
 def _blocks(docs: DataFrame, byte_bpe: str, pieces: str) -> DataFrame:
     """A row per document, with its links as places in the list of pairs of its block, and one per block that holds the list and the pairs' numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = ByteSide.of(byte_bpe), PieceSide.of(pieces)
         names = ["block", "doc_id", "n_a", "n_b", "n_groups", "groups", "links", "pairs", "counts"]
-        longs, held, block = pa.list_(pa.int64()), [], TaskContext.get().partitionId() << 32
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal block
-            pairs, places, counts = np.unique(np.concatenate([p for _, _, p in held]), return_inverse=True, return_counts=True)
-            places, at = places.astype("<i4"), 0
-            for ids, x, p in held:
-                n = len(ids)
-                offs = pa.py_buffer(np.concatenate([[0], np.cumsum(x.groups * 4)]).astype(np.int32))
-                links = pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(places[at : at + len(p)].tobytes())])
-                at += len(p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), ids, pa.array(x.count_a), pa.array(x.count_b), pa.array(x.groups), listed(x).cast(pa.string()), links, pa.nulls(n, longs), pa.nulls(n, longs)], names=names)
+        longs, block, size, known = pa.list_(pa.int64()), TaskContext.get().partitionId() << 32, 0, _Pairs()
+
+        def ends() -> pa.RecordBatch:
             none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([block]), *none, pa.array([pairs], longs), pa.array([counts], longs)], names=names)
-            held.clear()
-            block += 1
+            pairs, counts = known.listed()
+            return pa.RecordBatch.from_arrays([pa.array([block]), *none, pa.array([pairs], longs), pa.array([counts], longs)], names=names)
 
-        size = 0
         for whole in batches:
-            for part in slices(whole, "text"):
-                texts = text_column(part, "text")
+            for part in slices(whole, "text", SLICE):
+                texts, n = text_column(part, "text"), part.num_rows
                 x = align_texts(a, b, texts)
                 at = np.flatnonzero(x.linked)
-                held.append((part.column(0), x, (x.ids_a[x.pairs_a[at]] << SHIFT) | x.ids_b[x.pairs_b[at]]))
+                places = known.places((x.ids_a[x.pairs_a[at]] << SHIFT) | x.ids_b[x.pairs_b[at]]).astype("<i4")
+                offs = pa.py_buffer(np.concatenate([[0], np.cumsum(x.groups * 4)]).astype(np.int32))
+                links = pa.Array.from_buffers(pa.binary(), n, [None, offs, pa.py_buffer(places.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), part.column(0), pa.array(x.count_a), pa.array(x.count_b), pa.array(x.groups), listed(x).cast(pa.string()), links, pa.nulls(n, longs), pa.nulls(n, longs)], names=names)
                 size += len(T.flat(texts)[0])
                 if size >= BLOCK:
-                    yield from flush()
-                    size = 0
-        if held:
-            yield from flush()
+                    yield ends()
+                    block, size, known = block + 1, 0, _Pairs()
+        if size or len(known.pairs):
+            yield ends()
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     found = rows.mapInArrow(run, "block long, doc_id long, n_a long, n_b long, n_groups long, groups string, links binary, pairs array<long>, counts array<long>")
