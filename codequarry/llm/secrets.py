@@ -13,6 +13,9 @@ Positions: ``split`` gives the stretches between matches and ``regexp_extract_al
 points, summed in order, are the offsets. Patterns whose length limit may stand in the pattern have it there; for ``assign`` the
 limit is applied to the matches, as a short match uses up its text.
 
+Work grows with the length of a text and the number of its matches, in a straight line but for sorting: what a lambda reads is bound once, arrays that grow are
+gathered in parts, and texts are cut out of pieces.
+
 Defined results: null text counts as empty, with no spans. Rows with a null doc_id and rows that repeat are scanned each; an empty table gives an empty result
 (``train`` then knows the fixed lists only). Columns of other names pass through ``scan``, which adds ``base`` and ``spans`` and refuses input that has them.
 """
@@ -49,27 +52,69 @@ ORDINARY = (
     "upload user utility validation value variable version visible warning website window workflow wrapper"
 )
 SPAN = "struct<start:int,kind:int,stop:int>"
+RANDOM = 3
+#: Items that are gathered in one growing array; code points of a piece of a text that is cut out of it.
+PART, PIECE = 256, 1024
+
+
+def _bind(x: Column, f) -> Column:
+    """``f`` of the value of ``x``, which is computed once; inside other lambdas a column would be computed for every element."""
+    return F.get(F.transform(F.array(x), f), 0)
+
+
+def _running(items: Column, state: Column, step, emit, kind: str) -> Column:
+    """Array (of SQL type ``kind``) of ``emit(state, item)`` for each item, where ``step(state, item)`` is the next item's state.
+
+    An array that grows is copied at every step, so results are gathered in parts of ``PART`` and the parts joined at the end.
+    """
+
+    def part(acc: Column, x: Column) -> Column:
+        return F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(emit(acc["state"], x))).alias("out"))
+
+    def run(all_items: Column) -> Column:
+        def whole(acc: Column, k: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+            done = F.aggregate(F.slice(all_items, k * PART + 1, F.lit(PART)), begin, part)
+            return _bind(done, lambda d: F.struct(d["state"].alias("state"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        begin = F.struct(state.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+        parts = F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / PART).cast("int"))
+        return F.when(F.size(all_items) > 0, F.flatten(F.aggregate(parts, begin, whole, lambda acc: acc["out"]))).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return _bind(items, run)
 
 
 def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None) -> Column:
     """Spans of all matches in order; ``keep`` is an array of booleans, one a match."""
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda x: F.length(x))
-    steps = F.arrays_zip(gaps.alias("gap"), sizes.alias("size"))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        stop = start + F.coalesce(x["size"], F.lit(0))
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(x["size"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(span))).alias("spans"))
-
-    found = F.aggregate(steps, begin, step)["spans"]
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), sizes.alias("size")), lambda x: x["size"].isNotNull())  # the last gap has no match behind it
+    start = lambda at, x: at + x["gap"]
+    span = lambda at, x: F.struct(start(at, x).alias("start"), F.lit(kind).alias("kind"), (start(at, x) + x["size"]).alias("stop"))
+    found = _running(steps, F.lit(0), lambda at, x: start(at, x) + x["size"], span, SPAN)
     if keep is None:
         return found
     return F.transform(F.filter(F.arrays_zip(found.alias("span"), keep.alias("keep")), lambda x: x["keep"]), lambda x: x["span"])
 
 
+def _free(runs: Column, base: Column) -> Column:
+    """The ``runs`` that touch no span of ``base``; both in order of start.
+
+    Of all spans in order, one to the right sees the farthest stop of the base spans before each run, one to the left the next base start behind it.
+    """
+    is_base = lambda x: x["kind"] != RANDOM
+    seen = f"struct<x:{SPAN},free:boolean>"
+    right = _running(
+        F.sort_array(F.concat(base, runs)), F.lit(0), lambda far, x: F.when(is_base(x), F.greatest(far, x["stop"])).otherwise(far),
+        lambda far, x: F.struct(x.alias("x"), (far <= x["start"]).alias("free")), seen,
+    )
+    left = _running(
+        F.reverse(right), F.lit(2**31 - 1), lambda near, y: F.when(is_base(y["x"]), y["x"]["start"]).otherwise(near),
+        lambda near, y: F.struct(y["x"].alias("x"), (y["free"] & (near >= y["x"]["stop"]) & ~is_base(y["x"])).alias("free")), seen,
+    )
+    return F.transform(F.filter(left, lambda y: y["free"]), lambda y: y["x"])
+
+
 def _when(hit: Column, spans: Column) -> Column:
     return F.when(hit, spans).otherwise(F.array().cast(f"array<{SPAN}>"))
 
@@ -146,38 +191,45 @@ def train(docs: DataFrame, strings: int = 4000) -> list[float]:
     return out
 
 
-def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.75) -> DataFrame:
-    """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, stop), in order of start, then kind."""
-    fresh_names(docs, "base", "spans", "_runs")
-    text = F.coalesce("text", F.lit(""))
+def base_spans(text: Column) -> Column:
+    """Spans of the fixed patterns, in order of start, then kind."""
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda x: F.length(x) >= 12)
-    base = F.concat(
+    found = F.concat(
         _when(text.rlike(ASSIGN), _spans(text, ASSIGN, 0, long_enough)),
         _when(F.contains(text, F.lit("AKIA")), _spans(text, ACCESS, 1)),
         _when(text.rlike(HEX), _spans(text, HEX, 2)),
     )
-    table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
+    return F.sort_array(found)
 
-    def excess(s: Column) -> Column:
-        """The largest sum of transition ratios less the threshold over the parts of ``s`` of at least 16 characters."""
-        code = lambda i: F.ascii(F.substr(s, i, F.lit(1)))
-        each = F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.get(table, code(i) * 128 + code(i + 1)) - threshold)
-        late = F.arrays_zip(each.alias("x"), F.concat(F.array_repeat(F.lit(0.0), LEAST - 1), each).alias("y"))  # y left the last 15 transitions
-        late = F.slice(late, 1, F.length(s) - 1)
-        begin = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("last"), F.lit(0.0).alias("before"), F.lit(float("-inf")).alias("best"))
 
-        def step(acc: Column, t: Column) -> Column:
-            n = acc["n"] + 1
-            last = acc["last"] + t["x"] - t["y"]  # the last 15
-            before = F.greatest(acc["before"] + t["y"], F.lit(0.0))  # the best that ends where they begin
-            return F.struct(n.alias("n"), last.alias("last"), before.alias("before"), F.when(n >= LEAST - 1, F.greatest(acc["best"], last + before)).otherwise(acc["best"]).alias("best"))
+def _excess(s: Column, table: Column, threshold: float) -> Column:
+    """The largest sum of transition ratios less the threshold over the parts of ``s``, an ASCII string, of at least 16 characters."""
+    codes = F.transform(F.split(s, ""), lambda c: F.ascii(c))
+    pairs = lambda x: F.zip_with(F.slice(x, 1, F.length(s) - 1), F.slice(x, 2, F.length(s) - 1), lambda a, b: F.get(table, a * 128 + b) - threshold)
+    begin = F.struct(F.lit(0).alias("n"), F.lit(0.0).alias("last"), F.lit(0.0).alias("before"), F.lit(float("-inf")).alias("best"))
 
-        return F.aggregate(late, begin, step, lambda acc: acc["best"])
+    def step(acc: Column, t: Column) -> Column:
+        n = acc["n"] + 1
+        last = acc["last"] + t["x"] - t["y"]  # the last 15
+        before = F.greatest(acc["before"] + t["y"], F.lit(0.0))  # the best that ends where they begin
+        return F.struct(n.alias("n"), last.alias("last"), before.alias("before"), F.when(n >= LEAST - 1, F.greatest(acc["best"], last + before)).otherwise(acc["best"]).alias("best"))
 
-    likely = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda s: excess(s) >= 0)
-    found = docs.withColumn("base", F.array_sort(base)).withColumn("_runs", _when(text.rlike(RUN), _spans(text, RUN, 3, likely)))
-    free = F.filter("_runs", lambda x: ~F.exists("base", lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])))
-    return found.withColumn("spans", F.array_sort(F.concat("base", free))).drop("_runs")
+    def best(each: Column) -> Column:
+        late = F.slice(F.concat(F.array_repeat(F.lit(0.0), LEAST - 1), each), 1, F.size(each))  # what left the last 15 transitions
+        return F.aggregate(F.zip_with(each, late, lambda x, y: F.struct(x.alias("x"), y.alias("y"))), begin, step, lambda acc: acc["best"])
+
+    return _bind(_bind(codes, pairs), best)
+
+
+def scan(docs: DataFrame, ratios: list[float], threshold: float = 0.75) -> DataFrame:
+    """``docs`` with ``base`` and ``spans``: arrays of (start, kind number, stop), in order of start, then kind."""
+    fresh_names(docs, "base", "spans", "_runs")
+    text = F.coalesce("text", F.lit(""))
+    table = F.from_json(F.lit(json.dumps([round(x, 6) for x in ratios])), "array<double>")
+    likely = F.transform(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), lambda s: _excess(s, table, threshold) >= 0)
+    found = docs.withColumn("base", base_spans(text)).withColumn("_runs", _when(text.rlike(RUN), _spans(text, RUN, RANDOM, likely)))
+    spans = F.when(F.size("_runs") > 0, F.sort_array(F.concat("base", _free(F.col("_runs"), F.col("base"))))).otherwise(F.col("base"))
+    return found.withColumn("spans", spans).drop("_runs")
 
 
 def listed(spans: str) -> Column:
@@ -186,17 +238,33 @@ def listed(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", name(x["kind"]), x["start"].cast("string"), x["stop"].cast("string"))), ",")
 
 
+def _cut(pieces: Column, start: Column, stop: Column) -> Column:
+    """Code points ``start`` to ``stop`` of a text in pieces of ``PIECE``."""
+    first = F.floor(start / PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor((stop - 1) / PIECE).cast("int") - first + 1)
+
+    def part(p: Column, i: Column) -> Column:
+        before = (first + i) * PIECE
+        low = F.greatest(start - before, F.lit(0))
+        return F.substr(p, low + 1, F.least(stop - before, F.lit(PIECE)) - low)
+
+    return F.when(stop > start, F.array_join(F.transform(some, part), "")).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` of ``scan`` with each span of ``text`` replaced by ``mark`` (overlapping spans by one)."""
     text = F.coalesce("text", F.lit(""))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    gap = "struct<start:int,stop:int,last:int>"
+    kept = _running(F.col("spans"), F.lit(0), lambda at, x: F.greatest(at, x["stop"]), lambda at, x: F.struct(at.alias("start"), x["start"].alias("stop"), F.greatest(at, x["stop"]).alias("last")), gap)
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.lit(mark))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
+    def joined(pieces: Column) -> Column:
+        return _bind(kept, lambda gaps: F.concat(
+            F.array_join(F.transform(F.filter(gaps, lambda g: g["stop"] >= g["start"]), lambda g: F.concat(_cut(pieces, g["start"], g["stop"]), F.lit(mark))), ""),
+            _cut(pieces, F.element_at(gaps, -1)["last"], F.length(text)),
+        ))
 
-    done = F.aggregate("spans", begin, step)
-    return docs.withColumn("text", F.when(F.size("spans") > 0, F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))).otherwise(F.col("text")))
+    whole = _bind(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), joined)
+    return docs.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
 
 
 def _digest(found: DataFrame, *more: Column) -> DataFrame:
@@ -214,7 +282,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op6 that SQL can express, those of the base spans."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return _digest(scan(docs, train(docs)))
+    return _digest(docs.withColumn("base", base_spans(F.coalesce("text", F.lit("")))))
 
 
 #: Matches by ``regexp_extract_all``; each is found again from the end of the one before to get its place.
