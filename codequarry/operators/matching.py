@@ -52,16 +52,31 @@ def _left(rows: DataFrame, pairs: DataFrame, side: str) -> DataFrame:
     return rows.join(pairs.select(F.col(p).alias("path"), F.col(i).alias("ix")), ["path", "ix"], "left_anti")
 
 
+def _by_context(base: DataFrame, cand: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Leftovers of both sides with ``ctx``: their context where the set of ``key`` has the same contexts on both sides, each as often, else ''.
+
+    Multisets are compared by signed counts: all of them are 0 exactly if the two sides agree. Without a column ``context`` every context is ''.
+    """
+    if "context" not in base.columns:
+        return base.withColumn("ctx", F.lit("")), cand.withColumn("ctx", F.lit(""))
+    sign = lambda x, n: x.select(*key, "context", F.lit(n).alias("n"))
+    counts = sign(base, 1).unionByName(sign(cand, -1)).groupBy(*key, "context").agg(F.sum("n").alias("n"))
+    equal = counts.groupBy(*key).agg((F.max(F.abs("n")) == 0).alias("_equal"))
+    ctx = F.when(F.col("_equal"), F.col("context")).otherwise(F.lit(""))
+    return tuple(x.join(equal, key).withColumn("ctx", ctx).drop("_equal") for x in (base, cand))
+
+
 def _positional(base: DataFrame, cand: DataFrame) -> DataFrame:
-    """Leftovers of equal (file, name), k-th with k-th."""
-    k = F.row_number().over(Window.partitionBy("file", "name").orderBy("ix"))
+    """Leftovers of equal (file, name), and of equal context where that agrees, k-th with k-th."""
+    base, cand = _by_context(base, cand, ["file", "name"])
+    k = F.row_number().over(Window.partitionBy("file", "name", "ctx").orderBy("ix"))
     b, c = base.withColumn("k", k), cand.withColumn("k", k)
-    keys = ["file", "name", "k"]
+    keys = ["file", "name", "ctx", "k"]
     return b.select(*keys, F.col("path").alias("base_path"), F.col("ix").alias("base_ix")).join(c.select(*keys, "path", "ix"), keys).select("base_path", "base_ix", "path", "ix")
 
 
 def same_file(base: DataFrame, cand: DataFrame) -> DataFrame:
-    """Tier one on ``(path, ix, name, fp)``: equal fingerprints first, then positions."""
+    """Tier one on ``(path, ix, name, fp)``, with ``context`` if there is one: equal fingerprints first, then positions."""
     b, c = base.withColumn("file", F.col("path")), cand.withColumn("file", F.col("path"))
     exact = _exact(b, c)
     rest = _positional(_left(b, exact, "base"), _left(c, exact, "cand"))
@@ -90,16 +105,17 @@ def by_fingerprint(base: DataFrame, cand: DataFrame, done: DataFrame) -> tuple[D
 def displaced(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame, renames: DataFrame) -> DataFrame:
     """Pairs of tiers one and two with ``tier``, after candidates paired by position only have left for a free base of their fingerprint.
 
-    In a set of leftovers of equal (file, name) other than one to one, candidates whose fingerprint an unmatched base has leave the pairing, for
+    In a set of leftovers of equal (file, name), and context where that agrees, other than one to one, candidates whose fingerprint an unmatched base has leave the pairing, for
     tier three to take; those that stay are paired by position anew. Sets without such a candidate keep their pairs.
     """
-    key = ["tier", "file", "name"]
-    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix", "fp")
+    key, more = ["tier", "file", "name", "ctx"], [x for x in ("context",) if x in base.columns]
+    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix", "fp", *more)
     here = lambda rows: rows.withColumn("file", F.col("path"))
     moved = _left(base, one, "base").join(renames.select(F.col("from_path").alias("path"), F.col("path").alias("file")), "path")
     equal, equal2 = (x.where("pairing = 'fingerprint_exact'") for x in (one, two))
-    rb = cut(kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(moved, equal2, "base"), 2)))
-    rc = cut(kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(_left(here(cand), one, "cand"), equal2, "cand"), 2)))
+    rb = kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(moved, equal2, "base"), 2))
+    rc = kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(_left(here(cand), one, "cand"), equal2, "cand"), 2))
+    rb, rc = (cut(x) for x in _by_context(rb, rc, key[:3]))
     free = _left(base, one.unionByName(two), "base").select("fp").distinct()
     sizes = rb.groupBy(*key).agg(F.count("*").alias("nb")).join(rc.groupBy(*key).agg(F.count("*").alias("nc")), key).where("nb > 1 or nc > 1")
     gone = cut(rc.join(sizes.select(*key), key, "left_semi").join(free, "fp", "left_semi").select(*key, "path", "ix"))
@@ -120,8 +136,8 @@ def set_members(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame
     fingerprint). Returns (candidates (tier, file, name, path, ix, unmatched), bases (tier, file, name, path, ix)); unmatched says whether the
     candidate may have no base: it is surplus, or its set has more open candidates than bases.
     """
-    key = ["tier", "file", "name"]
-    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix")
+    key, more = ["tier", "file", "name"], [x for x in ("context",) if x in base.columns]
+    kept = lambda rows, tier: rows.select(F.lit(tier).alias("tier"), "file", "name", "path", "ix", *more)
     here = lambda rows: rows.withColumn("file", F.col("path"))
     equal = one.where("pairing = 'fingerprint_exact'")
     b2 = _left(base, one, "base").join(renames.select(F.col("from_path").alias("path"), F.col("path").alias("file")), "path")
@@ -130,6 +146,10 @@ def set_members(base: DataFrame, cand: DataFrame, one: DataFrame, two: DataFrame
     rb = kept(_left(here(base), equal, "base"), 1).unionByName(kept(_left(b2, equal2, "base"), 2))
     rc = kept(_left(here(cand), equal, "cand"), 1).unionByName(kept(_left(c2, equal2, "cand"), 2)).join(rb.select(*key).distinct(), key, "left_semi")
     done = one.unionByName(two)
+    if more:  # the context, where it parts a set, is a part of the name
+        named = lambda x: x.withColumn("name", F.concat_ws("\x01", "name", F.nullif("ctx", F.lit("")))).drop("ctx", *more)
+        rb, rc = map(named, _by_context(rb, rc, key))
+        rc = rc.join(rb.select(*key).distinct(), key, "left_semi")
     rb, rc = cut(rb), cut(rc)
     three, unclear = (cut(x) for x in by_fingerprint(base, cand, done))
     pool = lambda rows, side: _left(rows, done, side).join(unclear, "fp").select(F.lit(3).alias("tier"), F.col("fp").alias("file"), F.lit("").alias("name"), "path", "ix", "nb", "nc")

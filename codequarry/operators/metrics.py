@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
+
 HIGH = 10
 
 
@@ -55,3 +57,12 @@ def zero_filled_counts(rows: DataFrame, column: str, labels: list[str]) -> DataF
     wanted = rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     made = rows.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
     return F.broadcast(wanted).join(made, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def placed(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with ``place``, their number in a total order: sorted range by range, each behind the rows of those before it."""
+    at = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = at.groupBy("_part").agg(F.count("*").alias("n"))  # a row per range
+    before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    k = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return at.withColumn("_k", k).join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_k")).cast("long")).drop("_part", "_k", "_before")

@@ -61,12 +61,12 @@ EROSION = """SELECT family, round(CASE WHEN coalesce(sum(cc * sqrt(sloc)), 0) =
 FROM {fam} fam LEFT JOIN {calls} c ON fam.family = 'overall' OR fam.family = c.language GROUP BY family"""
 
 
-@query(EROSION.format(fam="fam", calls="calls").replace("fam fam", "fam").replace("calls c ", "calls c "), (FILES, CALL, FAMILIES))
+@query(EROSION.format(fam="fam", calls="calls"), (FILES, CALL, FAMILIES))
 def erosion_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.erosion(A.callables(A.files(spark, sf_dir)), LANGS)
 
 
-@query(EROSION.format(fam="fam", calls="orders_c").replace("fam fam", "fam"), (ORDERS, f"fam AS (SELECT unnest({['overall', *PRIORITIES]}) AS family)"))
+@query(EROSION.format(fam="fam", calls="orders_c"), (ORDERS, f"fam AS (SELECT unnest({['overall', *PRIORITIES]}) AS family)"))
 def erosion_orders_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.erosion(A.orders_as_callables(spark, sf_dir), PRIORITIES)
 
@@ -482,11 +482,12 @@ def complexity_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT path, CASE WHEN count(DISTINCT v) = 1 THEN min(v) ELSE 'G102' END AS verdict FROM (SELECT c.path, {VERDICT.replace('bcc', 'b.bcc').replace('bsloc', 'b.bsloc')} AS v
-FROM cc_ c JOIN (SELECT language, cc AS bcc, sloc AS bsloc FROM bc WHERE sloc <= 1) b ON b.language = c.language) GROUP BY path""", PAIRS)
+FROM cc_ c JOIN (SELECT DISTINCT language, cc AS bcc, sloc AS bsloc FROM bc) b ON b.language = c.language) GROUP BY path""", PAIRS)
 def ambiguous_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts over all base callables of the language as options."""
     base, cand = (A.callables(x.drop("oid")) for x in _sides(spark, sf_dir))
-    options = base.where("sloc <= 1").select("language", "cc", "sloc").distinct()  # a verdict set needs each option once
-    return policy.set_verdicts(cand, options, "language")
+    made = policy.open_set_verdicts(cand.select("path", "language", "cc", "sloc", F.lit(False).alias("unmatched")), base.select("language", "cc", "sloc"), ["language"])
+    return made.select("path", "verdict")
 
 
 SETS = T3 + (
@@ -515,10 +516,10 @@ SETS = T3 + (
 @query("SELECT path, ix, CASE WHEN count(DISTINCT v) = 1 THEN min(v) ELSE 'G102' END AS verdict FROM sv GROUP BY path, ix", SETS)
 def match_set_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts over all bases of each ambiguity and positional remainder; a statement has the numbers of its file's callable."""
-    b, c = (_identities(x).localCheckpoint() for x in _sides(spark, sf_dir))  # each is read many times, so plans are cut
-    ren = _renames(spark, sf_dir).localCheckpoint()
-    one = matching.same_file(b, c).localCheckpoint()
-    two = matching.through_renames(b, c, one, ren).localCheckpoint()
+    b, c = (cut(_identities(x)) for x in _sides(spark, sf_dir))  # each is read many times, so plans are cut
+    ren = cut(_renames(spark, sf_dir))
+    one = cut(matching.same_file(b, c))
+    two = cut(matching.through_renames(b, c, one, ren))
     cands, bases = matching.set_members(b, c, one, two, ren)
     base, cand = (A.callables(x.drop("oid")).select("path", "cc", "sloc") for x in _sides(spark, sf_dir))
     made = policy.open_set_verdicts(cands.join(cand, "path"), bases.join(base, "path"), ["tier", "file", "name"])
@@ -768,20 +769,18 @@ def terminal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.files(spark, sf_dir).select("doc_id", X.terminal(F.col("text")).alias("shown"))
 
 
-@query("""SELECT doc_id, array_to_string(string_split(text, chr(10))[2:21], chr(10)) AS excerpt, len(string_split(text, chr(10))) > 21 AS truncated FROM files
-WHERE octet_length(encode(array_to_string(string_split(text, chr(10))[2:21], chr(10)))) <= 4096""", (FILES,))
+@query("""SELECT doc_id, coalesce(try(decode(b[1:4096])), try(decode(b[1:4095])), try(decode(b[1:4094])), try(decode(b[1:4093]))) AS excerpt, octet_length(b) > 4096 OR n > 21 AS truncated
+FROM (SELECT doc_id, encode(array_to_string(string_split(text, chr(10))[2:21], chr(10))) AS b, len(string_split(text, chr(10))) AS n FROM files)""", (FILES,))
 def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty lines from the second one, of files where these are 4,096 bytes at most."""
-    d = A.files(spark, sf_dir)
-    whole = X.excerpt(F.col("text"), F.lit(2), size=1 << 30)
-    return d.where(F.octet_length(whole["text"]) <= 4096).select("doc_id", X.excerpt(F.col("text"), F.lit(2)).alias("e")).select("doc_id", F.col("e.text").alias("excerpt"), "e.truncated")
+    """Twenty lines from the second one, 4,096 bytes at most."""
+    return A.files(spark, sf_dir).select("doc_id", X.excerpt(F.col("text"), F.lit(2)).alias("e")).select("doc_id", F.col("e.text").alias("excerpt"), "e.truncated")
 
 
-@query("SELECT path, ix, line, token, row_number() OVER (ORDER BY path, line, token) AS place FROM cf QUALIFY place <= 100", FIND)
+@query("SELECT path, ix, line, token, row_number() OVER (ORDER BY path, line, token) AS place FROM cf", FIND)
 def finding_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred findings of the candidate by path, line and what repeats, with their place: a bounded sort."""
-    first = _findings(_sides(spark, sf_dir)[1].drop("oid")).select("path", "ix", "line", "token").orderBy("path", "line", "token").limit(100)
-    return first.withColumn("place", F.row_number().over(Window.orderBy("path", "line", "token")).cast("long"))
+    """All findings of the candidate by path, line and what repeats, with their place."""
+    found = _findings(_sides(spark, sf_dir)[1].drop("oid")).select("path", "ix", "line", "token")
+    return metrics.placed(found, ["path", "line", "token"])
 
 
 RULE_NAMES = {("de", "REPEAT"): "DE-REPEAT", ("en", "REPEAT"): "EN-REPEAT", ("fr", "REPEAT"): "FR-REPEAT"}

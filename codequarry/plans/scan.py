@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import clones, lines, matching, metrics, policy
-from ..sources import discovery, lowering, trees
+from ..operators import clones, findings, lines, matching, metrics, moves, policy, renames
+from ..sources import cache, discovery, ignore, lowering, trees
 from .scratch import cut
 
 FAMILIES = ["java", "js_ts", "rust"]
@@ -43,7 +43,7 @@ def statement_lines(lowered: DataFrame) -> DataFrame:
 
 
 def duplicates(lowered: DataFrame, min_lines: int = MIN_CLONE_LINES) -> DataFrame:
-    """Members of the maximal groups of runs with at least ``min_lines`` executable lines: (key, language, path, start, end, n, members, lines), lines the executable ones."""
+    """Members of the maximal groups of runs with at least ``min_lines`` executable lines: (key, language, path, container, start, end, first, n, members, lines), lines the executable ones."""
     blocks = statement_lines(lowered)
     found = clones.candidates(blocks, 2, ends_only=True)
     ends = blocks.select("path", F.transform("lines", lambda x: x["last"]).alias("_last"))
@@ -51,17 +51,41 @@ def duplicates(lowered: DataFrame, min_lines: int = MIN_CLONE_LINES) -> DataFram
     able = lowered.select(F.col("path").alias("file"), "exec_lines")
     found = found.withColumn("file", F.regexp_replace("path", "#[0-9]+$", "")).join(able, "file")
     found = found.withColumn("lines", F.filter("exec_lines", lambda x: (x >= F.col("start")) & (x <= F.col("end")))).where(F.size("lines") >= min_lines)
-    members = clones.maximal(clones.groups(cut(found.drop("path", "exec_lines").withColumnRenamed("file", "path"))))
-    return members
+    return clones.maximal(clones.groups(cut(found.drop("exec_lines").withColumnRenamed("path", "container").withColumnRenamed("file", "path"))))
 
 
-def scan(files: DataFrame, include_tests: bool = False, exclude: list[str] | None = None, ignore: list[tuple[str, bool]] | None = None, min_clone_lines: int = MIN_CLONE_LINES) -> Scan:
-    """Analyses ``files(path, content)``: what is skipped and why, callables with mass, findings, duplicate groups, and scores per family."""
+def with_tokens(members: DataFrame, lowered: DataFrame) -> DataFrame:
+    """``members`` of ``duplicates(lowered)`` with ``tokens``, digests of their statements."""
+    each = F.transform("lines", lambda x: F.sha2(x["token"].cast("binary"), 256))
+    rows = statement_lines(lowered).select(F.col("path").alias("container"), each.alias("_tokens"))
+    return members.join(rows, "container").withColumn("tokens", F.slice("_tokens", F.col("first").cast("int"), F.col("n").cast("int"))).drop("_tokens")
+
+
+def _moved(runs_b: DataFrame, added: DataFrame, mapped: DataFrame, gone: DataFrame, lb: DataFrame, lc: DataFrame) -> DataFrame:
+    """Rows of ``added``, new duplicates, that are moves of base runs of which every line was deleted, or of files that were."""
+    whole = runs_b.join(gone, "path", "left_semi")
+    deleted = cut(with_tokens(lines.deleted_runs(runs_b, mapped).unionByName(whole).distinct(), lb))
+    shape = lambda x, rank: x.select(rank, "language", F.col("container").alias("block"), "first", "tokens", F.size("lines").alias("lines"))
+    entries = cut(moves.ranked(deleted, ["path", "start", "end"], "slot"))
+    runs = cut(moves.ranked(with_tokens(added, lc), moves.longest_first(), "rank"))
+    return runs.join(moves.moves(shape(entries, "slot"), shape(runs, "rank")), "rank", "left_semi").select("path", "key", "start")
+
+
+def scan(files: DataFrame, include_tests: bool = False, exclude: list[str] | None = None, ignore: list[tuple[str, bool]] | None = None, min_clone_lines: int = MIN_CLONE_LINES, store: str | None = None) -> Scan:
+    """Analyses ``files(path, content)``: what is skipped and why, callables with mass, findings, duplicate groups, and scores per family.
+
+    With a folder as ``store``, contents that it has are not analysed again.
+    """
     named = trees.texts(discovery.ignored(files.select("path", "content"), ignore or []))
     reason = F.when(F.col("ignored"), "gitignore").otherwise(discovery.skip_reason(F.col("path"), discovery.built_in(include_tests, exclude)))
     reason = F.coalesce(reason, F.when(F.col("language").isNull(), "parse_unsupported_extension").when(F.col("text").isNull(), "unreadable"))
     named = named.withColumn("reason", reason)
-    lowered = cut(lowering.lower(named.where("reason is null")))
+    wanted = named.where("reason is null")
+    if store is None:
+        lowered = cut(lowering.lower(wanted))
+    else:
+        keyed = cut(wanted.select("path", "language", "text", F.sha2(F.col("text").cast("binary"), 256).alias("oid")))
+        lowered = cut(cache.lower(keyed, store, cache.profile()))
     skipped = named.where("reason is not null").select("path", "reason").unionByName(lowered.where("failed").select("path", F.lit("parse_syntax_error").alias("reason")))
     calls = metrics.with_mass(lowered.select("path", "language", F.explode("callables").alias("c")).select("path", "language", "c.*"))
     found = lowered.select("path", "language", F.explode("findings").alias("f")).select("path", "language", "f.*")
@@ -72,47 +96,73 @@ def scan(files: DataFrame, include_tests: bool = False, exclude: list[str] | Non
     return Scan(skipped, lowered, calls, found, members, flagged, erosion.join(verbose, "family"))
 
 
+#: Severities unless others are given.
+SEVERITY = {"E101": "deny", "E102": "deny", "G102": "error", "V101": "deny", "V102": "deny", "S101": "deny", "S102": "warn", "A101": "deny", "A102": "deny"}
+PHASES = {"E101": 3, "E102": 3, "G102": 3, "V101": 4, "S101": 5, "S102": 5, "A101": 6, "A102": 7, "V102": 8}
+
+
+def _graded(eb: DataFrame, ec: DataFrame, one: DataFrame, two: DataFrame, pairs: DataFrame, renames_: DataFrame) -> DataFrame:
+    """Candidate callables with ``code`` and ``reason``.
+
+    One whose base is certain is compared with it, one without a base is new. Where several bases are possible, all of them must agree, else it is G102.
+    """
+    old = eb.select(F.col("path").alias("base_path"), F.col("ix").alias("base_ix"), F.col("cc").alias("bcc"), F.col("sloc").alias("bsloc"))
+    both = ec.join(pairs, ["path", "ix"], "left").join(old, ["base_path", "base_ix"], "left")
+    keys = ["path", "ix", "name", "fp"]
+    cands, bases = matching.set_members(eb.select(keys), ec.select(keys), one, two, renames_)
+    sizes = ["path", "ix", "cc", "sloc"]
+    rows = cands.join(ec.select(sizes), ["path", "ix"])
+    sets = policy.open_set_verdicts(rows, bases.join(eb.select(sizes), ["path", "ix"]), ["tier", "file", "name"])
+    sets = sets.groupBy("path", "ix").agg(F.when(F.count_distinct("verdict") == 1, F.min("verdict")).otherwise("G102").alias("_set"))
+    args = [F.col(x) for x in ("cc", "sloc", "bcc", "bsloc")]
+    plain, why = policy.verdict(*args), policy.reason(*args)
+    reason = F.when(F.col("_set").isNull() | (F.col("_set") == plain), why).when(F.col("_set") == "G102", "match_ambiguity").otherwise("complexity_growth")
+    return both.join(sets, ["path", "ix"], "left").withColumns({"code": F.coalesce("_set", plain), "reason": reason}).where("code <> 'pass'")
+
+
 def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, str] | None = None) -> DataFrame:
-    """Diagnostics (code, path, line, name, reason, severity) of candidate ``files(path, content)`` against base ones.
+    """Diagnostics (phase, code, path, line, name, reason, severity) of candidate ``files(path, content)`` against base ones. Built-in exclusions are masked on both sides.
 
-    E101 and E102 for callables above the complexity limit that are new or grew, V101 for findings that no base finding accounts for, V102 for duplicates in changed files that gained lines,
-    S101 for suppressions that the base does not have, S102 for directives that suppress nothing or are not well formed. ``keyword`` begins a directive.
+    E101 and E102 for callables above the complexity limit that are new or grew, G102 where the bases that a callable may have disagree; V101 for findings that have no partner in the base (by rule, enclosing callable or file, and syntax),
+    V102 for duplicates in changed files that gained lines and are no moves, S101 for suppressions that the base does not have, S102 for directives that suppress nothing or are not well formed. ``keyword`` begins a directive.
     A101 for changed files whose brackets don't balance, unless every line maps from such a base file; A102 for files of a known language that can't be read (content null, over the
-    ceiling or not UTF-8): changed ones, and with V102 on also unchanged ones. Without content a file on both sides counts as unchanged.
+    ceiling or not UTF-8): changed ones, and with V102 on also unchanged ones. Without content a file on both sides counts as unchanged. Renamed files may have changed by half.
     """
-    severity = {"E101": "deny", "E102": "deny", "V101": "deny", "V102": "deny", "S101": "deny", "S102": "warn", "A101": "deny", "A102": "deny"} | (severity or {})
+    severity = SEVERITY | (severity or {})
+    base, cand = ignore.masked(base), ignore.masked(cand)
     kept = lambda files: trees.texts(files.select("path", "content")).where(F.col("language").isNotNull() & F.col("text").isNotNull()).withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
     b, c = kept(base), kept(cand)
     diff = cut(matching.tree_diff(b, c))
-    renames = cut(matching.exact_renames(diff))
+    of = lambda side, status: side.join(diff.where(F.col("status") == status).select("path"), "path", "left_semi").select("path", "oid", "text")
+    renamed_files = cut(renames.renames(of(b, "deleted"), of(c, "added")).select("from_path", "path"))
+    gone = diff.where("status = 'deleted'").select("path").join(renamed_files.select(F.col("from_path").alias("path")), "path", "left_anti")
     changed = diff.where("status <> 'deleted'").select("path")
     lb, lc = (cut(lowering.lower(x)) for x in (b, c))
-    entity = lambda x: x.select("path", F.explode("callables").alias("c")).select("path", F.col("c.start_line").alias("ix"), "c.name", "c.fp", "c.cc", "c.sloc", "c.start_line")
+    entity = lambda x: cut(x.select("path", F.posexplode("callables").alias("ix", "c")).select("path", F.col("ix").cast("long").alias("ix"), "c.name", "c.fp", "c.cc", "c.sloc", "c.start_line"))
     eb, ec = entity(lb), entity(lc)
     keys = ["path", "ix", "name", "fp"]
     one = cut(matching.same_file(eb.select(keys), ec.select(keys)))
-    two = cut(matching.through_renames(eb.select(keys), ec.select(keys), one, renames))
-    both = cut(matching.displaced(eb.select(keys), ec.select(keys), one, two, renames))
+    two = cut(matching.through_renames(eb.select(keys), ec.select(keys), one, renamed_files))
+    both = cut(matching.displaced(eb.select(keys), ec.select(keys), one, two, renamed_files))
     three, _ = matching.by_fingerprint(eb.select(keys), ec.select(keys), both)
-    pairs = both.select("base_path", "base_ix", "path", "ix").unionByName(three)
-    old = eb.select(F.col("path").alias("base_path"), F.col("ix").alias("base_ix"), F.col("cc").alias("bcc"), F.col("sloc").alias("bsloc"))
-    both = ec.join(pairs, ["path", "ix"], "left").join(old, ["base_path", "base_ix"], "left").join(changed, "path", "left_semi")
-    sizes = [F.col(x) for x in ("cc", "sloc", "bcc", "bsloc")]
-    graded = both.withColumns({"code": policy.verdict(*sizes), "reason": policy.reason(*sizes)}).where("code <> 'pass'")
+    pairs = cut(both.select("base_path", "base_ix", "path", "ix").unionByName(three))
+    graded = _graded(eb, ec, one, two, pairs, renamed_files).join(changed, "path", "left_semi")
     out = [graded.select("code", "path", F.col("start_line").alias("line"), "name", "reason")]
 
     moved = F.coalesce("to", "path").alias("path")
-    renamed = renames.select("from_path", F.col("path").alias("to"))
+    renamed = renamed_files.select("from_path", F.col("path").alias("to"))
     of_cand = lambda x: x.join(renamed, F.col("path") == F.col("from_path"), "left").select(moved, *[k for k in x.columns if k != "path"])
     texts = of_cand(b.select("path", F.col("text").alias("base_text"))).join(c.select("path", "text"), "path").where("base_text <> text")
     mapped = cut(lines.line_map(texts))
-    finding = lambda x: x.select("path", F.explode("findings").alias("f")).select("path", "f.rule", F.col("f.start_line").alias("line"))
+    finding = lambda x: x.select("path", F.posexplode("findings").alias("ix", "f")).select("path", F.col("ix").cast("long").alias("ix"), "f.rule", "f.digest", "f.owner", F.col("f.start_line").alias("line"))
     same = of_cand(b.select("path", "text")).join(c.select("path", "text"), ["path", "text"], "left_semi").select("path")
-    fb, fc = of_cand(finding(lb)), finding(lc).join(same, "path", "left_anti")
-    kept_findings = cut(lines.matched_by_line(fb, fc, mapped, ["rule"]))
-    fresh = fc.join(kept_findings.select("path", "rule", "line"), ["path", "rule", "line"], "left_anti")
-    gone = fb.join(kept_findings.select("path", "rule", F.col("base_line").alias("line")), ["path", "rule", "line"], "left_anti")
-    new = cut(policy.unmatched(gone.withColumn("ix", F.col("line")), fresh.withColumn("ix", F.col("line")), ["path", "rule"]).drop("ix"))
+    back = same.join(renamed, F.col("path") == F.col("to"), "left").select(F.coalesce("from_path", "path").alias("path"))
+    rows_b, rows_c = cut(finding(lb).join(back, "path", "left_anti")), cut(finding(lc).join(same, "path", "left_anti"))
+    found_pairs, new = findings.match(rows_b, rows_c, pairs, renamed_files, mapped)
+    at = lambda x, p, i, line: x.select(F.col("path").alias(p), F.col("ix").alias(i), F.col("line").alias(line))
+    lined = found_pairs.join(at(rows_b, "base_path", "base_ix", "base_line"), ["base_path", "base_ix"]).join(rows_c.select("path", "ix", "rule", "line"), ["path", "ix"])
+    kept_findings = cut(lined.select("path", "rule", "base_line", "line").distinct())
+    fb, fc = of_cand(rows_b.select("path", "rule", "line")), rows_c.select("path", "rule", "line")
 
     db, dc = of_cand(lowering.suppressions(b, keyword)), cut(lowering.suppressions(c, keyword))
     hit_b, _ = policy.suppress(fb, db.where("rule is not null"))
@@ -127,9 +177,13 @@ def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, st
     problems = problems.join(known, ["path", "line"], "left_anti").join(same, "path", "left_anti")
     out.append(problems.select(F.lit("S102").alias("code"), "path", "line", F.lit("").alias("name"), "reason"))
 
-    runs_b, runs_c = of_cand(duplicates(lb)), duplicates(lc)
-    subjects = lines.clone_subjects(runs_c.select("path", "key", "start", "end", "lines"), mapped)
-    fires = lines.extension_grades(subjects, runs_b.select("path", "start", "end", "lines"), mapped).where("fires")
+    members_b, runs_c = cut(duplicates(lb)), cut(duplicates(lc))
+    runs_b = of_cand(members_b)
+    subjects = lines.clone_subjects(runs_c.select("path", "key", "start", "end", "lines"), mapped.unionByName(_added_lines(c, changed.join(same, "path", "left_anti"), mapped)))
+    graded_runs = cut(lines.extension_grades(subjects, runs_b.select("path", "start", "end", "lines"), mapped).where("fires"))
+    fresh = runs_c.join(graded_runs.where("effective is null").select("path", "key", "start"), ["path", "key", "start"], "left_semi")
+    no_growth = _moved(members_b, fresh, of_base(mapped, renamed), gone, lb, lc)
+    fires = graded_runs.join(no_growth, ["path", "key", "start"], "left_anti")
     out.append(fires.select(F.lit("V102").alias("code"), "path", F.col("start").alias("line"), F.col("key").alias("name"), F.lit("clone_growth").alias("reason")))
     whole = lambda texts, lowered: texts.join(lowered.where("failed").select("path"), "path", "left_semi").select("path", F.lit(1).cast("long").alias("start"), X.line_count(F.col("text")).alias("end"))
     broken = whole(c, lc).join(changed, "path", "left_semi").join(same, "path", "left_anti")
@@ -144,12 +198,24 @@ def check(base: DataFrame, cand: DataFrame, keyword: str, severity: dict[str, st
     every = out[0]
     for rows in out[1:]:
         every = every.unionByName(rows)
-    levels = F.create_map(*[F.lit(x) for pair in severity.items() for x in pair])
-    return every.withColumn("severity", levels[F.col("code")]).where("severity <> 'off'")
+    of_code = lambda table: F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("code")]
+    every = every.select(of_code(PHASES).alias("phase"), "*", of_code(severity).alias("severity"))
+    return every.where("severity <> 'off'")
+
+
+def of_base(mapped: DataFrame, renamed: DataFrame) -> DataFrame:
+    """A line map under the base's paths."""
+    return mapped.join(renamed, F.col("path") == F.col("to"), "left").select(F.coalesce("from_path", "path").alias("path"), "base_line", "line")
+
+
+def _added_lines(c: DataFrame, changed: DataFrame, mapped: DataFrame) -> DataFrame:
+    """All lines of changed files that have no line map, those that are new, as added."""
+    new = c.join(changed, "path", "left_semi").join(mapped.select("path").distinct(), "path", "left_anti").where(X.line_count(F.col("text")) > 0)
+    return new.select("path", F.lit(None).cast("long").alias("base_line"), F.explode(F.sequence(F.lit(1).cast("long"), X.line_count(F.col("text")))).alias("line"))
 
 
 #: The order of diagnostics of a check.
-ORDER = ["path", "line", "code", "name"]
+ORDER = ["phase", "path", "line", "code", "name"]
 
 
 def describe(diagnostics: DataFrame) -> DataFrame:

@@ -54,6 +54,8 @@ CLASSES = {
     "punct": "!-/:-@\\[-`{-~", "space": " \\t\\n\\f\\r", "upper": "A-Z", "xdigit": "0-9A-Fa-f",
 }
 NEVER = "(?!)"
+#: Tail of a glob's expression, for what lies below a match.
+BELOW = "(?:/.*)?$"
 
 
 def _bracket(glob: str, at: int) -> tuple[str, int] | None:
@@ -115,7 +117,7 @@ def glob_regex(glob: str) -> str:
         else:
             out += re.escape(c)
         i += 1
-    return f"^{out}(?:/.*)?$"
+    return f"^{out}{BELOW}"
 
 
 def matches(path: Column, globs: list[str]) -> Column:

@@ -45,6 +45,7 @@ class Token:
     text: str
     line: int
     last: int
+    commented: bool = False
 
 
 @dataclass
@@ -56,23 +57,52 @@ class Callable_:
 
 
 def tokens(source: str, family: str) -> list[Token]:
-    """Tokens without comments, with their first and last line."""
+    """Tokens without comments, with their first and last line and whether a comment stands before them."""
     lines = [m.start() for m in re.finditer("\n", source)]
     out: list[Token] = []
-    at, scan = 0, SCANNERS[family]
+    at, scan, commented = 0, SCANNERS[family], False
     while m := scan.search(source, at):
         kind, text = m.lastgroup if m.lastgroup != "h" else "text", m[0]
         if family == "js_ts" and text == "/" and _starts_operand(out) and (r := _REGEX.match(source, m.start())):
             kind, text = "text", r[0]
         begin = m.start()
+        if family == "js_ts" and text[0] == "`" and (end := _template_end(source, begin)):
+            kind, text = "text", source[begin:end]
         at = begin + len(text)
         if kind == "word" and text in KEYWORDS[family] and not (out and out[-1].text == "." ):
             kind = "key"
         if kind != "comment":
-            out.append(Token(kind, text, bisect_right(lines, begin - 1) + 1, bisect_right(lines, at - 1) + 1))
+            out.append(Token(kind, text, bisect_right(lines, begin - 1) + 1, bisect_right(lines, at - 1) + 1, commented))
+        commented = kind == "comment"
     return out
 
 
+def _template_end(source: str, start: int) -> int:
+    """Place behind the template literal that begins at ``start``, whose expressions may hold strings, braces and templates; 0 if it doesn't end."""
+    inside, i = ["`"], start + 1  # what the closing characters ahead belong to: a template, or an expression's or block's brace
+    while i < len(source):
+        c = source[i]
+        if inside[-1] == "`":
+            if c == "\\":
+                i += 1
+            elif c == "`":
+                inside.pop()
+                if not inside:
+                    return i + 1
+            elif source.startswith("${", i):
+                inside.append("{")
+                i += 1
+        elif c in "`{":
+            inside.append(c)
+        elif c == "}":
+            inside.pop()
+        elif c in "\"'":
+            quoted = re.compile(c + r"(?:\\.|[^\\\n" + c + "])*" + c).match(source, i)
+            i = quoted.end() - 1 if quoted else i
+        i += 1
+    return 0
+
+
 def _starts_operand(before: list[Token]) -> bool:
     """Whether an operand, not an operator, follows."""
     if not before:
@@ -321,7 +351,8 @@ def measure(source: str, family: str) -> tuple[list[tuple[str, int, int, int, in
     return [(c.name, ts[c.start].line, ts[c.last].last, cc[n], len(rows[n])) for n, c in enumerate(found)], len(lines), False
 
 
-TERMINATORS = {"return", "throw", "break", "continue"}
+#: Behind these nothing is reached; an ``else`` is redundant behind the first two.
+TERMINATORS, LEAVES = {"return", "throw", "break"}, {"return", "throw"}
 #: Rules by family; Rust has none.
 RULES = {
     "java": {"unreachable": "JAVA-UNREACHABLE-AFTER-RETURN", "catch": "JAVA-EMPTY-CATCH", "else": "JAVA-REDUNDANT-ELSE-AFTER-RETURN"},
@@ -352,8 +383,30 @@ def blocks(ts: list[Token], pair: dict[int, int]) -> dict[int, list[tuple[int, i
     return out
 
 
+def _statement_last(ts: list[Token], pair: dict[int, int], i: int) -> int:
+    """Last token of the statement that starts at ``i``."""
+    while i < len(ts):
+        t = ts[i]
+        if t.text == "{" and t.kind == "op":
+            return pair[i]
+        if t.kind == "key" and t.text in ("if", "for", "while") and i + 1 < len(ts) and ts[i + 1].text == "(":
+            last = pair[i + 1]
+            if t.text != "if":
+                i = last + 1
+                continue
+            last = _statement_last(ts, pair, last + 1)
+            if last + 1 < len(ts) and ts[last + 1].text == "else":
+                i = last + 2
+                continue
+            return last
+        while i < len(ts) and ts[i].text != ";" and not (ts[i].kind == "op" and ts[i].text in CLOSE) and ts[i].text != "else":
+            i = pair[i] + 1 if ts[i].text in OPEN and ts[i].kind == "op" else i + 1
+        return i if i < len(ts) and ts[i].text == ";" else i - 1
+    return len(ts) - 1
+
+
 def findings(ts: list[Token], pair: dict[int, int], family: str, of_block: dict[int, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """(rule, first token, last token) of statements after a terminator, empty catch blocks, and else branches behind a return."""
+    """(rule, first token, last token) of statements after a terminator, catch blocks without statement and comment, and else branches behind one that leaves."""
     rules, out = RULES.get(family), []
     if not rules:
         return out
@@ -371,13 +424,14 @@ def findings(ts: list[Token], pair: dict[int, int], family: str, of_block: dict[
         j = i + 1
         if j < len(ts) and ts[j].text == "(":
             j = pair[j] + 1
-        if t.text == "catch" and j < len(ts) and ts[j].text == "{" and pair[j] == j + 1:
+        if t.text == "catch" and j < len(ts) and ts[j].text == "{" and pair[j] == j + 1 and not ts[j + 1].commented:
             out.append((rules["catch"], i, pair[j]))
-        elif t.text == "if" and j < len(ts) and ts[j].text == "{":
-            end = pair[j] + 1
-            if end + 1 < len(ts) and ts[end].text == "else" and of_block.get(j) and ts[of_block[j][-1][0]].text == "return":
-                last = pair[end + 1] if ts[end + 1].text == "{" else _expression_end(ts, pair, end + 1)
-                out.append((rules["else"], end, last))
+        elif t.text == "if" and i + 1 < j < len(ts):
+            block = ts[j].text == "{"
+            leaves = ts[of_block[j][-1][0]].text in LEAVES if block and of_block.get(j) else not block and ts[j].text in LEAVES
+            end = _statement_last(ts, pair, j) + 1
+            if leaves and end + 1 < len(ts) and ts[end].text == "else":
+                out.append((rules["else"], end + 1, _statement_last(ts, pair, end + 1)))
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
@@ -412,19 +466,21 @@ def analyse(source: str, family: str) -> dict:
     pair = brackets(ts)
     if pair is None:
         return out
-    digest = lambda c: hashlib.sha256("\x01".join(t.text for t in ts[c.first : c.last + 1]).encode()).hexdigest()
-    out["callables"] = [dict(zip(("name", "start_line", "end_line", "cc", "sloc", "fp"), (*r, digest(c)))) for r, c in zip(rows, callables(ts, pair, family))]
+    digest = lambda a, b: hashlib.sha256("\x01".join(t.text for t in ts[a : b + 1]).encode()).hexdigest()
+    calls = callables(ts, pair, family)
+    out["callables"] = [dict(zip(("name", "start_line", "end_line", "cc", "sloc", "fp"), (*r, digest(c.first, c.last)))) for r, c in zip(rows, calls)]
+    owner = lambda a, b: max((n for n, c in enumerate(calls) if c.start <= a and b <= c.last), default=None)
     found = blocks(ts, pair)
     for i, parts in found.items():
         for a, b in parts if len(parts) > 1 else ():
             out["statements"].append({"block": i, "line": ts[a].line, "last": ts[b].last, "token": " ".join(t.text for t in ts[a : b + 1])})
-    out["findings"] = [{"rule": r, "start_line": ts[a].line, "end_line": ts[b].last, "lines": lines(a, b)} for r, a, b in findings(ts, pair, family, found)]
+    out["findings"] = [{"rule": r, "start_line": ts[a].line, "end_line": ts[b].last, "lines": lines(a, b), "digest": digest(a, b), "owner": owner(a, b)} for r, a, b in findings(ts, pair, family, found)]
     return out
 
 
 SCHEMA = (
     "path string, language string, failed boolean, scanned_lines long, exec_lines array<long>, callables array<struct<name:string,start_line:long,end_line:long,cc:long,sloc:long,fp:string>>, "
-    "statements array<struct<block:long,line:long,last:long,token:string>>, findings array<struct<rule:string,start_line:long,end_line:long,lines:array<long>>>"
+    "statements array<struct<block:long,line:long,last:long,token:string>>, findings array<struct<rule:string,start_line:long,end_line:long,lines:array<long>,digest:string,owner:long>>"
 )
 
 

@@ -3,7 +3,7 @@
 import pytest
 from oracle import assert_same
 
-from codequarry.plans.registry import QUERIES, SQL
+from codequarry.plans.change_queries import QUERIES, SQL
 
 
 #: Queries over line maps, which SQL can't make; test_scan.py holds their operators against plain versions.

@@ -4,13 +4,15 @@ import json
 import random
 import subprocess
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from codequarry.functions import text as X
 from codequarry.operators import lines
 from codequarry.plans import scan as S
-from codequarry.sources import discovery, lowering, trees
+from codequarry.sources import cache, discovery, lowering, trees
 
 BODY = "\n".join(f"    x{i} = call{i}(x{i}, {i});" for i in range(12))
 JAVA = "class A {\n  int f(int a) {\n    try { g(); } catch (E e) { }\n    if (a > 0) {\n      return 1;\n    } else {\n      a = 2;\n    }\n    return a;\n    a = 3;\n  }\n  void g() {\n" + BODY + "\n  }\n}\n"
@@ -164,3 +166,27 @@ def test_text_functions(spark):
     assert show(X.scrubbed(F.lit("at /a/b/c and /a"), ["/a", "/a/b"])) == "at <path>/c and <path>"
     assert show(lines.contained(F.array(F.lit("b"), F.lit("c")), F.array(F.lit("a"), F.lit("b"), F.lit("c")))) and not show(lines.contained(F.array(F.lit("a"), F.lit("c")), F.array(F.lit("a"), F.lit("b"), F.lit("c"))))
     assert S.canonical_json({"b": -0.0, "a": "\x7f‮"}) == '{"a":"\\u007f\\u202e","b":0.0}\n'
+
+
+def test_scan_with_a_store(spark, tmp_path, monkeypatch):
+    tree = files(spark, {"A.java": JAVA, "copy/A.java": JAVA, "web/deep.js": DEEP})
+    store = "file://" + str(tmp_path / "store")
+    rows = lambda found: sorted(map(str, found.lowered.collect()))
+    plain = rows(S.scan(tree))
+    assert rows(S.scan(tree, store=store)) == plain
+    keyed = trees.texts(tree).withColumn("oid", F.sha2(F.col("text").cast("binary"), 256))
+    assert cache.stored(spark, store, cache.profile()).count() == 2 and cache.misses(keyed, store, cache.profile()).count() == 0
+    assert cache.misses(keyed, store, cache.profile(other=1)).count() == 2
+    monkeypatch.setattr(lowering, "lower", None)  # a second scan lowers nothing
+    assert rows(S.scan(tree, store=store)) == plain
+    monkeypatch.undo()
+    folder = tmp_path / "store" / f"profile={cache.profile()}"
+    for part in folder.glob("*.parquet"):  # a changed value is damage, and the content a miss
+        t = pq.read_table(part)
+        n = t.column_names.index("scanned_lines")
+        pq.write_table(t.set_column(n, "scanned_lines", pa.array([x + 1 for x in t["scanned_lines"].to_pylist()], pa.int64())), part)
+        for crc in folder.glob(f".{part.name}.crc"):
+            crc.unlink()
+    assert cache.stored(spark, store, cache.profile()).count() == 0 and cache.misses(keyed, store, cache.profile()).count() == 2
+    assert rows(S.scan(tree, store=store)) == plain and cache.misses(keyed, store, cache.profile()).count() == 0
+    assert cache.profile(a=1, b=2) == cache.profile(b=2, a=1) != cache.profile(a=1)
