@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import spans
+
 SEP = "\x01"
 
 
@@ -69,14 +71,14 @@ def maximal(members: DataFrame) -> DataFrame:
 
     Group a falls away exactly if some b of more statements holds each member of a within one of its own in the same file. Containment is
     transitive and length strict, so greedy passes are not needed, and dropped groups need not be asked again. A first pass by equi-join
-    drops what a group of one more statement contains, which is nearly all, also in periodic texts; an interval join finds the rest.
+    drops what a group of one more statement contains, which is nearly all, also in periodic texts; an interval join by cells finds the rest.
     """
     wide = members.select(F.col("key").alias("kb"), "path", (F.col("n") - 1).alias("n"), F.col("first").alias("at"))
     near = members.select(F.col("key").alias("ka"), F.col("members").alias("ma"), "path", "n", "first", F.explode(F.array(F.col("first"), F.col("first") - 1)).alias("at"))
     left = members.join(_held(near.join(wide, ["path", "n", "at"]).select("ka", "ma", "kb", "path", "first")), "key", "left_anti")
-    a = left.select(F.col("key").alias("ka"), "path", "first", F.col("start").alias("sa"), F.col("end").alias("ea"), F.col("n").alias("na"), F.col("members").alias("ma"))
-    b = left.select(F.col("key").alias("kb"), "path", F.col("start").alias("sb"), F.col("end").alias("eb"), F.col("n").alias("nb"))
-    inside = a.join(b, "path").where("nb > na and sb <= sa and ea <= eb").select("ka", "ma", "kb", "path", "first")
+    a = left.select(F.col("key").alias("ka"), "path", "first", "start", "end", F.col("n").alias("na"), F.col("members").alias("ma"))
+    b = left.select(F.col("key").alias("kb"), "path", "start", "end", F.col("n").alias("nb"))
+    inside = spans.inside(a, b, ["path"], ["kb", "nb"]).where("nb > na").select("ka", "ma", "kb", "path", "first")
     return left.join(_held(inside), "key", "left_anti")
 
 
@@ -87,11 +89,12 @@ def _held(inside: DataFrame) -> DataFrame:
 
 
 def redundancy(members: DataFrame) -> DataFrame:
-    """One row per group: all lines but those of its first member, by path and start."""
-    first = F.min_by("n", F.struct("path", "start"))
+    """One row per group: all executable lines but those of its first member, by path and start."""
+    lines = F.size("lines").cast("long")
+    first = F.min_by(lines, F.struct("path", "start"))
     place = F.min(F.struct("path", "start"))
     return members.groupBy("key", "language").agg(
-        F.count("*").alias("members"), F.max("n").alias("statements"), (F.sum("n") - first).alias("redundant_lines"), place["path"].alias("path"), place["start"].alias("start")
+        F.count("*").alias("members"), F.max("n").alias("statements"), (F.sum(lines) - first).alias("redundant_lines"), place["path"].alias("path"), place["start"].alias("start")
     )
 
 

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Edits up to which a stretch between common lines is aligned; a longer one counts as replaced.
-EDITS = 2000
+#: Bits of rows that an alignment keeps at once; beyond them it is split in two.
+KEPT = 1 << 28
 
 
 def split_lines(text: str) -> list[str]:
@@ -19,7 +20,7 @@ def split_lines(text: str) -> list[str]:
 
 
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs (i, j), ascending, of a longest common subsequence of lines, unless more than EDITS edits part the two."""
+    """Pairs (i, j), ascending, of a longest common subsequence of lines."""
     lo = 0
     while lo < min(len(a), len(b)) and a[lo] == b[lo]:
         lo += 1
@@ -27,39 +28,49 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     while hi < min(len(a), len(b)) - lo and a[-1 - hi] == b[-1 - hi]:
         hi += 1
     ends = [(len(a) - k, len(b) - k) for k in range(hi, 0, -1)]
-    return [(k, k) for k in range(lo)] + [(i + lo, j + lo) for i, j in _shortest(a[lo : len(a) - hi], b[lo : len(b) - hi])] + ends
-
-
-def _shortest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """The common lines on a shortest path of deletions and additions, by furthest reaching points of each diagonal."""
-    n, m = len(a), len(b)
-    if not n or not m or not set(a) & set(b):
+    x, y = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    both = set(x) & set(y)  # other lines are in no common subsequence
+    rows, columns = ([i for i, line in enumerate(side) if line in both] for side in (x, y))
+    inner = _common([x[i] for i in rows], [y[j] for j in columns])
+    return [(k, k) for k in range(lo)] + [(rows[i] + lo, columns[j] + lo) for i, j in inner] + ends
+
+
+def _rows(a: list[str], b: list[str]):
+    """For every line of ``a``, an integer whose bit j is 0 where the longest common subsequence with b[:j + 1] is longer than that with b[:j]; a row is one addition of long integers."""
+    masks: dict[str, int] = {}
+    for j, line in enumerate(b):
+        masks[line] = masks.get(line, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for line in a:
+        u = v & masks.get(line, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence. Where its rows would take too much memory, ``a`` is halved and ``b`` cut where the halves together have most in common."""
+    if not a or not b:
         return []
-    reach, history = {1: 0}, []
-    for d in range(min(n + m, EDITS) + 1):
-        history.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or k != d and reach[k - 1] < reach[k + 1]
-            x = reach[k + 1] if down else reach[k - 1] + 1
-            while x < n and x - k < m and a[x] == b[x - k]:
-                x += 1
-            reach[k] = x
-            if x >= n and x - k >= m:
-                return _walk(history, n, m)
-    return []
-
-
-def _walk(history: list[dict[int, int]], x: int, y: int) -> list[tuple[int, int]]:
-    out = []
-    for d in range(len(history) - 1, -1, -1):
-        reach, k = history[d], x - y
-        before = k + 1 if k == -d or k != d and reach[k - 1] < reach[k + 1] else k - 1
-        px = reach[before] if d else 0
-        py = px - before if d else 0
-        while x > px and y > py and (d == 0 or x > (px if before == k + 1 else px + 1)):
-            x, y = x - 1, y - 1
-            out.append((x, y))
-        x, y = px, py
+    if len(a) * len(b) > KEPT and len(a) > 1:
+        middle = len(a) // 2
+        steps = lambda v: f"{v:0{len(b)}b}"[::-1].translate({48: "1", 49: "0"})
+        ahead, behind = (deque(_rows(x, y), 1)[0] for x, y in ((a[:middle], b), (a[middle:][::-1], b[::-1])))
+        up, down = [0], [0]
+        for total, v in ((up, ahead), (down, behind)):
+            for c in steps(v):
+                total.append(total[-1] + (c == "1"))
+        cut = max(range(len(b) + 1), key=lambda j: up[j] + down[len(b) - j])
+        return _common(a[:middle], b[:cut]) + [(i + middle, j + cut) for i, j in _common(a[middle:], b[cut:])]
+    rows, out, i, j = list(_rows(a, b)), [], len(a), len(b)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            out.append((i, j))
     return out[::-1]
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import stabbed, within
+
 
 def unreachable(children: DataFrame, container: list[str], terminators: list[str], hoisted: list[str]) -> DataFrame:
     """One finding per container: later siblings of its first terminator that are not hoisted, with first, last and count."""
@@ -28,19 +30,13 @@ def redundant_alternative(children: DataFrame, container: list[str], terminators
 
 def innermost(points: DataFrame, spans: DataFrame, key: list[str], point: str, at: str) -> DataFrame:
     """For each point the innermost span ``[start, end]`` of its key that holds it: latest start, then earliest end."""
-    inside = points.join(spans, key).where((F.col("start") <= F.col(at)) & (F.col(at) <= F.col("end")))
-    best = F.max_by(F.struct("start", "end"), F.struct(F.col("start"), -F.col("end")))
-    return inside.groupBy(point).agg(best.alias("s")).select(point, "s.start", "s.end")
+    best = stabbed(points, spans, key, at, F.struct("start", (-F.col("end")).alias("end")), F.max, "s").where("s is not null")
+    return best.select(point, F.col("s.start").alias("start"), (-F.col("s.end")).alias("end"))
 
 
 def excluded(spans: DataFrame, dirty: DataFrame, key: list[str]) -> DataFrame:
     """Spans that lie inside no dirty span of their key. Nesting is laminar, so containment decides the whole cascade."""
-    a, b = spans.alias("a"), dirty.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in key]
-    cond = (F.col("b.start") <= F.col("a.start")) & (F.col("a.end") <= F.col("b.end"))
-    for c in same:
-        cond &= c
-    return a.join(b, cond, "left_anti")
+    return within(spans, dirty, key).where("not held").select(*spans.columns)
 
 
 def islands(spans: DataFrame, key: list[str]) -> DataFrame:

@@ -114,12 +114,20 @@ def common(a, b):
     return t[-1][-1]
 
 
-def test_line_map_is_longest(spark):
+def test_line_map_is_longest(spark, monkeypatch):
     rng = random.Random(1)
     for _ in range(400):
         a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 14))] for _ in range(2))
         p = lines.align(a, b)
         assert all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:])) and len(p) == common(a, b)
+    many = [f"line {i}" for i in range(6000)]
+    changed = [x if i % 2 else f"other {i}" for i, x in enumerate(many)]
+    assert lines.align(many, changed) == [(i, i) for i in range(1, 6000, 2)]
+    monkeypatch.setattr(lines, "KEPT", 30)  # split again and again
+    for _ in range(200):
+        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 30))] for _ in range(2))
+        p = lines.align(a, b)
+        assert all(a[i] == b[j] for i, j in p) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:])) and len(p) == common(a, b)
     rows = spark.createDataFrame([("p", "a\nb\nc\n", "a\nx\nc"), ("q", None, "n"), ("r", "same\n", "same\n")], "path string, base_text string, text string")
     assert {(r.path, r.base_line, r.line) for r in lines.line_map(rows).collect()} == {("p", 1, 1), ("p", 2, None), ("p", 3, 3), ("p", None, 2), ("q", None, 1), ("r", 1, 1)}
     runs = spark.createDataFrame([("p", [2]), ("p", [1, 2])], "path string, lines array<long>")
