@@ -28,8 +28,9 @@ def erosion(callables: DataFrame, families: list[str]) -> DataFrame:
 
 
 def top_callables(callables: DataFrame, k: int = 25) -> DataFrame:
-    """The k callables of highest cc; ties by path. A bounded sort, no shuffle of all rows."""
-    return with_mass(callables).orderBy(F.desc("cc"), "path").limit(k)
+    """The k callables of highest cc; ties by path, then start line if there is one. A bounded sort, no shuffle of all rows."""
+    ties = [c for c in ("path", "start_line") if c in callables.columns]
+    return with_mass(callables).orderBy(F.desc("cc"), *ties).limit(k)
 
 
 def capped_listing(rows: DataFrame, group: str, order: list, cap: int) -> DataFrame:
@@ -66,3 +67,35 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
     before = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     k = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return at.withColumn("_k", k).join(F.broadcast(before), "_part").withColumn("place", (F.col("_before") + F.col("_k")).cast("long")).drop("_part", "_k", "_before")
+
+
+def summaries(callables: DataFrame, scanned: DataFrame, flagged: DataFrame, changed: DataFrame, families: list[str]) -> DataFrame:
+    """(scope, family, erosion, flagged_lines, scanned_lines, ratio, complete) of a candidate: over its ``changed(path)`` files, and over all (scope ``full``).
+
+    ``callables(path, language, cc, sloc)``, ``scanned(path, language, lines, failed)`` and distinct ``flagged(language, path, line)`` are those of the whole candidate.
+    """
+    made = None
+    for scope in ("changed", "full"):
+        of = lambda x: x.join(changed.select("path").distinct(), "path", "left_semi") if scope == "changed" else x  # noqa: B023, E731
+        one = erosion(of(callables), families).join(verbosity(of(scanned), of(flagged), families), "family").select(F.lit(scope).alias("scope"), "*")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
+def file_coverage(changed: DataFrame, analyzed: DataFrame, gaps: DataFrame) -> DataFrame:
+    """(path, analyzed, unanalyzed_lines, complete, gaps) of ``changed(path)`` files.
+
+    ``analyzed(path, lines, failed)`` are the files that could be read, with their executable lines, ``gaps(path, start, end)`` their damage: merged here where spans overlap or touch line by line. A file's unanalysed lines are those in gaps, or
+    all of them if it failed; it is complete if it was analysed and has none of either.
+    """
+    each = gaps.where("start <= end").distinct()
+    w = Window.partitionBy("path").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = each.withColumn("_new", F.when(before.isNull() | (F.col("start") > before + 1), 1).otherwise(0)).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = marked.groupBy("path", "_g").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    lists = islands.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gaps"), F.sum(F.col("end") - F.col("start") + 1).alias("_in"))  # of one file
+    rows = changed.select("path").distinct().join(analyzed.select("path", "lines", "failed"), "path", "left").join(lists, "path", "left")
+    known = F.col("failed").isNotNull()
+    lost = F.when(~known, None).when(F.col("failed"), F.col("lines")).otherwise(F.coalesce("_in", F.lit(0))).cast("long")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
+    return rows.select("path", known.alias("analyzed"), lost.alias("unanalyzed_lines"), F.coalesce(known & ~F.col("failed") & F.col("gaps").isNull(), F.lit(False)).alias("complete"), F.coalesce(F.col("gaps").cast("array<struct<start:bigint,end:bigint>>"), empty).alias("gaps"))

@@ -71,6 +71,14 @@ def suppress(findings: DataFrame, directives: DataFrame) -> tuple[DataFrame, Dat
     return hit, unused
 
 
+def suppression_report(findings: DataFrame, directives: DataFrame) -> DataFrame:
+    """(path, line, rule, state) of one snapshot: its findings as ``reported`` or ``suppressed``, and its directives that are ``unused`` or, without a rule, ``invalid``."""
+    hit, unused = suppress(findings, directives.where("rule is not null"))
+    rows = lambda x, state: x.select("path", "line", "rule", F.lit(state).alias("state"))
+    left = findings.join(hit.select("path", "rule", "line").distinct(), ["path", "rule", "line"], "left_anti")
+    return rows(left, "reported").unionByName(rows(hit, "suppressed")).unionByName(rows(unused, "unused")).unionByName(rows(directives.where("rule is null"), "invalid"))
+
+
 def coverage_reason(size: Column, utf8_path: Column, extension: Column, supported: list[str], ceiling: int = CEILING) -> Column:
     """Why a file can't be analysed, or null: size first, then path, then extension."""
     return F.when(size > ceiling, "too_large").when(~utf8_path, "non_utf8_path").when(~extension.isin(supported), "unsupported_extension")

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import findings, matching, owners, renames, spans
+from ..operators import findings, matching, metrics, owners, policy, renames, spans
 from ..sources import cache, discovery, ignore
 from . import adapters as A
-from .registry import DIFF, IDS, PATHS, QUERIES, REN, SEQ, SQL, _identities, _renames, _sides, query
+from .registry import DIFF, EROSION, FAMILIES, FIND, IDS, LANGS, PATHS, QUERIES, REN, SEQ, SQL, SUP, _findings, _identities, _renames, _sides, query
 from .scratch import cut
 
 __all__ = ["QUERIES", "SQL"]
@@ -300,3 +300,51 @@ def load_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, cand = _sides(spark, sf_dir)
     diff = cut(matching.tree_diff(base, cand))
     return cache.load_plan(base, cand, diff, matching.exact_renames(diff), base.where("path not like 'src2/%'"))
+
+
+# summaries of a check
+
+CHANGED = FIND + (
+    FAMILIES, A.callables_sql("cand", "cc_"), "ch AS (SELECT c.path FROM cand c LEFT JOIN rn ON rn.path = c.path LEFT JOIN base b ON b.path = coalesce(rn.from_path, c.path) WHERE b.oid IS DISTINCT FROM c.oid)",
+    "c1 AS (SELECT * FROM cc_ WHERE path IN (SELECT path FROM ch))",
+    """sc AS (SELECT 'changed' AS scope, path, language, sloc FROM c1 UNION ALL SELECT 'full', path, language, sloc FROM cc_)""",
+    """fl AS (SELECT 'changed' AS scope, language, path, line FROM cf WHERE path IN (SELECT path FROM ch) UNION ALL SELECT 'full', language, path, line FROM cf)""",
+    f"er AS (SELECT 'changed' AS scope, * FROM ({EROSION.format(fam='fam', calls='c1')}) UNION ALL SELECT 'full', * FROM ({EROSION.format(fam='fam', calls='cc_')}))",
+    "sn AS (SELECT scope, coalesce(language, 'overall') AS family, sum(sloc) AS s FROM sc GROUP BY GROUPING SETS ((scope, language), (scope)))",
+    "fn AS (SELECT scope, coalesce(language, 'overall') AS family, count(*) AS f FROM fl GROUP BY GROUPING SETS ((scope, language), (scope)))",
+)
+
+
+def _changed(spark, sf_dir):
+    base, cand = _sides(spark, sf_dir)
+    return cut(matching.changed_entities(base, cand, _renames(spark, sf_dir)).select("path"))
+
+
+@query("""SELECT scope, family, erosion, coalesce(f, 0)::BIGINT AS flagged_lines, coalesce(s, 0)::BIGINT AS scanned_lines, round(CASE WHEN coalesce(s, 0) = 0 THEN 0.0 ELSE coalesce(f, 0) / s END, 6) AS ratio, true AS complete
+FROM er LEFT JOIN sn USING (scope, family) LEFT JOIN fn USING (scope, family)""", CHANGED)
+def check_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Erosion and verbosity of the candidate, over its changed files and over all."""
+    cand = A.snapshot(spark, sf_dir, "cand").drop("oid")
+    scanned = A.with_lines(cand).select("path", "language", F.size("lines").cast("long").alias("lines"), F.lit(False).alias("failed"))
+    return metrics.summaries(A.callables(cand), scanned, _findings(cand).select("language", "path", "line"), _changed(spark, sf_dir), LANGS)
+
+
+@query("""SELECT ch.path, c.path IS NOT NULL AS analyzed, CASE WHEN c.path IS NULL THEN NULL WHEN c.failed THEN c.sloc ELSE coalesce(g.lost, 0) END::BIGINT AS unanalyzed_lines, c.path IS NOT NULL AND NOT c.failed AND g.path IS NULL AS complete, coalesce(g.spans, '') AS gaps
+FROM ch LEFT JOIN (SELECT path, sloc, ends_with(path, '7.de') AS failed FROM cc_ WHERE language <> 'es') c USING (path) LEFT JOIN (SELECT path, sum(e - s + 1) AS lost, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM
+(SELECT path, min(line) AS s, max(line) AS e FROM (SELECT path, line, line - dense_rank() OVER (PARTITION BY path ORDER BY line) AS g FROM (SELECT DISTINCT path, line FROM cf)) GROUP BY path, g) GROUP BY path) g USING (path)""", CHANGED)
+def changed_file_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each changed file was analysed: Spanish files can't be read, some German ones fail, and repeats stand for damage."""
+    cand = A.snapshot(spark, sf_dir, "cand").drop("oid")
+    read = A.callables(cand).where("language <> 'es'").select("path", F.col("sloc").alias("lines"), F.endswith("path", F.lit("7.de")).alias("failed"))
+    gaps = _findings(cand).select("path", F.col("line").alias("start"), F.col("line").alias("end"))
+    made = metrics.file_coverage(_changed(spark, sf_dir), read, gaps)
+    return made.withColumn("gaps", F.array_join(F.transform("gaps", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ","))
+
+
+@query("""SELECT path, line, rule, CASE WHEN (path, rule, line) IN (SELECT (path, rule, line + 1) FROM dir) THEN 'suppressed' ELSE 'reported' END AS state FROM fnd
+UNION ALL SELECT path, line, rule, 'unused' FROM dir WHERE (path, rule, line) NOT IN (SELECT (path, rule, line - 1) FROM fnd)""", SUP)
+def suppression_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeats of all files as reported or suppressed, and the directives that suppress nothing."""
+    found = A.statements(A.files(spark, sf_dir)).withColumn("prev", F.lag("token").over(Window.partitionBy("path").orderBy("ix"))).where("token = prev").select("path", "line", F.lit("REPEAT").alias("rule"))
+    directives = A.statements(A.files(spark, sf_dir)).where(F.col("token").rlike("^[A-M]")).select("path", "line", F.lit("REPEAT").alias("rule"))
+    return policy.suppression_report(found, directives)

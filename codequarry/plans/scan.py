@@ -262,6 +262,22 @@ def report(found: Scan, cap: int = 1000) -> dict:
     }
 
 
+def check_report(diagnostics: DataFrame, summaries: DataFrame | None = None, coverage: DataFrame | None = None, cap: int = 1000) -> dict:
+    """The check report as plain values: exit status, numbers by code, the first ``cap`` diagnostics in order, summaries by scope and family (``metrics.summaries``), and the first ``cap`` files of ``metrics.file_coverage``."""
+    rows = diagnostics.withColumn("violation", policy.contribution(F.col("code"), F.col("severity")) != 0)
+    counts = _rows(rows.groupBy("code", "severity").agg(F.count("*").alias("n"), F.count_if("violation").alias("violations")).orderBy("code", "severity"))
+    total = sum(r["n"] for r in counts)
+    out = {
+        "schema_version": 1, "result_scope": "check", "exit_status": policy.exit_status(diagnostics).first()[0], "counts": counts,
+        "diagnostics": _rows(rows.orderBy(*ORDER).limit(cap)), "omitted": max(total - cap, 0),
+    }
+    if summaries is not None:
+        out["summaries"] = _rows(summaries.orderBy("scope", "family"))
+    if coverage is not None:
+        out |= {"files": coverage.count(), "changed_files": _rows(coverage.orderBy("path").limit(cap))}
+    return out
+
+
 def canonical_json(document, pretty: bool = False) -> str:
     """Sorted keys, 0.0 for -0.0, control and direction characters as ``\\uXXXX``, one line end. Numbers that are not finite are refused."""
 

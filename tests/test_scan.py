@@ -64,6 +64,8 @@ def test_check_of_two_trees(spark):
     assert {(r.path, r.line, r.reason) for r in got if r.code == "S102"} == {("s.java", 4, "invalid")}
     assert S.check(files(spark, base), files(spark, base), "keep").count() == 0
     rows = spark.createDataFrame(got)
+    doc = json.loads(S.canonical_json(S.check_report(rows, cap=2)))
+    assert doc["exit_status"] == 1 and len(doc["diagnostics"]) == 2 and doc["omitted"] == len(got) - 2 and sum(c["n"] for c in doc["counts"]) == len(got) and doc["diagnostics"][0]["code"] == "E102"
     assert S.describe(rows).count() == len(got) and S.annotations(rows).first().text.startswith("::error file=") and {r.omitted for r in S.agent_lines(rows, 1).collect()} == {sum(r.code != "S102" for r in got) - 1}
 
 
