@@ -586,3 +586,39 @@ def test_pipeline_against_its_stages(spark, sf_dir, duck):
     _, root = brute_near(list(kept.items()), 5, 80)
     kept = [i for i in kept if root[i] == i]
     assert sorted({r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()}) == sorted(kept)
+
+
+# long texts
+
+
+def plain_spans(text):
+    """Base spans by regular expressions, one match after another."""
+    out = []
+    for m in re.finditer(secrets.ASSIGN, text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    for k, pattern in ((1, "AKIA[A-Z0-9]{14,}"), (2, "[0-9a-f]{16,}")):
+        out += [(m.start(), k, m.end()) for m in re.finditer(pattern, text)]
+    return sorted(out)
+
+
+def test_secrets_of_long_texts(spark, docs):
+    rng, letters = np.random.default_rng(2), list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    model = secrets.train(docs)
+    word = lambda n: "".join(rng.choice(letters, n))
+    many = " é ".join(f"token = '{word(16)}' {word(24)} {rng.integers(0, 2**62):016x}" for _ in range(3000))
+    rows = [(1, word(1 << 20)), (2, many), (3, "ordinary words " * 60000), (4, "a" * 300000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.redact(secrets.scan(table, model)).collect()}
+    assert [tuple(x) for x in got[1].spans] == [(0, 3, 1 << 20)] and got[1].text == "[SECRET]"
+    assert got[3].spans == [] and got[3].text == rows[2][1] and got[4].spans == []
+    base = plain_spans(many)
+    assert [tuple(x) for x in got[2].base] == base and len(base) >= 5900
+    free = [x for x in got[2].spans if x.kind == 3]
+    assert len(free) > 2500 and not any(a.start < stop and start < a.stop for a in free[:200] for start, _, stop in base)
+    at, want = 0, []
+    for x in got[2].spans:
+        if x.start >= at:
+            want += [many[at : x.start], "[SECRET]"]
+        at = max(at, x.stop)
+    assert got[2].text == "".join([*want, many[at:]])
