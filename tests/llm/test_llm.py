@@ -171,7 +171,7 @@ def test_toxicity_against_a_plain_model(spark):
             a, b = (m, b) if sum(min(n, m) for n in c.values()) < part * sum(c.values()) else (a, m)
         return a
 
-    ds, dw, dp = ([discount(c, part) for c in t] for t, part in ((stems, 0.5), (words, 0.5), (pairs, toxicity.PAIR)))
+    ds, dw, dp = ([discount(c, part) for c in t] for t, part in ((stems, toxicity.LAMBDA), (words, toxicity.LAMBDA), (pairs, toxicity.PAIR)))
     every, kinds = sum(sum(c.values()) for c in stems), len(set(stems[0]) | set(stems[1]))
     whole = collections.Counter()
     for c in words:
@@ -181,8 +181,8 @@ def test_toxicity_against_a_plain_model(spark):
     def ratio(u, v):
         p = []
         for c in (0, 1):
-            s = max(stems[c][v[:5]] - ds[c], 0) / sum(stems[c].values()) + 0.5 * (stems[0][v[:5]] + stems[1][v[:5]] + 0.01) / (every + 0.01 * kinds)
-            w = max(words[c][v] - dw[c], 0) / sum(words[c].values()) + 0.5 * s * (words[0][v] + words[1][v]) / whole[v[:5]]
+            s = max(stems[c][v[:5]] - ds[c], 0) / sum(stems[c].values()) + toxicity.LAMBDA * (stems[0][v[:5]] + stems[1][v[:5]] + 0.01) / (every + 0.01 * kinds)
+            w = max(words[c][v] - dw[c], 0) / sum(words[c].values()) + toxicity.LAMBDA * s * (words[0][v] + words[1][v]) / whole[v[:5]]
             after = {y: n for (x, y), n in pairs[c].items() if x == u}
             p.append((max(after.get(v, 0) - dp[c], 0) + (sum(min(n, dp[c]) for n in after.values()) + toxicity.CONTEXT) * w) / (sum(after.values()) + toxicity.CONTEXT))
         return np.log(p[1] / p[0])
@@ -191,7 +191,7 @@ def test_toxicity_against_a_plain_model(spark):
         w = rows[i]
         want = sum(np.log1p(toxicity.RATE * np.expm1(ratio(u, v))) for u, v in zip(["", *w], w)) / (len(w) + toxicity.EXTRA_WORDS)
         got = toxicity.evidence(model, pa.array([" ".join(w)], pa.large_string()))[0]
-        assert got == pytest.approx(want, abs=1e-5)
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-7)
     assert all(len(model[k][0]) for k in ("stem", "word"))
 
 
