@@ -24,7 +24,7 @@ def erosion(callables: DataFrame, families: list[str]) -> DataFrame:
     made = made.select(F.when(F.col("g") == 1, "overall").otherwise(F.col("language")).alias("family"), "total", "high")
     wanted = spark.createDataFrame([(f,) for f in ["overall", *families]], "family string")
     ratio = F.when(F.coalesce("total", F.lit(0.0)) == 0.0, 0.0).otherwise(F.try_divide("high", "total"))
-    return F.broadcast(wanted).join(made, "family", "left").select("family", (F.round(ratio, 6) + 0.0).alias("erosion"))
+    return wanted.join(F.broadcast(made), "family", "left").select("family", (F.round(ratio, 6) + 0.0).alias("erosion"))
 
 
 def top_callables(callables: DataFrame, k: int = 25) -> DataFrame:
@@ -47,7 +47,8 @@ def verbosity(scanned: DataFrame, flagged: DataFrame, families: list[str]) -> Da
     base = scanned.groupingSets([["language"], []], "language").agg(F.sum("lines").alias("scanned_lines"), F.bool_and(~F.col("failed")).alias("complete"), F.grouping("language").alias("g"))
     hits = flagged.groupingSets([["language"], []], "language").agg(F.count("*").alias("flagged_lines"), F.grouping("language").alias("g"))
     wanted = spark.createDataFrame([(f,) for f in ["overall", *families]], "family string")
-    out = F.broadcast(wanted).join(base.select(name, "scanned_lines", "complete"), "family", "left").join(hits.select(name, "flagged_lines"), "family", "left")
+    of_family = lambda x, *columns: F.broadcast(x.select(name, *columns))  # a row per language
+    out = wanted.join(of_family(base, "scanned_lines", "complete"), "family", "left").join(of_family(hits, "flagged_lines"), "family", "left")
     f, s = F.coalesce("flagged_lines", F.lit(0)), F.coalesce("scanned_lines", F.lit(0))
     ratio = F.when(s == 0, 0.0).otherwise(F.try_divide(f, s))
     return out.select("family", f.cast("long").alias("flagged_lines"), s.cast("long").alias("scanned_lines"), F.round(ratio, 6).alias("ratio"), F.coalesce("complete", F.lit(True)).alias("complete"))
@@ -57,7 +58,7 @@ def zero_filled_counts(rows: DataFrame, column: str, labels: list[str]) -> DataF
     """(label, n) for each of ``labels``, zero where no row has it."""
     wanted = rows.sparkSession.createDataFrame([(x,) for x in labels], "label string")
     made = rows.groupBy(F.col(column).alias("label")).agg(F.count("*").alias("n"))
-    return F.broadcast(wanted).join(made, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return wanted.join(made, "label", "left").select("label", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def placed(rows: DataFrame, order: list[str]) -> DataFrame:

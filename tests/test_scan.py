@@ -149,7 +149,13 @@ def test_trees_of_a_repository(spark, tmp_path):
     index = {r.path: bytes(r.content) for r in trees.index(spark, str(tmp_path)).collect()}
     assert head == {"é.java": JAVA.encode(), "b.js": b""} and index == head | {"b.js": b"changed()"}
     assert len(trees.merge_base(str(tmp_path), "HEAD", "main")) == 40
-    assert {r.path for r in trees.folder(spark, str(tmp_path)).collect()} == set(head)
+    (tmp_path / "big.js").write_text("a;" * (1 << 20))
+    folder = {r.path: (r.content is None, r.oid[:6]) for r in trees.folder(spark, str(tmp_path)).collect()}
+    assert set(folder) == set(head) | {"big.js"} and folder["big.js"] == (True, "large:") and not folder["b.js"][0]
+    blob = git("hash-object", "-w", "b.js").stdout.decode().strip()
+    subprocess.run(["git", "-C", str(tmp_path), "update-index", "--index-info"], input=f"100644 {blob} 1\tb.js\n100644 {blob} 2\tb.js\n".encode(), check=True)
+    with pytest.raises(ValueError, match="G101"):
+        trees.index(spark, str(tmp_path))
 
 
 def test_ignore_file_and_built_in_globs(spark):
