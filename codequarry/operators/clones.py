@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut
 from . import spans
 
 SEP = "\x01"
@@ -40,24 +41,70 @@ def _pair_counts(base: DataFrame) -> DataFrame:
     return hits.withColumn("island", F.col("ix") - F.row_number().over(at))
 
 
-def candidates(files: DataFrame, min_lines: int = 3, ends_only: bool = False) -> DataFrame:
-    """(key, language, path, first, start, end, n, lines): runs of at least two statements and ``min_lines`` lines that may repeat.
+def candidates(files: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(key, language, path, first, start, end, n, lines): runs of at least two statements and ``min_lines`` lines that may repeat, all of them.
 
-    Every adjacent pair of a repeated run is itself repeated in its language, so only stretches of repeated pairs are enumerated. With ``ends_only`` a run
-    must begin where the statement before differs among the occurrences of its first pair, and end where the one after its last pair does: all others are
-    contained, member by member, in a run of one more statement, so the maximal groups are the same, and a stretch of any length that two files share is one run.
+    Every adjacent pair of a repeated run is itself repeated in its language, so only stretches of repeated pairs are enumerated.
     """
-    tokens = F.transform("lines", lambda x: x["token"])
-    base = files.select("path", "language", tokens.alias("tokens"), F.transform("lines", lambda x: x["line"]).alias("at"))
-    hits = _pair_counts(base)
-    open_ = lambda side: F.col(side).isNull() | (F.col(side) < F.col("count")) if ends_only else F.lit(True)
-    places = hits.groupBy("path", "island").agg(F.collect_list(F.when(open_("before"), F.col("ix"))).alias("begins"), F.collect_list(F.when(open_("after"), F.col("ix"))).alias("ends"))  # pairs of one file
-    runs = places.select("path", F.explode("begins").alias("a"), "ends").select("path", "a", F.explode(F.filter("ends", lambda e: e - F.col("a") + 2 >= max(2, min_lines))).alias("e"))
+    base = _base(files)
+    places = _pair_counts(base).groupBy("path", "island").agg(F.collect_list("ix").alias("begins"))  # pairs of one file
+    runs = places.select("path", F.explode("begins").alias("a"), "begins").select("path", "a", F.explode(F.filter("begins", lambda e: e - F.col("a") + 2 >= max(2, min_lines))).alias("e"))
     runs = runs.select("path", "a", (F.col("e") + 1).alias("b")).join(base, "path")
     n = F.col("b") - F.col("a") + 1
-    key = F.sha2(F.concat_ws(SEP, F.concat(F.lit("language:"), F.col("language")), F.slice("tokens", F.col("a") + 1, n)).cast("binary"), 256)
     line = lambda i: F.element_at("at", F.col(i) + 1).alias({"a": "start", "b": "end"}[i])
-    return runs.select(key.alias("key"), "language", "path", (F.col("a") + 1).cast("long").alias("first"), line("a"), line("b"), n.cast("long").alias("n"), F.slice("at", F.col("a") + 1, n).alias("lines"))
+    return runs.select(_name(F.slice("tokens", F.col("a") + 1, n)).alias("key"), "language", "path", (F.col("a") + 1).cast("long").alias("first"), line("a"), line("b"), n.cast("long").alias("n"), F.slice("at", F.col("a") + 1, n).alias("lines"))
+
+
+def _base(files: DataFrame) -> DataFrame:
+    return files.select("path", "language", F.transform("lines", lambda x: x["token"]).alias("tokens"), F.transform("lines", lambda x: x["line"]).alias("at"))
+
+
+def _name(tokens):
+    """SHA-256 of a run of tokens in its language."""
+    return F.sha2(F.concat_ws(SEP, F.concat(F.lit("language:"), F.col("language")), tokens).cast("binary"), 256)
+
+
+def open_candidates(files: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(key, language, path, first, start, end, n): the runs of ``candidates`` that can be in a maximal group.
+
+    A run must begin where the statement before differs among the occurrences of its first pair, and end where the one after its last pair does: all others are
+    contained, member by member, in a run of one more statement, so the maximal groups are the same, and a stretch of any length that two files share is one run. A run's key is
+    128 bits made of hashes of its first and its last 2**k tokens, which overlap, so it takes the same time for runs of any length, and no text and no list of lines goes with it.
+    """
+    base = _base(files)
+    hits = _pair_counts(base)
+    open_ = lambda side: F.col(side).isNull() | (F.col(side) < F.col("count"))
+    places = hits.groupBy("path", "island").agg(F.collect_list(F.when(open_("before"), F.col("ix"))).alias("begins"), F.collect_list(F.when(open_("after"), F.col("ix"))).alias("ends"))  # pairs of one file
+    places = cut(places.where("size(begins) > 0 and size(ends) > 0"))
+    longest = places.select(F.max(F.array_max("ends") - F.array_min("begins")).alias("n")).first().n
+    longest = max((longest or 0) + 2, 2)
+    rows = places.join(base.select("path", "language", "tokens", "at"), "path")
+    for name in ("x", "y"):
+        rows = rows.withColumn(f"_{name}0", F.transform("tokens", lambda t: F.xxhash64(F.lit(name), t)))  # noqa: B023
+        for k in range(1, longest.bit_length()):  # 2**k tokens from each place on: two halves; null where they don't fit
+            before, half = F.col(f"_{name}{k - 1}"), 1 << (k - 1)
+            later = F.slice(before, half + 1, F.greatest(F.size(before) - half, F.lit(0)))
+            rows = rows.withColumn(f"_{name}{k}", F.zip_with(before, later, lambda p, q: F.when(q.isNotNull(), F.xxhash64(p, q))))
+    levels = {name: F.array(*[F.col(f"_{name}{k}") for k in range(longest.bit_length())]).alias(name) for name in ("x", "y")}
+    rows = rows.select("path", "language", "at", "begins", "ends", *levels.values())
+
+    def run(a, e):
+        n = e - a + 2
+        k = F.floor(F.log2(n.cast("double") + 0.5)).cast("int")
+        last = a + n - F.call_function("shiftleft", F.lit(1), k)
+        part = lambda name: F.hex(F.xxhash64(F.col("language"), n, F.get(F.get(F.col(name), k), a), F.get(F.get(F.col(name), k), last)))
+        return F.struct(F.concat_ws("-", part("x"), part("y")).alias("key"), (a + 1).cast("long").alias("first"), F.get("at", a).alias("start"), F.get("at", e + 1).alias("end"), n.cast("long").alias("n"))
+
+    each = F.flatten(F.transform("begins", lambda a: F.transform(F.filter("ends", lambda e: e - a + 2 >= max(2, min_lines)), lambda e: run(a, e))))
+    return rows.select("language", "path", F.explode(each).alias("r")).select("r.key", "language", "path", "r.first", "r.start", "r.end", "r.n")
+
+
+def maximal_runs(files: DataFrame, min_lines: int = 3) -> DataFrame:
+    """Members of the maximal groups of ``files``, as ``candidates`` gives runs, with ``members``. Only members get their text's digest as key, and their lines."""
+    found = maximal(groups(cut(open_candidates(files, min_lines))))
+    full = found.join(_base(files), ["path", "language"])
+    part = lambda c: F.slice(c, F.col("first").cast("int"), F.col("n").cast("int"))
+    return full.select(_name(part("tokens")).alias("key"), "language", "path", "first", "start", "end", "n", "members", part("at").alias("lines"))
 
 
 def groups(found: DataFrame) -> DataFrame:

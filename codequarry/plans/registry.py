@@ -121,7 +121,7 @@ def _candidates(spark, sf_dir):
 
 
 def _maximal(spark, sf_dir):
-    return clones.maximal(clones.groups(clones.candidates(A.with_lines(A.files(spark, sf_dir)), ends_only=True)))
+    return clones.maximal_runs(A.with_lines(A.files(spark, sf_dir)))
 
 
 @query('SELECT key, language, path, first, start, end_ AS "end", n FROM cd', RUNS)
@@ -696,7 +696,7 @@ def _candidate_lines(spark, sf_dir, side):
 
 
 def _runs(spark, sf_dir, side):
-    return clones.maximal(clones.groups(clones.candidates(_candidate_lines(spark, sf_dir, side), ends_only=True)))
+    return clones.maximal_runs(_candidate_lines(spark, sf_dir, side))
 
 
 @query()

@@ -45,9 +45,9 @@ def statement_lines(lowered: DataFrame) -> DataFrame:
 def duplicates(lowered: DataFrame, min_lines: int = MIN_CLONE_LINES) -> DataFrame:
     """Members of the maximal groups of runs with at least ``min_lines`` executable lines: (key, language, path, container, start, end, first, n, members, lines), lines the executable ones."""
     blocks = statement_lines(lowered)
-    found = clones.candidates(blocks, 2, ends_only=True)
+    found = clones.open_candidates(blocks, 2)
     ends = blocks.select("path", F.transform("lines", lambda x: x["last"]).alias("_last"))
-    found = found.join(ends, "path").withColumn("end", F.element_at("_last", (F.col("first") + F.col("n") - 1).cast("int"))).drop("_last", "lines")
+    found = found.join(ends, "path").withColumn("end", F.element_at("_last", (F.col("first") + F.col("n") - 1).cast("int"))).drop("_last")
     able = lowered.select(F.col("path").alias("file"), "exec_lines")
     found = found.withColumn("file", F.regexp_replace("path", "#[0-9]+$", "")).join(able, "file")
     found = found.withColumn("lines", F.filter("exec_lines", lambda x: (x >= F.col("start")) & (x <= F.col("end")))).where(F.size("lines") >= min_lines)

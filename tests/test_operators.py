@@ -65,14 +65,20 @@ def test_maximal_groups_from_ends_only(spark):
     block = [f"s{i}" for i in range(6)]
     texts = {f"f{n}": [rng.choice("abcd") if rng.random() < 0.4 else x for x in block * 3] for n in range(8)} | {"same1": list("xyxyxyx"), "same2": list("yxyxyx")}
     files = numbered(spark, texts)
-    of = lambda ends: sorted((r.key, r.path, r.first, r.n, r.members) for r in clones.maximal(clones.groups(clones.candidates(files, 2, ends))).collect())
-    assert of(True) == of(False) != []
+    of = lambda found: sorted((r.key, r.path, r.first, r.start, r.end, r.n, r.members, r.lines) for r in found.collect())
+    assert of(clones.maximal_runs(files, 2)) == of(clones.maximal(clones.groups(clones.candidates(files, 2)))) != []
 
 
 def test_two_copies_of_a_long_file_are_one_run(spark):
     text = [f"statement {i}" for i in range(10_000)]
-    found = clones.candidates(numbered(spark, {"a": text, "b": text}), ends_only=True).collect()
-    assert [(r.path, r.first, r.n, len(r.lines)) for r in sorted(found, key=lambda r: r.path)] == [("a", 1, 10_000, 10_000), ("b", 1, 10_000, 10_000)]
+    files = numbered(spark, {"a": text, "b": text})
+    assert [(r.path, r.first, r.n) for r in sorted(clones.open_candidates(files).collect(), key=lambda r: r.path)] == [("a", 1, 10_000), ("b", 1, 10_000)]
+    assert [(r.path, r.first, r.n, len(r.lines)) for r in sorted(clones.maximal_runs(files).collect(), key=lambda r: r.path)] == [("a", 1, 10_000, 10_000), ("b", 1, 10_000, 10_000)]
+
+
+def test_a_file_of_equal_lines(spark):
+    found = clones.maximal_runs(numbered(spark, {"a": ["x"] * 800})).collect()
+    assert sorted((r.first, r.n, r.members) for r in found) == [(1, 799, 2), (2, 799, 2)]
 
 
 def test_contained_group_falls_away(spark):
