@@ -136,8 +136,8 @@ def _held(inside: DataFrame) -> DataFrame:
 
 
 def redundancy(members: DataFrame) -> DataFrame:
-    """One row per group: all executable lines but those of its first member, by path and start."""
-    lines = F.size("lines").cast("long")
+    """One row per group: all executable lines but those of its first member, by path and start. Without a column ``lines`` each statement counts as one."""
+    lines = F.size("lines").cast("long") if "lines" in members.columns else F.col("n")
     first = F.min_by(lines, F.struct("path", "start"))
     place = F.min(F.struct("path", "start"))
     return members.groupBy("key", "language").agg(
