@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from oracle import assert_same
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -202,6 +203,46 @@ def test_toxicity_takes_the_larger_of_two_labels(spark):
     assert score(labels) == score(doubled)
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Only rows outside the 30,000 with the smallest hash of doc_id hold the toxic word."""
+    late = F.row_number().over(Window.orderBy(F.xxhash64("doc_id"), "doc_id")) > 30_000
+    rows = spark.range(31_500).select(F.col("id").alias("doc_id")).withColumn("toxic", late.cast("int")).cache()
+    docs = rows.select("doc_id", F.when(F.col("toxic") == 1, "a vile word").otherwise("a kind word").alias("text"))
+    model, _ = toxicity.train(docs, rows)
+    got = toxicity.evidence(model, pa.array(["a vile word", "a kind word"], pa.large_string())) if model else np.zeros(2)
+    assert got[0] > 0 > got[1]
+    totals = toxicity.pair_counts(docs.join(rows, "doc_id").select("text", F.col("toxic").alias("y"), F.lit(0).alias("cut"))).where(F.col("kind") == toxicity.PAIRS).collect()
+    n = sum(toxicity.unpacked(r.pairs)[2].sum(1) for r in totals)
+    assert n.tolist() == [90_000, 4_500, 90_000, 4_500]
+
+
+def test_toxicity_pairs_in_many_buckets(spark, monkeypatch):
+    """Counts of pairs, words, stems and counts don't depend on buckets and blocks."""
+    monkeypatch.setattr(toxicity, "BUCKET", 2000)
+    monkeypatch.setattr(toxicity, "BLOCK", 50)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 300)
+    docs, labels = synthetic(spark, 60)
+    rows = docs.join(labels, "doc_id").select("doc_id", "text", F.col("toxic").alias("y"), (F.col("doc_id") % 3 == 0).cast("int").alias("cut")).cache()
+    want = collections.Counter()
+    for r in rows.collect():
+        w = plain_words(r.text)
+        for pair in zip(["", *w], w):
+            want[(*pair, f"n{r.y}")] += 1
+            want[(*pair, f"cut{r.y}")] += r.cut == 0
+    want += collections.Counter()
+    got = toxicity.pair_counts(rows.drop("doc_id")).collect()
+    parts = [toxicity.unpacked(r.pairs) for r in got if r.kind == toxicity.PAIRS]
+    assert len(parts) > 5
+    assert len({x for u, v, _ in parts for x in zip(u.tolist(), v.tolist())}) == sum(len(u) for u, _, _ in parts) == len({k[:2] for k in want})
+    for i, c in enumerate(toxicity.COUNTS):
+        own = {k[:2]: n for k, n in want.items() if k[2] == c}
+        assert sorted(x for _, _, n in parts for x in n[i].tolist() if x) == sorted(own.values())
+        added = lambda kind: collections.Counter(dict(sorted((k, sum(r[c] for r in got if r.kind == kind and r.key == k)) for k in {r.key for r in got if r.kind == kind})))
+        assert sorted((+added(toxicity.WORD)).values()) == sorted(collections.Counter(v for _, v in own).values())
+        assert sorted((+added(toxicity.STEMS)).values()) == sorted(collections.Counter(s for s, _ in {(v[:5], u) for u, v in own}).values())
+        assert +added(toxicity.OFTEN) == collections.Counter(own.values())
+
+
 def test_quality_scores_against_a_plain_sum():
     rng = np.random.default_rng(2)
     w = rng.standard_normal(1 << quality.BITS).astype(np.float32)
