@@ -26,6 +26,7 @@ written each, in order of text. An empty table makes no shard and an empty resul
 from __future__ import annotations
 
 import itertools
+import os
 import struct
 import uuid
 import zlib
@@ -155,6 +156,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs tasks side by side; the library's own threads cost more time than they save
         self.library = Tokenizer.from_file(path)
         self._reset()
 
@@ -222,11 +224,8 @@ class Encoder:
         at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         return at, self.keys[at] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
-    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all rows of a large_string column without nulls, and the number of each row's."""
-        data, offs = T.flat(col)
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
+    def _pieces(self, col: pa.Array, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[int], bytes]:
+        """Starts of the pieces of all rows, their places in start and size, the rows that the library must encode whole, and the bytes."""
         raw = data.tobytes()
         before = np.concatenate([data[:1], data[:-1]])
         after = np.concatenate([data[1:], data[-1:]])
@@ -243,13 +242,21 @@ class Encoder:
             spans = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
             self._learn(distinct[fresh], [raw[a:b] for a, b in spans])
         piece = self.place[self._known(distinct)[0]][inverse]
+        odd = [i for i in range(len(col)) if any(x in raw[offs[i] : offs[i + 1]] for x in self.ODD)] if any(x in raw for x in self.ODD) else []
+        if not self._same(data, starts, ends, piece):  # two pieces share a hash: the library encodes the whole texts
+            odd = list(range(len(col)))
+        return starts, piece, odd, raw
+
+    def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a large_string column without nulls, and the number of each row's."""
+        data, offs = T.flat(col)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(col), np.int64)
+        starts, piece, odd, raw = self._pieces(col, data, offs)
         size = self.size[piece]
         stops = np.cumsum(size)
         ids = self.ids[np.repeat(self.start[piece] - (stops - size), size) + np.arange(stops[-1])]
         bounds = np.concatenate([[0], stops])[np.searchsorted(starts, offs)]
-        odd = [i for i in range(len(col)) if any(x in raw[offs[i] : offs[i + 1]] for x in self.ODD)] if any(x in raw for x in self.ODD) else []
-        if not self._same(data, starts, ends, piece):  # two pieces share a hash: the library encodes the whole texts
-            odd = list(range(len(col)))
         if not odd:
             return ids, np.diff(bounds)
         rows = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
@@ -257,6 +264,17 @@ class Encoder:
             rows[i] = self.whole_ids(raw[offs[i] : offs[i + 1]].decode())
         return np.concatenate(rows), np.array([len(r) for r in rows])
 
+    def sizes(self, col: pa.Array) -> np.ndarray:
+        """The number of ids of each row, as ``encode`` gives it; the ids themselves are not put together."""
+        data, offs = T.flat(col)
+        if not len(data):
+            return np.zeros(len(col), np.int64)
+        starts, piece, odd, raw = self._pieces(col, data, offs)
+        out = np.diff(np.concatenate([[0], np.cumsum(self.size[piece])])[np.searchsorted(starts, offs)])
+        for i in odd:
+            out[i] = len(self.whole_ids(raw[offs[i] : offs[i + 1]].decode()))
+        return out
+
 
 def _file_system(path: str):
     from pyarrow import fs
@@ -324,7 +342,7 @@ def token_count(tokenizer: str, text: str = "text"):
     @F.arrow_udf(LongType())
     def run(texts: pa.Array) -> pa.Array:
         encoder, batch = Encoder.of(tokenizer), pa.RecordBatch.from_arrays([texts], names=["text"])
-        return pa.array(np.concatenate([np.zeros(0, np.int64), *(encoder.encode(text_column(b, "text"))[1] for b in slices(batch, "text"))]).astype(np.int64))
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(encoder.sizes(text_column(b, "text")) for b in slices(batch, "text"))]).astype(np.int64))
 
     return run(text)
 

@@ -389,6 +389,22 @@ def test_base_spans_and_random_strings(spark, docs, duck):
 # packing
 
 
+def test_token_sizes_without_ids(monkeypatch):
+    """Counts equal the library's, for odd texts and where two pieces share a hash, on the library's one thread, and without putting ids together."""
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    encoder = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert token_files.os.environ["TOKENIZERS_PARALLELISM"] == "false"
+    rows = ["", "one", " two  three\n\nfour\r\n", "é\u00a0x <|endoftext|> y", "don't stop,\tit's 1234567", "", "a\u2003b" * 3, "word " * 500, "\n"]
+    want = [len(encoder.library.encode(t, add_special_tokens=False).ids) for t in rows]
+    col = pa.array(rows, pa.large_string())
+    assert encoder.sizes(col).tolist() == encoder.encode(col)[1].tolist() == want
+    assert encoder.sizes(col.slice(2, 4)).tolist() == want[2:6]
+    assert encoder.sizes(pa.array(["", ""], pa.large_string())).tolist() == [0, 0]
+    monkeypatch.setattr(token_files.Encoder, "encode", None)
+    monkeypatch.setattr(token_files.Encoder, "_same", lambda *a: False)
+    assert encoder.sizes(col).tolist() == want
+
+
 def padding(lengths, counts, edges):
     return sum(c * (next(e for e in sorted(edges) if e >= n) - n) for n, c in zip(lengths, counts))
 
