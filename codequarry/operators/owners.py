@@ -83,5 +83,5 @@ def pruned(nodes: DataFrame, damaged: DataFrame, key: str = "path") -> DataFrame
 
 def lost_lines(nodes: DataFrame, left: DataFrame, key: str = "path") -> DataFrame:
     """(key, line): different executable ``lines`` of ``nodes`` that none of those ``left`` has."""
-    each = lambda x: x.select(key, F.explode("lines").alias("line")).distinct()
-    return each(nodes).join(each(left), [key, "line"], "left_anti")
+    each = lambda x, kept: x.select(key, F.explode("lines").alias("line"), F.lit(kept).alias("_kept"))
+    return each(nodes, False).unionByName(each(left, True)).groupBy(key, "line").agg(F.bool_or("_kept").alias("_kept")).where("not _kept").drop("_kept")

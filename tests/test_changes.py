@@ -161,7 +161,7 @@ def test_pruning_builds_no_table_on_the_driver(spark):
     """Rows that a join takes for few by their written bytes are not broadcast: a million pruned nodes were 136 MB on the driver."""
     nodes = spark.range(1000).selectExpr("concat('p', id % 3) as path", "id as node", "id + id % 7 as last", "array(id) as lines")
     left = owners.pruned(nodes, nodes.where("node % 5 = 0").select("path", "node"))
-    for made in (left,):
+    for made in (left, owners.lost_lines(nodes, left)):
         assert made.count()
         made.collect()
         assert "Broadcast" not in made._jdf.queryExecution().executedPlan().toString()
