@@ -9,6 +9,8 @@ from ..plans.scratch import cut
 from . import spans
 
 SEP = "\x01"
+#: Files whose hashes may be broadcast, so that the others' texts stay where they are.
+FILES = 1 << 20
 
 
 def containers(statements: DataFrame) -> DataFrame:
@@ -64,47 +66,147 @@ def _name(tokens):
     return F.sha2(F.concat_ws(SEP, F.concat(F.lit("language:"), F.col("language")), tokens).cast("binary"), 256)
 
 
-def open_candidates(files: DataFrame, min_lines: int = 3) -> DataFrame:
-    """(key, language, path, first, start, end, n): the runs of ``candidates`` that can be in a maximal group.
+def _windows(files: DataFrame, n: int) -> DataFrame:
+    """(path, ix, x, y, before, after): name of each stretch of ``n`` statements in its language, 128 bits, and hashes of the statements beside it, null at the ends of a file. ``ix`` counts from 0."""
+    base = _hashed(files).where(F.size("x") >= n)
+    name = lambda c, i: F.xxhash64("language", *[F.get(c, i + k) for k in range(n)])
+    each = F.transform(F.sequence(F.lit(0), F.size("x") - n), lambda i: F.struct(name("x", i).alias("x"), name("y", i).alias("y"), F.get("x", i - 1).alias("before"), F.get("x", i + n).alias("after")))
+    return base.select("path", F.posexplode(each).alias("ix", "w")).select("path", "ix", "w.x", "w.y", "w.before", "w.after")
 
-    A run must begin where the statement before differs among the occurrences of its first pair, and end where the one after its last pair does: all others are
-    contained, member by member, in a run of one more statement, so the maximal groups are the same, and a stretch of any length that two files share is one run. A run's key is
-    128 bits made of hashes of its first and its last 2**k tokens, which overlap, so it takes the same time for runs of any length, and no text and no list of lines goes with it.
-    """
-    base = _base(files)
-    hits = _pair_counts(base)
-    open_ = lambda side: F.col(side).isNull() | (F.col(side) < F.col("count"))
-    places = hits.groupBy("path", "island").agg(F.collect_list(F.when(open_("before"), F.col("ix"))).alias("begins"), F.collect_list(F.when(open_("after"), F.col("ix"))).alias("ends"))  # pairs of one file
-    places = cut(places.where("size(begins) > 0 and size(ends) > 0"))
-    longest = places.select(F.max(F.array_max("ends") - F.array_min("begins")).alias("n")).first().n
-    longest = max((longest or 0) + 2, 2)
-    rows = places.join(base.select("path", "language", "tokens", "at"), "path")
+
+def _hashed(files: DataFrame) -> DataFrame:
+    """(path, language, x, y, at): two hashes and the line of each statement. No text goes through a shuffle."""
+    one = lambda name: F.transform("lines", lambda t: F.xxhash64(F.lit(name), t["token"])).alias(name)
+    return files.select("path", "language", one("x"), one("y"), F.transform("lines", lambda t: t["line"].cast("int")).alias("at"))
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """(x, y, members, open_before, open_after): names that occur twice or more, and whether what stands beside them differs, as an end of a file does from all."""
+    n, sides = F.count("*"), ("before", "after")
+    made = rows.groupBy("x", "y").agg(n.alias("members"), *[(F.count(c) < n).alias(f"_end_{c}") for c in sides], *[f(c).alias(f"_{f.__name__}_{c}") for c in sides for f in (F.min, F.max)])
+    return made.where("members >= 2").select("x", "y", "members", *[F.coalesce(F.col(f"_end_{c}") | (F.col(f"_min_{c}") != F.col(f"_max_{c}")), F.lit(True)).alias(f"open_{c}") for c in sides])
+
+
+def _stretches(files: DataFrame, w: int) -> DataFrame:
+    """(path, language, off, begins, ends, x, y, at), written: stretches of windows of ``w`` statements that repeat, with the statement on either side, its places counted from ``off``, and where runs may begin and end."""
+    rows = _windows(files, w)
+    hits = rows.join(_open(rows), ["x", "y"]).select("path", "ix", "open_before", "open_after")
+    hits = hits.withColumn("island", F.col("ix") - F.row_number().over(Window.partitionBy("path").orderBy("ix")))
+    listed = lambda side: F.collect_list(F.when(F.col(side), F.col("ix")))  # windows of one file
+    places = hits.groupBy("path", "island").agg(listed("open_before").alias("begins"), listed("open_after").alias("ends")).where("size(begins) > 0 and size(ends) > 0")
+    at = places.withColumns({"off": F.greatest(F.array_min("begins") - 1, F.lit(0)), "stop": F.array_max("ends") + w}).join(_hashed(files), "path")
+    part = lambda c: F.slice(c, F.col("off") + 1, F.col("stop") - F.col("off") + 1).alias(c)
+    moved = lambda c: F.transform(c, lambda i: i - F.col("off")).alias(c)
+    return cut(at.select("path", "language", "off", moved("begins"), moved("ends"), part("x"), part("y"), part("at")))
+
+
+def _listed(rows: DataFrame, w: int, beside: bool = False) -> DataFrame:
+    """(x, y, language, path, first, start, end, n): all runs of ``_stretches`` from a begin to an end; ``beside`` adds the names of the runs of one more statement, (lx, ly) to the left and (rx, ry) to the right, null at the ends of a file."""
+    longest = rows.select(F.max(F.array_max("ends") - F.array_min("begins")).alias("n")).first().n
+    levels = ((longest or 0) + w + 1).bit_length()
     for name in ("x", "y"):
-        rows = rows.withColumn(f"_{name}0", F.transform("tokens", lambda t: F.xxhash64(F.lit(name), t)))  # noqa: B023
-        for k in range(1, longest.bit_length()):  # 2**k tokens from each place on: two halves; null where they don't fit
+        rows = rows.withColumn(f"_{name}0", F.col(name))
+        for k in range(1, levels):  # 2**k tokens from each place on: two halves; null where they don't fit
             before, half = F.col(f"_{name}{k - 1}"), 1 << (k - 1)
             later = F.slice(before, half + 1, F.greatest(F.size(before) - half, F.lit(0)))
             rows = rows.withColumn(f"_{name}{k}", F.zip_with(before, later, lambda p, q: F.when(q.isNotNull(), F.xxhash64(p, q))))
-    levels = {name: F.array(*[F.col(f"_{name}{k}") for k in range(longest.bit_length())]).alias(name) for name in ("x", "y")}
-    rows = rows.select("path", "language", "at", "begins", "ends", *levels.values())
+    rows = rows.select("path", "language", "off", "at", "begins", "ends", *[F.array(*[F.col(f"_{name}{k}") for k in range(levels)]).alias(name) for name in ("x", "y")])
 
-    def run(a, e):
-        n = e - a + 2
+    def name(a, n, *to):
         k = F.floor(F.log2(n.cast("double") + 0.5)).cast("int")
         last = a + n - F.call_function("shiftleft", F.lit(1), k)
-        part = lambda name: F.hex(F.xxhash64(F.col("language"), n, F.get(F.get(F.col(name), k), a), F.get(F.get(F.col(name), k), last)))
-        return F.struct(F.concat_ws("-", part("x"), part("y")).alias("key"), (a + 1).cast("long").alias("first"), F.get("at", a).alias("start"), F.get("at", e + 1).alias("end"), n.cast("long").alias("n"))
+        part = lambda c: F.xxhash64(F.col("language"), n, F.get(F.get(F.col(c), k), a), F.get(F.get(F.col(c), k), last))
+        there = (a >= 0) & (a + n <= F.size("at"))
+        return [F.when(there, part(c)).alias(c_to) for c, c_to in zip(("x", "y"), to)]
 
-    each = F.flatten(F.transform("begins", lambda a: F.transform(F.filter("ends", lambda e: e - a + 2 >= max(2, min_lines)), lambda e: run(a, e))))
-    return rows.select("language", "path", F.explode(each).alias("r")).select("r.key", "language", "path", "r.first", "r.start", "r.end", "r.n")
+    def run(a, e):
+        n = e - a + w
+        more = [*name(a - 1, n + 1, "lx", "ly"), *name(a, n + 1, "rx", "ry")] if beside else []
+        of = [(F.col("off") + a + 1).cast("long").alias("first"), F.get("at", a).cast("long").alias("start"), F.get("at", e + w - 1).cast("long").alias("end"), n.cast("long").alias("n")]
+        return F.struct(*name(a, n, "x", "y"), *of, *more)
+
+    each = F.flatten(F.transform("begins", lambda a: F.transform(F.filter("ends", lambda e: e >= a), lambda e: run(a, e))))
+    names = ["x", "y", "first", "start", "end", "n"] + ["lx", "ly", "rx", "ry"] * beside
+    return rows.select("language", "path", F.explode(each).alias("r")).select("language", "path", *[f"r.{c}" for c in names])
+
+
+def open_candidates(files: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(key, language, path, first, start, end, n): the runs of ``candidates`` that can be in a maximal group.
 
+    A run must begin where the statement before differs among the occurrences of its first window, and end where the one after its last window does: all others are
+    contained, member by member, in a run of one more statement, so the maximal groups are the same, and a stretch of any length that two files share is one run. A window is the
+    shortest run there may be. A run's key is 128 bits made of hashes of its first and its last 2**k tokens, which overlap, so it takes the same time for runs of any length, and no text and no list of lines goes with it.
+    """
+    w = max(2, min_lines)
+    return _listed(_stretches(files, w), w).select(_key(), "language", "path", "first", "start", "end", "n")
+
+
+def _key():
+    return F.concat_ws("-", F.hex("x"), F.hex("y")).alias("key")
 
-def maximal_runs(files: DataFrame, min_lines: int = 3) -> DataFrame:
-    """Members of the maximal groups of ``files``, as ``candidates`` gives runs, with ``members``. Only members get their text's digest as key, and their lines."""
-    found = maximal(groups(cut(open_candidates(files, min_lines))))
-    full = found.join(_base(files), ["path", "language"])
-    part = lambda c: F.slice(c, F.col("first").cast("int"), F.col("n").cast("int"))
-    return full.select(_name(part("tokens")).alias("key"), "language", "path", "first", "start", "end", "n", "members", part("at").alias("lines"))
+
+def _kept(runs: DataFrame) -> DataFrame:
+    """(x, y, members) of the groups of ``_listed(..., beside=True)`` that no group of one more statement contains member by member.
+
+    Such a group's name stands to the left or to the right of each member. Names beside are counted with map-side combine, so that a file of n equal lines, with
+    n * n / 2 runs, sends some n rows; and as many members as a name has to one side, so often it occurs itself.
+    """
+    beside = lambda x, y, r, l: F.struct(F.col(x).alias("px"), F.col(y).alias("py"), F.lit(r).alias("r"), F.lit(l).alias("l"))  # noqa: E731, E741
+    alike = F.col("lx").eqNullSafe(F.col("rx")) & F.col("ly").eqNullSafe(F.col("ry"))
+    each = runs.select("x", "y", F.explode(F.when(alike, F.array(beside("rx", "ry", 1, 1))).otherwise(F.array(beside("rx", "ry", 1, 0), beside("lx", "ly", 0, 1)))).alias("b"))
+    counts = each.groupBy("x", "y", "b.px", "b.py").agg(F.count("*").alias("c"), F.sum("b.r").alias("r"), F.sum("b.l").alias("l"))
+    held = F.max(F.when(F.col("px").isNotNull() & (F.greatest("r", "l") >= 2), F.col("c")))
+    return counts.groupBy("x", "y").agg(F.sum("r").alias("members"), held.alias("held")).where("members >= 2 and coalesce(held, 0) < members").select("x", "y", "members")
+
+
+def maximal_members(files: DataFrame, min_lines: int = 3) -> DataFrame:
+    """(key, language, path, first, start, end, n, members) of the maximal groups of ``files``; keys are those of ``open_candidates``."""
+    w = max(2, min_lines)
+    rows = _stretches(files, w)
+    kept = _listed(rows, w).join(_kept(_listed(rows, w, True)), ["x", "y"])
+    found = cut(kept.select(_key(), "language", "path", "first", "start", "end", "n", "members"))
+    alike = found.select("key", "path").distinct().groupBy("key").agg(F.bit_xor(F.xxhash64("path")).alias("files"))
+    found = cut(found.join(alike, "key"))
+    # All places of a run's statements are here, so a group that holds another has the same files. The groups of the next length among those of equal files come first: in
+    # periodic texts each holds the one before. What is left is compared with all longer ones, spans that begin a statement or two apart as one: whatever is shorter and lies in it lies in one of them.
+    of = ["path", "files"]
+    lengths = found.select("files", "n").distinct().withColumn("next", F.min("n").over(Window.partitionBy("files").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))).where("next is not null")
+    a = found.join(lengths, ["files", "n"]).select(F.col("key").alias("ka"), *of, "first", "start", "end", F.col("next").alias("nb"), F.col("members").alias("ma"))
+    b = found.select(F.col("key").alias("kb"), *of, "start", "end", F.col("n").alias("nb"))
+    left = cut(found.join(_held(spans.inside(a, b, [*of, "nb"], ["kb"]).select("ka", "ma", "kb", "path", "first")), "key", "left_anti"))
+    near = Window.partitionBy(*of)
+    a = left.withColumn("_most", F.max("n").over(near)).where("n < _most").select(F.col("key").alias("ka"), *of, "first", "start", "end", F.col("n").alias("na"), F.col("members").alias("ma"))
+    b = left.withColumn("_least", F.min("n").over(near)).where("n > _least")
+    at = Window.partitionBy(*of, "key").orderBy("first")
+    b = b.withColumn("_new", F.coalesce(F.col("first") - F.lag("first").over(at) > 2, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(at))
+    b = b.groupBy(*of, F.col("key").alias("kb"), "_span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("n").alias("nb")).drop("_span")
+    inside = spans.inside(a, b, of, ["kb", "nb"]).where("nb > na").select("ka", "ma", "kb", "path", "first")
+    return left.join(_held(inside), "key", "left_anti").drop("files")
+
+
+def maximal_runs(files: DataFrame, min_lines: int = 3, named: bool = True) -> DataFrame:
+    """Members of the maximal groups of ``files``, as ``candidates`` gives runs, with ``members``. Unless ``named`` is false, the key is the text's digest, made from one member of a group."""
+    found = cut(maximal_members(files, min_lines))
+    out = with_lines(found, files)
+    return out.join(_names(found, files), "key").select(F.col("name").alias("key"), *out.columns[1:]) if named else out
+
+
+def with_lines(members: DataFrame, files: DataFrame) -> DataFrame:
+    """``members`` with ``lines``, the lines of their statements."""
+    at = files.select("path", F.transform("lines", lambda t: t["line"].cast("int")).alias("_at"))
+    lines = F.slice("_at", F.col("first").cast("int"), F.col("n").cast("int")).cast("array<bigint>")
+    return members.join(at, "path").select(*members.columns, lines.alias("lines"))
+
+
+def _names(members: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, name): SHA-256 of the text of each group, from its first member. Only texts that hold one are shuffled, as long as their files are no more than ``FILES``."""
+    first = members.groupBy("key").agg(F.min(F.struct("path", "first", "n")).alias("p")).select("key", "p.path", "p.first", "p.n")
+    first = cut(first.groupBy("path").agg(F.collect_list(F.struct("key", "first", "n")).alias("groups")))  # of one file
+    base = files.select("path", "language", F.transform("lines", lambda x: x["token"]).alias("tokens"))
+    if first.count() <= FILES:
+        base = base.withColumn("_h", F.xxhash64("path")).join(F.broadcast(first.select(F.xxhash64("path").alias("_h")).distinct()), "_h", "left_semi").drop("_h")
+    name = lambda g: F.struct(g["key"].alias("key"), _name(F.slice("tokens", g["first"].cast("int"), g["n"].cast("int"))).alias("name"))
+    return base.join(first, "path").select(F.explode(F.transform("groups", name)).alias("g")).select("g.key", "g.name")
 
 
 def groups(found: DataFrame) -> DataFrame:

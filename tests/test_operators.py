@@ -81,6 +81,25 @@ def test_a_file_of_equal_lines(spark):
     assert sorted((r.first, r.n, r.members) for r in found) == [(1, 799, 2), (2, 799, 2)]
 
 
+def test_a_periodic_file_is_not_compared_with_itself(spark, monkeypatch):
+    """Two statements by turns: each run lies in many longer ones, and one of the next length is enough. Files of the same blocks in other company have no runs to compare."""
+    files = numbered(spark, {"p": ["a"] + ["x", "y"] * 100, "q": ["x", "y"] * 3 + ["b"]})
+    plain = clones.maximal(clones.groups(clones.candidates(files, 3)))
+    of = lambda found: sorted((r.key, r.path, r.first, r.start, r.end, r.n, r.members, r.lines) for r in found.collect())
+    want, pairs, inside = of(plain), [], clones.spans.inside
+    monkeypatch.setattr(clones.spans, "inside", lambda *x: pairs.append(inside(*x)) or pairs[-1])
+    assert of(clones.maximal_runs(files)) == want
+    assert sum(x.count() for x in pairs) < 200 * 200
+
+
+def test_no_text_is_shuffled_to_find_runs(spark):
+    """Only hashes of statements go to other tasks, as long as keys need not be digests of texts."""
+    files = numbered(spark, {n: [f"{n} begins", *"abcdef", f"{n} ends"] for n in ("p", "q", "r")})
+    found = clones.maximal_members(files)
+    assert sorted((r.path, r.first, r.n, r.members) for r in found.collect()) == [(p, 2, 6, 3) for p in "pqr"]
+    assert not any("token" in x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+
+
 def test_contained_group_falls_away(spark):
     rows = [("big", "java", p, 1, 15, 5) for p in "ab"] + [("small", "java", p, 3, 10, 3) for p in "ab"]
     assert {r.key for r in clones.maximal(members(spark, rows)).collect()} == {"big"}
