@@ -120,8 +120,8 @@ def _candidates(spark, sf_dir):
     return clones.candidates(A.with_lines(A.files(spark, sf_dir)))
 
 
-def _maximal(spark, sf_dir):
-    return clones.maximal_runs(A.with_lines(A.files(spark, sf_dir)))
+def _maximal(spark, sf_dir, named=True):
+    return clones.maximal_runs(A.with_lines(A.files(spark, sf_dir)), named=named)
 
 
 @query('SELECT key, language, path, first, start, end_ AS "end", n FROM cd', RUNS)
@@ -155,8 +155,14 @@ FLAG = RUNS + (
 
 def _repeated(spark, sf_dir):
     """Findings: a statement equal to the one before."""
-    rows = A.statements(A.files(spark, sf_dir))
-    return rows.withColumn("prev", F.lag("token").over(Window.partitionBy("path").orderBy("ix"))).where("token = prev").drop("prev")
+    return _repeats(A.files(spark, sf_dir))
+
+
+def _repeats(files):
+    """(path, language, ix, line, token) of the statements equal to the one before them, found inside each file's row: no text is shuffled."""
+    same = lambda x, i: F.when(x["token"] == F.get("lines", i - 1)["token"], F.struct((i + 1).cast("long").alias("ix"), x["line"].alias("line"), x["token"].alias("token")))
+    each = F.filter(F.transform("lines", same), lambda x: x.isNotNull())
+    return A.with_lines(files).select("path", "language", F.explode(each).alias("s")).select("path", "language", "s.ix", "s.line", "s.token")
 
 
 @query("""SELECT family, coalesce(flagged_lines, 0)::BIGINT AS flagged_lines, coalesce(scanned_lines, 0)::BIGINT AS scanned_lines,
@@ -166,7 +172,7 @@ FROM fam LEFT JOIN (SELECT coalesce(language, 'overall') AS family, sum(sloc) AS
 LEFT JOIN (SELECT coalesce(language, 'overall') AS family, count(*) AS flagged_lines FROM fg GROUP BY GROUPING SETS ((language), ())) USING (family)""", FLAG + (CALL,))
 def verbosity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = A.with_lines(A.files(spark, sf_dir)).select("language", F.size("lines").alias("lines"), (F.length("text") > 1 << 20).alias("failed"))
-    flagged = _repeated(spark, sf_dir).select("language", "path", "line").union(clones.redundant_lines(_maximal(spark, sf_dir))).distinct()
+    flagged = _repeated(spark, sf_dir).select("language", "path", "line").union(clones.redundant_lines(_maximal(spark, sf_dir, False))).distinct()
     return metrics.verbosity(scanned, flagged, LANGS)
 
 

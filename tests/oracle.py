@@ -19,3 +19,11 @@ def assert_same(df, cursor):
     rows = df.collect()
     assert canonical([tuple(r) for r in rows], df.columns) == canonical(cursor.fetchall(), names)
     return len(rows)
+
+
+def shuffled(df):
+    """Names of the columns that the exchanges of a DataFrame's plan move."""
+    import re
+
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    return {re.sub("#.*", "", c.strip()) for x in re.findall(r"\) Exchange\s+Input \[\d+\]: \[([^\]]*)\]", text) for c in x.split(",")}

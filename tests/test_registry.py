@@ -1,7 +1,7 @@
 """Every query of the engine against its SQL twin, over whole tables."""
 
 import pytest
-from oracle import assert_same
+from oracle import assert_same, shuffled
 
 from codequarry.plans.change_queries import QUERIES, SQL
 
@@ -46,3 +46,9 @@ def test_line_maps_cover_both_sides(spark, sf_dir, duck):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     assert assert_same(QUERIES[name](spark, sf_dir), duck.execute(SQL[name])) > 0
+
+
+@pytest.mark.parametrize("name", ["verbosity_scores", "report_totals", "location_links"])
+def test_repeats_and_members_shuffle_no_text(spark, sf_dir, name):
+    """Totals, links and scores need neither digests of texts nor a window over statements."""
+    assert not shuffled(QUERIES[name](spark, sf_dir)) & {"token", "tokens", "text"}
