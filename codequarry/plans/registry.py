@@ -124,6 +124,10 @@ def _maximal(spark, sf_dir, named=True):
     return clones.maximal_runs(A.with_lines(A.files(spark, sf_dir)), named=named)
 
 
+def _members(spark, sf_dir):
+    return clones.maximal_members(A.with_lines(A.files(spark, sf_dir)))
+
+
 @query('SELECT key, language, path, first, start, end_ AS "end", n FROM cd', RUNS)
 def clone_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _candidates(spark, sf_dir).drop("lines")
@@ -656,13 +660,13 @@ def published_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT path || '#L' || start || '-L' || end_ AS link FROM mx", RUNS)
 def location_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _maximal(spark, sf_dir).select(X.location(F.col("path"), F.col("start"), F.col("end")).alias("link"))
+    return _members(spark, sf_dir).select(X.location(F.col("path"), F.col("start"), F.col("end")).alias("link"))
 
 
 @query("SELECT (SELECT count(*) FROM rep) AS findings, (SELECT count(DISTINCT key) FROM mx) AS groups, (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM st) AS lines", FLAG)
 def report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda df, name: df.select(F.lit(name).alias("what"))
-    rows = part(_repeated(spark, sf_dir), "findings").union(part(_maximal(spark, sf_dir).select("key").distinct(), "groups")).union(part(A.files(spark, sf_dir), "files")).union(part(A.statements(A.files(spark, sf_dir)), "lines"))
+    rows = part(_repeated(spark, sf_dir), "findings").union(part(_members(spark, sf_dir).select("key").distinct(), "groups")).union(part(A.files(spark, sf_dir), "files")).union(part(A.statements(A.files(spark, sf_dir)), "lines"))
     return rows.agg(*[F.count_if(F.col("what") == x).alias(x) for x in ("findings", "groups", "files", "lines")])
 
 
