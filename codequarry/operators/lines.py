@@ -74,22 +74,30 @@ def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def line_names(text: Column) -> Column:
+    """16 bytes (MD5) of each line of ``split_lines``, so that two versions of a file can meet in a join without their texts."""
+    every = F.split(F.coalesce(text, F.lit("")), "\n", -1)
+    own = F.when(F.element_at(every, -1) == "", F.slice(every, 1, F.size(every) - 1)).otherwise(every)
+    return F.transform(own, lambda x: F.unhex(F.md5(x.cast("binary"))))
+
+
 def line_map(pairs: DataFrame) -> DataFrame:
-    """(path, base_line, line) of ``pairs(path, base_text, text)``: unchanged lines, deleted ones (line null) and added ones (base_line null), numbered from 1.
+    """(path, base_line, line) of ``pairs(path, base_text, text)``, or ``pairs(path, base_names, names)`` of ``line_names``: unchanged lines, deleted ones (line null) and added ones (base_line null), numbered from 1.
 
     Null texts have no lines. A file's two texts are compared in one row; rows are independent.
     """
+    texts = "base_text" in pairs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, old, new in zip(*(c.to_pylist() for c in b.columns)):
-                x, y = split_lines(old or ""), split_lines(new or "")
+                x, y = (split_lines(old or ""), split_lines(new or "")) if texts else (old or [], new or [])
                 same = align(x, y)
                 kept, found = {i for i, _ in same}, {j for _, j in same}
                 rows = [(i + 1, j + 1) for i, j in same] + [(i + 1, None) for i in range(len(x)) if i not in kept] + [(None, j + 1) for j in range(len(y)) if j not in found]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], names=["path", "base_line", "line"])
 
-    return pairs.select("path", "base_text", "text").mapInArrow(run, "path string, base_line long, line long")
+    return pairs.select("path", *(["base_text", "text"] if texts else ["base_names", "names"])).mapInArrow(run, "path string, base_line long, line long")
 
 
 def line_changes(mapped: DataFrame) -> DataFrame:

@@ -697,16 +697,17 @@ def _mapped(spark, sf_dir):
     """Line maps of the files of both snapshots, renamed ones under their new name, whose texts differ."""
     base, cand = _sides(spark, sf_dir)
     to = _renames(spark, sf_dir).select("from_path", F.col("path").alias("to"))
-    old = base.join(to, F.col("path") == F.col("from_path"), "left").select(F.coalesce("to", "path").alias("path"), F.col("text").alias("base_text"))
-    return lines.line_map(old.join(cand.select("path", "text"), "path").where("base_text <> text"))
+    names = lines.line_names(F.col("text"))
+    old = base.select("path", F.col("oid").alias("base_oid"), names.alias("base_names")).join(to, F.col("path") == F.col("from_path"), "left").select(F.coalesce("to", "path").alias("path"), "base_oid", "base_names")
+    return lines.line_map(old.join(cand.select("path", "oid", names.alias("names")), "path").where("base_oid <> oid"))
 
 
 def _candidate_lines(spark, sf_dir, side):
     return A.with_lines(_sides(spark, sf_dir)[0 if side == "base" else 1])
 
 
-def _runs(spark, sf_dir, side):
-    return clones.maximal_runs(_candidate_lines(spark, sf_dir, side))
+def _runs(spark, sf_dir, side, named=True):
+    return clones.maximal_runs(_candidate_lines(spark, sf_dir, side), named=named)
 
 
 @query()
@@ -726,7 +727,7 @@ def extension_grading(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the lines they may count as extended from, and whether they grew too much."""
     mapped = cut(_mapped(spark, sf_dir))
     subjects = lines.clone_subjects(_runs(spark, sf_dir, "cand").select("path", "key", "start", "end", "lines"), mapped)
-    return lines.extension_grades(subjects, _runs(spark, sf_dir, "base").select("path", "start", "end", "lines"), mapped).drop("lines")
+    return lines.extension_grades(subjects, _runs(spark, sf_dir, "base", False).select("path", "start", "end", "lines"), mapped).drop("lines")
 
 
 @query()

@@ -136,6 +136,20 @@ def test_line_map_is_longest(spark, monkeypatch):
     assert [r.lines for r in lines.deleted_runs(runs, lines.line_map(rows)).collect()] == [[2]]
 
 
+def test_line_maps_need_names_of_lines_only(spark, sf_dir):
+    """Two versions of a file meet by hashes of their lines; the map is that of the texts."""
+    from oracle import shuffled
+
+    from codequarry.plans import registry
+
+    texts = [("p", "a\nb\n\nc", "a\nx\n\nc\n"), ("q", None, "a"), ("r", "", "\n"), ("s", "a\r\nb", "a\nb")]
+    rows = spark.createDataFrame(texts, "path string, base_text string, text string")
+    named = rows.select("path", lines.line_names(F.col("base_text")).alias("base_names"), lines.line_names(F.col("text")).alias("names"))
+    of = lambda x: sorted(lines.line_map(x).collect(), key=str)
+    assert of(named) == of(rows) != []
+    assert not shuffled(registry._mapped(spark, sf_dir)) & {"text", "base_text"}
+
+
 def test_trees_of_a_repository(spark, tmp_path):
     git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True)
     git("init", "-q", "-b", "main")
