@@ -60,22 +60,31 @@ FOUND = REN + (
 
 
 def _found(files: DataFrame) -> DataFrame:
-    """Statements that begin like the one before them; a digest is that of their first word, an owner a block of some statements."""
-    word = F.split_part("token", F.lit(" "), F.lit(1))
-    rows = A.statements(files).withColumn("prev", F.lag("token").over(Window.partitionBy("path").orderBy("ix"))).where(word == F.split_part("prev", F.lit(" "), F.lit(1)))
-    return rows.select("path", "ix", F.lit("REPEAT").alias("rule"), F.sha2(word.cast("binary"), 256).alias("digest"), "line", F.floor((F.col("ix") - 1) / BLOCK).alias("owner"))
+    """Statements that begin like the one before them, found inside each file's row; a digest is that of their first word, an owner a block of some statements."""
+    word = lambda x: F.split_part(x["token"], F.lit(" "), F.lit(1))
+    one = lambda x, i: F.struct((i + 1).cast("long").alias("ix"), F.sha2(word(x).cast("binary"), 256).alias("digest"), x["line"].alias("line"))
+    each = F.filter(F.transform("lines", lambda x, i: F.when(word(x) == word(F.get("lines", i - 1)), one(x, i))), lambda x: x.isNotNull())
+    rows = A.with_lines(files).select("path", F.explode(each).alias("s")).select("path", "s.ix", "s.digest", "s.line")
+    return rows.select("path", "ix", F.lit("REPEAT").alias("rule"), "digest", "line", F.floor((F.col("ix") - 1) / BLOCK).alias("owner"))
+
+
+def _places(files: DataFrame) -> DataFrame:
+    """(path, token, line, k): statements by MD5 of their text, numbered among equal ones of their file."""
+    rows = A.with_lines(files).select("path", F.explode(F.transform("lines", lambda x: F.struct(F.unhex(F.md5(x["token"].cast("binary"))).alias("token"), x["line"].alias("line")))).alias("s"))
+    return rows.select("path", "s.token", "s.line").withColumn("k", F.row_number().over(Window.partitionBy("path", "token").orderBy("line")))
 
 
 def _matched_findings(spark, sf_dir):
-    sides = [cut(x.drop("oid")) for x in _sides(spark, sf_dir)]
+    sides = [x.drop("oid") for x in _sides(spark, sf_dir)]
     ren = cut(_renames(spark, sf_dir))
-    rows = [cut(A.statements(x)) for x in sides]
-    blocks = [x.select("path", F.floor((F.col("ix") - 1) / BLOCK).alias("ix")).distinct().withColumns({"name": F.col("ix").cast("string"), "fp": F.lit("")}) for x in rows]
+    count = F.size("lines")
+    blocks = [A.with_lines(x).where(count > 0).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((count - 1) / BLOCK))).alias("ix")).withColumns({"name": F.col("ix").cast("string"), "fp": F.lit("")}) for x in sides]
     one = cut(matching.same_file(*blocks))
     pairs = one.unionByName(matching.through_renames(*blocks, one, ren))
-    moved = rows[0].join(ren.select(F.col("from_path").alias("path"), F.col("path").alias("to")), "path", "left").withColumn("path", F.coalesce("to", "path"))
-    k = F.row_number().over(Window.partitionBy("path", "token").orderBy("line"))
-    mapped = moved.select("path", "token", F.col("line").alias("base_line"), k.alias("k")).join(rows[1].select("path", "token", "line", k.alias("k")), ["path", "token", "k"])
+    old, new = _places(sides[0]), _places(sides[1])
+    to = ren.select(F.col("from_path").alias("path"), F.col("path").alias("to"))
+    old = old.join(to, "path", "left").withColumn("path", F.coalesce("to", "path"))
+    mapped = old.select("path", "token", F.col("line").alias("base_line"), "k").join(new, ["path", "token", "k"])
     return findings.match(_found(sides[0]), _found(sides[1]), pairs, ren, mapped.select("path", "base_line", "line"))
 
 

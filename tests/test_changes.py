@@ -77,6 +77,19 @@ def codes(spark, base, cand, **severity):
     return {(r.code, r.path, r.line, r.reason) for r in S.check(files(spark, base), files(spark, cand), "keep", severity).collect()}
 
 
+def test_findings_of_tables_need_no_shuffled_text(spark, sf_dir, monkeypatch):
+    from oracle import shuffled
+
+    from codequarry.plans import change_queries as Q
+
+    moved, cut = set(), Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df: moved.update(shuffled(df) | set(df.columns)) or cut(df))
+    monkeypatch.setattr(Q.findings, "cut", Q.cut)
+    moved |= shuffled(Q._found(Q.A.snapshot(spark, sf_dir, "cand")))
+    assert Q.finding_surplus(spark, sf_dir).count()
+    assert "path" in moved and not moved & {"text", "lines", "prev"}
+
+
 def test_a_removed_finding_hides_no_new_one(spark):
     f = lambda body: "  void f() {\n    " + body + "\n  }\n"
     base = "class A {\n" + f(EMPTY) + "  void h() {\n    a();\n  }\n}\n"
